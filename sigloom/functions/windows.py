@@ -35,11 +35,21 @@ def in_block() -> WindowSpec:
     return Window.partitionBy("sym", "_b").orderBy("dt")
 
 
+def by_symbol(df: DataFrame) -> DataFrame:
+    """The one exchange of a series pipeline, at the session's shuffle width.
+
+    An explicit count keeps adaptive execution from merging partitions by their (small) input
+    bytes: the work per input byte is large here.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "sym")
+
+
 def as_series(bars: DataFrame, fill: bool = True) -> DataFrame:
     """Forward-fill OHLCV and number the rows: ``_i`` from 0 at the first complete bar
     (negative before it) and ``_b`` = the 512-row block of ``_i``."""
     past = by_time().rowsBetween(START, 0)
-    df = bars
+    df = by_symbol(bars)
     if fill:
         df = df.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in OHLCV})
     complete = F.lit(True)

@@ -37,14 +37,9 @@ GROUP_B = MATH_FACTORS + ALT_FACTORS + ("fvg", "liquidity_sweep", "smart_money")
 ATTRIBUTION_FACTORS = ("fft", "hurst", "vpt", "cvd", "kde", "amihud", "vrp")
 BASELINE_FACTOR = "macd_cross"
 
-# Trigger themes and the pooled sub-themes.
+# Trigger themes; SHORT does not enter the score.
 POSITIVE_THEMES = ("TREND", "VOLATILITY", "REVERSAL", "QUANTUM")
 THEMES = POSITIVE_THEMES + ("SHORT",)
-SUB_THEMES = (
-    ("TREND", "MOMENTUM_BURST"),
-    ("REVERSAL", "BOTTOM_REVERSAL"),
-    ("QUANTUM", "PRICE_ACTION_BURST"),
-)
 
 
 @dataclass(frozen=True)
