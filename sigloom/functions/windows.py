@@ -90,12 +90,24 @@ def folded(x: str, agg: Callable, n: int, base: int) -> Column:
     return agg(*[F.col(x) if k == 0 else lag(x, k * base) for k in range(n // base)])
 
 
-def summed(x: str, n: int, base: int) -> Column:
-    """Sum over ``n = k*base`` rows from a column ``x`` holding ``base``-row sums."""
-    total = F.col(x)
-    for k in range(1, n // base):
-        total = total + F.coalesce(lag(x, k * base), F.lit(0.0))
-    return total
+def window_sum(total: str, n: int, w: WindowSpec | None = None) -> Column:
+    """Sum over the last ``n`` rows from a running total: one lag, whatever ``n`` is.
+
+    A frame would redo ``n`` additions per row. The inputs have no nulls after the first bar.
+    """
+    return F.col(total) - F.coalesce(F.lag(total, n).over(w or series()), F.lit(0.0))
+
+
+def window_mean(total: str, n: int, m: int | None = None, lead_in: int = 0) -> Column:
+    """Mean over the last ``n`` rows from a running total, null under ``m`` rows."""
+    i = F.col("_i")
+    return F.when(i >= (n if m is None else m) - 1 + lead_in,
+                  window_sum(total, n) / F.least(i + 1, F.lit(n)))
+
+
+def running(x: Column | str, w: WindowSpec | None = None) -> Column:
+    x = F.col(x) if isinstance(x, str) else x
+    return F.sum(F.coalesce(x, F.lit(0.0))).over((w or series()).rowsBetween(START, 0))
 
 
 def with_ewm(df: DataFrame, specs: dict[str, tuple[Column | str, float, bool]]) -> DataFrame:
