@@ -126,7 +126,7 @@ SELECT sym, dt, open, high, low, close, volume, i, pc, ph, pl,
   {L('(tenkan + kijun) / 2', 26)} AS SenkouA, {L('mid52', 26)} AS SenkouB,
   coalesce(close > greatest({L('(tenkan + kijun) / 2', 26)}, {L('mid52', 26)}), false) AS Above_Cloud,
   close > ema20 AS SuperTrend_Up,
-  coalesce(greatest(least(({R('sum', 'clv * dv', 20)}) / (({R('sum', 'dv', 20)}) + 1e-10), 1), -1), 0) AS CMF,
+  CASE WHEN i >= 19 THEN greatest(least(({R('sum', 'clv * dv', 20)}) / (({R('sum', 'dv', 20)}) + 1e-10), 1), -1) ELSE 0 END AS CMF,
   high - low AS Range, coalesce(high - low <= {R('min', 'high - low', 7)}, false) AS NR7,
   coalesce(high <= ph AND low >= pl, false) AS Inside_Bar, vpt AS VPT_Cum, z AS VPT_ZScore,
   coalesce(coalesce(z, 0) - lag(coalesce(z, 0)) OVER (PARTITION BY sym ORDER BY dt), 0) AS VPT_Accel,

@@ -127,7 +127,8 @@ F["pan"] = "SELECT *, coalesce(p_macd < p_sig AND MACD > Signal_Line, false) AS
 
 
 def sd(n: str, d: str, cap: int = 20) -> str:
-    return f"coalesce(greatest(least(({n}) / nullif({d}, 0), {cap}), -{cap}), 0)"
+    # least and greatest skip nulls, so a missing operand is tested first
+    return f"CASE WHEN ({n}) / nullif({d}, 0) IS NULL THEN 0 ELSE greatest(least(({n}) / nullif({d}, 0), {cap}), -{cap}) END"
 
 
 FACTORS = {

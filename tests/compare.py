@@ -34,14 +34,15 @@ def diff(spark_df, con, sql: str) -> str:
     if sorted(cols) != sorted(spark_df.columns):
         return f"columns {sorted(spark_df.columns)} against {sorted(cols)}"
     ours = table(spark_df.columns, got)
+    here, there = set(ours), set(theirs)
     if len(ours) != len(theirs):
-        extra = [r for r in ours if r not in set(theirs)][:3]
-        lack = [r for r in theirs if r not in set(ours)][:3]
+        extra = [r for r in ours if r not in there][:3]
+        lack = [r for r in theirs if r not in here][:3]
         return f"rows {len(ours)} against {len(theirs)}; only here {extra}; only there {lack}"
-    bad = [(a, b) for a, b in zip(ours, theirs) if a != b]
-    if bad:
-        only = [r for r in ours if r not in set(theirs)]
-        return f"{len(only)} of {len(ours)} rows differ, e.g. {only[:2]} / {[r for r in theirs if r not in set(ours)][:2]}"
+    if ours != theirs:
+        only = [r for r in ours if r not in there]
+        lack = [r for r in theirs if r not in here]
+        return f"{len(only)} of {len(ours)} rows differ, e.g. {only[:3]} / {lack[:3]}"
     return "" if ours else "no rows"
 
 
