@@ -51,7 +51,9 @@ def indicators(bars: DataFrame, centered_accel: bool = False, keep: bool = False
         "bb_sd": roll(F.stddev_samp, "close", 20),
         "min_range7": roll(F.min, h - lo, 7),
         "c_close": running(c), "c_vol": running(v), "c_vwap": running((h + lo + c) / 3 * v),
-        "c_flow": running(flow), "c_cmf": running(clv * flow), "c_clv": running(clv),
+        "c_flow": running(flow), "c_cmf": running(clv * flow),
+        # a bounded ratio compared with round thresholds: summed directly, free of running noise
+        "Smart_Money_Flow": roll(F.avg, clv, 10),
         "cvd_raw": running(v * (c - o) / (h - lo + EPS)),
     })
     ret = F.when(F.col("pc") != 0, (c - F.col("pc")) / F.col("pc"))
@@ -71,7 +73,6 @@ def indicators(bars: DataFrame, centered_accel: bool = False, keep: bool = False
         "vwap_num": F.when(i >= 19, window_sum("c_vwap", 20)),
         "cmf_num": F.when(i >= 19, window_sum("c_cmf", 20)),
         "cmf_den": window_sum("c_flow", 20),
-        "Smart_Money_Flow": window_mean("c_clv", 10),
         "h20": folded("h10", F.greatest, 20, 10), "l20": folded("l10", F.least, 20, 10),
         "h22": F.greatest("h21", lag("high", 21)),
         "h52": folded("h26", F.greatest, 52, 26), "l52": folded("l26", F.least, 52, 26),

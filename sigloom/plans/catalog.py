@@ -49,6 +49,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def bar_table(spark, d, scale: float = fx.CALM) -> DataFrame:
+    """The derived bars, written once for queries that read them more than once, as a stored bar
+    table would be."""
+    return materialise(fx.daily_bars(spark, d, scale))
+
+
 OHLCV = "sym:i dt:d open:f high:f low:f close:f volume:f"
 
 
@@ -166,7 +172,7 @@ def market_context(spark, d):
 
 # --- features -------------------------------------------------------------------------------
 def _cross(spark, d):
-    m = fx.macro(spark, d)
+    m = materialise(fx.macro(spark, d))
     df = features.cross_series(as_series(fx.daily_bars(spark, d)), broadcast_if_small(context.macro_wide(m)))
     ctx = broadcast_if_small(context.market_context(m))
     return df.join(ctx, "dt").withColumn("vrp", features.vrp(F.col("vix"), F.col("spy_realized_vol")))
@@ -193,7 +199,7 @@ def feat_vrp(spark, d):
 
 
 def _periods(spark, d):
-    b = fx.daily_bars(spark, d)
+    b = bar_table(spark, d)
     return features.with_periods(b.select("sym", "dt"), b)
 
 
@@ -282,8 +288,9 @@ def alt_earnings(spark, d):
 
 
 # --- factors, triggers, score ---------------------------------------------------------------
-def _panel(spark, d, stats: bool = False, alt: DataFrame | None = None) -> DataFrame:
-    return feature_panel(fx.daily_bars(spark, d), fx.macro(spark, d), alt=alt, statistics=stats)
+def _panel(spark, d, stats: bool = False, alt: DataFrame | None = None, b: DataFrame | None = None) -> DataFrame:
+    b = b if b is not None else bar_table(spark, d)
+    return feature_panel(b, materialise(fx.macro(spark, d)), alt=alt, statistics=stats)
 
 
 def _alt_today(spark, d, b: DataFrame) -> DataFrame:
@@ -325,8 +332,8 @@ def score_core(spark, d):
 @query
 def score_panel(spark, d):
     """Every factor and trigger on every symbol-day, alternative data on the newest bar."""
-    b = fx.daily_bars(spark, d)
-    s = scoring.score_panel(_panel(spark, d, stats=True, alt=_alt_today(spark, d, b)), keep=("sym", "dt", "close"))
+    b = bar_table(spark, d)
+    s = scoring.score_panel(_panel(spark, d, stats=True, alt=_alt_today(spark, d, b), b=b), keep=("sym", "dt", "close"))
     return out(s.withColumn("n_signals", F.size("signals")), "sym:i dt:d close:f score:i veto:b n_signals:i")
 
 
@@ -387,8 +394,8 @@ def size_orders(spark, d):
 @query
 def daily_scan(spark, d):
     """The whole live path on every date: features, triggers, score, cut, crowding, top five."""
-    b = fx.daily_bars(spark, d)
-    p = _panel(spark, d, stats=True, alt=_alt_today(spark, d, b))
+    b = bar_table(spark, d)
+    p = _panel(spark, d, stats=True, alt=_alt_today(spark, d, b), b=b)
     s = scoring.score_panel(p, keep=("sym", "dt", "close", "ATR", "Chandelier_Exit", "SMA_200", "exposure", "health"))
     s = s.withColumn("ai_prob", scoring.fallback_probability(F.col("score")))
     s = scoring.with_sector(scoring.position_levels(s), fx.sector_dim(spark, d))
@@ -401,10 +408,9 @@ def daily_scan(spark, d):
 TAGS = (*ATTRIBUTION_FACTORS, BASELINE_FACTOR)
 
 
-def signals(spark, d) -> DataFrame:
+def signals(b: DataFrame) -> DataFrame:
     """Picks: closes 2% above the symbol's previous one, with tags and a probability that are
     arithmetic of the (symbol, calendar index) pair."""
-    b = fx.daily_bars(spark, d, fx.WILD)
     w = Window.partitionBy("sym").orderBy("dt")
     cal = broadcast_if_small(bars.calendar(b))
     s = b.withColumn("pc", F.lag("close").over(w)).where("close > pc * 1.02D").join(cal, "dt")
@@ -416,7 +422,8 @@ def signals(spark, d) -> DataFrame:
 
 
 def _returns(spark, d) -> DataFrame:
-    return backtest.trade_returns(signals(spark, d), fx.daily_bars(spark, d, fx.WILD), carry=("ai_prob", "factors"))
+    b = bar_table(spark, d, fx.WILD)
+    return materialise(backtest.trade_returns(signals(b), b, carry=("ai_prob", "factors")))
 
 
 @query
@@ -462,7 +469,7 @@ IC_FACTORS = ("minervini", "macd_cross", "cmf", "gap", "wide_up_bar", "nr7", "vo
 
 
 def _ic_input(spark, d) -> DataFrame:
-    b = fx.daily_bars(spark, d)
+    b = bar_table(spark, d)
     ids = b.select("sym", "dt", F.concat_ws("|", F.col("sym").cast("string"), F.col("dt").cast("string")).alias("sig_id"))
     r = backtest.trade_returns(ids, b, horizons=(3,))
     p = series_features(b, statistics=False)
@@ -472,7 +479,8 @@ def _ic_input(spark, d) -> DataFrame:
     long = factors.factors_long(p.withColumns({k: F.lit(v) for k, v in fixed.items()}), IC_FACTORS)
     # returns and values are compared at ten digits, so that equal prices rank as ties everywhere
     long = long.withColumn("value", F.round("value", 10))
-    return evaluation.with_forward_return(long, r.withColumn("ret", F.round("ret", 10)))
+    # read several times by the ranks: written once
+    return materialise(evaluation.with_forward_return(long, r.withColumn("ret", F.round("ret", 10))))
 
 
 @query
@@ -594,12 +602,12 @@ def scen_noise(spark, d):
 
 @query
 def scen_phase(spark, d):
-    return out(scenarios.phase_scenario(fx.daily_bars(spark, d)), "sym:i dt:d open:f high:f low:f close:f")
+    return out(scenarios.phase_scenario(bar_table(spark, d)), "sym:i dt:d open:f high:f low:f close:f")
 
 
 @query
 def scen_report(spark, d):
-    t = scenarios.scenario_trades(fx.daily_bars(spark, d))
+    t = scenarios.scenario_trades(bar_table(spark, d))
     return out(scenarios.scenario_report(t), "scenario:s trades:i wins:i ret_sum:f win_rate:f avg_ret:f verdict:s")
 
 
@@ -625,7 +633,7 @@ def tca_hist(spark, d):
 
 @query
 def prob_hist(spark, d):
-    return out(orders.histogram(signals(spark, d), "ai_prob", [], 25), "bin:f n:i")
+    return out(orders.histogram(signals(bar_table(spark, d, fx.WILD)), "ai_prob", [], 25), "bin:f n:i")
 
 
 @query
