@@ -283,21 +283,26 @@ FROM (SELECT b.*, c.idx, lag(close) OVER (PARTITION BY sym ORDER BY b.dt) AS pre
 WHERE close > prev * 1.02e0"""
 
 
-def trade_sql(sig: str, bars: str, cal: str, horizons: str) -> str:
+def trade_sql(bars: str) -> str:
     return f"""
 SELECT *, (x * (1 - 0.003e0 - 0.0005e0) - cost) / (cost + 1e-10) * half AS ret, (h - cost) / cost AS mfe, (l - cost) / cost AS mae FROM (
   SELECT s.sig_id, s.sym, s.dt, s.idx, s.prob, s.tags, d AS horizon, e.open * (1 + CASE WHEN e.open / z.close - 1 > 0.03e0 THEN 0.009e0 ELSE 0.003e0 END + 0.0005e0) AS cost,
     CASE WHEN e.open / z.close - 1 > 0.03e0 THEN 0.5e0 ELSE 1 END AS half, x.close AS x,
-    (SELECT max(high) FROM {bars} p WHERE p.sym = s.sym AND p.idx BETWEEN s.idx + 1 AND least(s.idx + d, m.top)) AS h,
-    (SELECT min(low) FROM {bars} p WHERE p.sym = s.sym AND p.idx BETWEEN s.idx + 1 AND least(s.idx + d, m.top)) AS l
-  FROM {sig} s CROSS JOIN (SELECT unnest({horizons}) AS d) CROSS JOIN (SELECT max(idx) AS top FROM {cal}) m
+    CASE d WHEN 1 THEN z.h1 WHEN 3 THEN z.h3 ELSE z.h5 END AS h, CASE d WHEN 1 THEN z.l1 WHEN 3 THEN z.l3 ELSE z.l5 END AS l
+  FROM asked s
   JOIN {bars} z ON z.sym = s.sym AND z.idx = s.idx
-  JOIN {bars} e ON e.sym = s.sym AND e.idx = least(s.idx + 1, m.top)
-  JOIN {bars} x ON x.sym = s.sym AND x.idx = least(s.idx + d, m.top) WHERE e.open > 0)"""
+  JOIN {bars} e ON e.sym = s.sym AND e.idx = s.i1
+  JOIN {bars} x ON x.sym = s.sym AND x.idx = s.i2 WHERE e.open > 0)"""
 
 
-F["priced_wild"] = "SELECT b.*, c.idx FROM bars_wild b JOIN cal_wild c ON b.dt = c.dt"
-F["trades"] = trade_sql("sig", "priced_wild", "cal_wild", "[1, 3, 5]")
+_ext = ", ".join(
+    f"{f}({c}) OVER (PARTITION BY sym ORDER BY idx RANGE BETWEEN 1 FOLLOWING AND {k} FOLLOWING) AS {c[0]}{k}"
+    for k in (1, 3, 5) for f, c in (("max", "high"), ("min", "low")))
+F["priced_wild"] = f"SELECT *, {_ext} FROM (SELECT b.*, c.idx FROM bars_wild b JOIN cal_wild c ON b.dt = c.dt)"
+F["asked"] = """
+SELECT *, least(idx + 1, (SELECT max(idx) FROM cal_wild)) AS i1, least(idx + d, (SELECT max(idx) FROM cal_wild)) AS i2
+FROM sig, (SELECT unnest([1, 3, 5]) AS d)"""
+F["trades"] = trade_sql("priced_wild")
 SQL["bt_returns"] = q("trades", "sig_id:i sym:i dt:d idx:i horizon:i ret:f")
 SQL["bt_mfe_mae"] = q("trades", "sig_id:i horizon:i mfe:f mae:f")
 _pf = "CASE WHEN count(*) FILTER (ret < 0) > 0 THEN coalesce(sum(ret) FILTER (ret > 0), 0) / -sum(ret) FILTER (ret < 0) ELSE 99 END"
@@ -326,7 +331,6 @@ SQL["bt_headline"] = q("stats", "win_rate:f profit_factor:f ai_win_rate:f", "WHE
 # --- factor evaluation ----------------------------------------------------------------------
 F["cal"] = "SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS idx FROM (SELECT DISTINCT dt FROM bars)"
 F["priced"] = "SELECT b.*, c.idx FROM bars b JOIN cal c ON b.dt = c.dt"
-F["all_sig"] = "SELECT 0 AS sig_id, sym, dt, idx, 0 AS prob, 0 AS tags FROM priced"
 F["fwd"] = """
 SELECT s.sym, s.dt, round((x.close * (1 - 0.003e0 - 0.0005e0) - cost) / (cost + 1e-10) * half, 10) AS ret FROM (
   SELECT z.sym, z.dt, z.idx, m.top, e.open * (1 + CASE WHEN e.open / z.close - 1 > 0.03e0 THEN 0.009e0 ELSE 0.003e0 END + 0.0005e0) AS cost,
