@@ -5,15 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm import quality
+from sigloom.llm import langid, mixing, quality, tokenout
 from sigloom.llm.common import documents
 
 
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary is installed (the same place on every executor)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.measured(docs.select("doc_id", "text"), model).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules,)}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(documents(spark, sf_dir)).select("doc_id", *mixing.PLAN)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identified(docs, langid.fit_languages(docs))
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenout.write_tokens(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+    return tokenout.read_tokens(spark, path)
+
+
+QUERIES = {f.__name__: f for f in (op5_quality_rules, op7_mixing, op8_language_id, op9_token_output)}
 SQL: dict[str, str] = {}
