@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm import langid, mixing, quality, tokenout
+from sigloom.llm import langid, license, mixing, pii, quality, tokenout
 from sigloom.llm.common import documents
 
 
@@ -16,6 +16,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.masked(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -36,5 +44,5 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenout.read_tokens(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op7_mixing, op8_language_id, op9_token_output)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op4_pii, op5_quality_rules, op7_mixing, op8_language_id, op9_token_output)}
 SQL: dict[str, str] = {}
