@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm import langid, license, mixing, pii, quality, tokenout
+from sigloom.llm import langid, license, mixing, pii, quality, sentencepieces, tokenout
 from sigloom.llm.common import documents
 
 
@@ -20,6 +20,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer("piece_bpe_32k.model")
+    ids = sentencepieces.encoded(documents(spark, sf_dir).select("doc_id", "text"), model)
+    return sentencepieces.decoded(ids, model).select(
+        "doc_id", "variant", "n_pieces", F.crc32(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_crc32"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.masked(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -44,5 +52,5 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenout.read_tokens(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op4_pii, op5_quality_rules, op7_mixing, op8_language_id, op9_token_output)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_sentencepiece, op4_pii, op5_quality_rules, op7_mixing, op8_language_id, op9_token_output)}
 SQL: dict[str, str] = {}
