@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm import langid, license, mixing, pii, quality, sentencepieces, tokenout
+from sigloom.llm import ann, langid, license, mixing, pii, quality, sentencepieces, tokenout
 from sigloom.llm.common import documents
 
 
@@ -52,5 +52,10 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenout.read_tokens(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_sentencepiece, op4_pii, op5_quality_rules, op7_mixing, op8_language_id, op9_token_output)}
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return ann.nearest(rows, rows.where(F.col("id") % 20 == 0))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_sentencepiece, op4_pii, op5_quality_rules, op7_mixing, op8_language_id, op9_token_output, op10_nearest)}
 SQL: dict[str, str] = {}
