@@ -109,7 +109,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, projections: in
     parts = vectors.select(F.lit(False).alias("asks"), "*", deal(n_v).alias("vb"), each(n_q).alias("qb")).unionByName(
         queries.select(F.lit(True).alias("asks"), "*", deal(n_q).alias("qb"), each(n_v).alias("vb")))
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         asks = table.column("asks").to_numpy()
         ids = table.column("id").to_numpy()
         v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
