@@ -4,7 +4,7 @@ Inner products become distances by one more coordinate, sqrt(max_norm^2 - norm^2
 each of ``projections`` random lines, its projections in sorted order. A query opens a window around its own
 projection on every line; the windows widen by ``widen`` (virtual rehashing: no table is built anew, a wider window is
 a longer range of the same sorted array), and a vector that stands in the windows of ``share`` of all lines is a
-candidate. When a block has ``k`` plus ``verify`` of its rows as candidates, they are verified with the exact inner
+candidate. When a block has ``k`` plus ``verify`` of its rows (LEAST at least) as candidates, they are verified with the exact inner
 product in double precision. Windows that have grown over the whole block make every row a candidate, so no query comes back short.
 
 Vectors and queries are dealt into blocks of bounded size, and each pair of blocks is one task's work: its memory
@@ -29,6 +29,8 @@ from sigloom.llm.common import saved
 
 #: Blocks stay far below 2^16 rows (places are 16-bit), and lines below 2^8.
 VECTORS_PER_BLOCK, QUERIES_PER_BLOCK = 8192, 2048
+#: Candidates that are verified in a block at least, where it has so many.
+LEAST = 800
 
 
 def usable(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -83,7 +85,7 @@ class CollisionIndex:
 def _best(x, ids, q, q_ids, k, verify, projections, share, width, widen, seed):
     """The k best of one block for each query: query id, id and score."""
     index = CollisionIndex(x, projections, seed)
-    wanted = k + 1 + math.ceil(verify * len(x))
+    wanted = k + 1 + max(LEAST, math.ceil(verify * len(x)))
     for first in range(0, len(q), 256):
         part = q[first:first + 256]
         for r, found in enumerate(index.candidates(part, wanted, share, width, widen)):
@@ -99,7 +101,7 @@ def _best(x, ids, q, q_ids, k, verify, projections, share, width, widen, seed):
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, projections: int = 128, share: float = 0.5,
-            width: float = 0.7, widen: float = 1.1, verify: float = 0.15, seed: int = 3) -> DataFrame:
+            width: float = 0.7, widen: float = 1.1, verify: float = 0.18, seed: int = 3) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found; both inputs come from ``usable``."""
     vectors, queries = saved(vectors), saved(queries)
     n_v = max(1, math.ceil(vectors.count() / VECTORS_PER_BLOCK))
