@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm import ann, langid, license, mixing, pii, quality, sentencepieces, tokenout
+from sigloom.llm import ann, langid, license, mixing, pii, quality, sentencepieces, suffixdedup, tokenout
 from sigloom.llm.common import documents
 
 
@@ -38,6 +38,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.deduplicated(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(documents(spark, sf_dir)).select("doc_id", *mixing.PLAN)
 
@@ -57,5 +61,5 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.where(F.col("id") % 20 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_sentencepiece, op4_pii, op5_quality_rules, op7_mixing, op8_language_id, op9_token_output, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_sentencepiece, op4_pii, op5_quality_rules, op6_suffix_dedup, op7_mixing, op8_language_id, op9_token_output, op10_nearest)}
 SQL: dict[str, str] = {}
