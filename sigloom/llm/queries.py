@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm import ann, langid, license, mixing, pii, quality, sentencepieces, suffixdedup, tokenout
+from sigloom.llm import ann, langid, license, mixing, ngramjoin, pii, quality, sentencepieces, suffixdedup, tokenout
 from sigloom.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.classes(documents(spark, sf_dir))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer("piece_bpe_32k.model")
     ids = sentencepieces.encoded(documents(spark, sf_dir).select("doc_id", "text"), model)
@@ -61,5 +65,5 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.where(F.col("id") % 20 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_sentencepiece, op4_pii, op5_quality_rules, op6_suffix_dedup, op7_mixing, op8_language_id, op9_token_output, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_join, op3_sentencepiece, op4_pii, op5_quality_rules, op6_suffix_dedup, op7_mixing, op8_language_id, op9_token_output, op10_nearest)}
 SQL: dict[str, str] = {}
