@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm import ann, langid, license, mixing, ngramjoin, pii, quality, sentencepieces, suffixdedup, tokenout
-from sigloom.llm.common import documents
-
-
-def tokenizer(name: str) -> str:
-    """Where a public vocabulary is installed (the same place on every executor)."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from sigloom.llm.common import documents, tokenizer
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +59,5 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.where(F.col("id") % 20 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_join, op3_sentencepiece, op4_pii, op5_quality_rules, op6_suffix_dedup, op7_mixing, op8_language_id, op9_token_output, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_join, op3_sentencepiece, op4_pii, op5_quality_rules, op6_suffix_dedup, op7_mixing, op8_language_id, op9_token_output, op10_nearest)} | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {}
