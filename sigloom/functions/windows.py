@@ -46,16 +46,13 @@ def by_symbol(df: DataFrame) -> DataFrame:
 
 
 def as_series(bars: DataFrame, fill: bool = True) -> DataFrame:
-    """Forward-fill OHLCV and number the rows: ``_i`` from 0 at the first complete bar
+    """Forward-fill OHLCV and number the rows: ``_i`` from 0 at the first bar with a close
     (negative before it) and ``_b`` = the 512-row block of ``_i``."""
     past = by_time().rowsBetween(START, 0)
     df = by_symbol(bars)
     if fill:
         df = df.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in OHLCV})
-    complete = F.lit(True)
-    for c in OHLCV:
-        complete = complete & F.col(c).isNotNull()
-    df = df.withColumn("_i", F.sum(F.when(complete, 1).otherwise(0)).over(past).cast("long") - 1)
+    df = df.withColumn("_i", F.sum(F.when(F.col("close").isNotNull(), 1).otherwise(0)).over(past).cast("long") - 1)
     return df.withColumn("_b", F.expr(f"_i div {BLOCK}"))
 
 
@@ -70,39 +67,25 @@ def last_rows(n: int, w: WindowSpec | None = None) -> WindowSpec:
 
 
 def roll(agg: Callable[[Column], Column], x: Column | str, n: int, m: int | None = None,
-         lead_in: int = 0) -> Column:
-    """``agg`` over the last ``n`` rows, null until ``m`` (default ``n``) values exist.
+         w: WindowSpec | None = None) -> Column:
+    """``agg`` over the last ``n`` rows, null until ``m`` (default ``n``) of them have a value.
 
-    ``lead_in`` is the number of leading rows on which ``x`` itself is null.
+    A plain frame: a running total would carry rounding noise of every value before it.
     """
     x = F.col(x) if isinstance(x, str) else x
-    need = (n if m is None else m) - 1 + lead_in
-    return F.when(F.col("_i") >= need, agg(x).over(last_rows(n)))
+    frame = last_rows(n, w)
+    return F.when(F.count(x).over(frame) >= (n if m is None else m), agg(x).over(frame))
 
 
-def lag(x: Column | str, k: int = 1) -> Column:
-    return F.lag(x, k).over(series())
-
-
-def folded(x: str, agg: Callable, n: int, base: int) -> Column:
-    """max/min over ``n = k*base`` rows from a column ``x`` that already holds the ``base``-row
-    one: k-1 lags instead of an n-row frame per row."""
-    return agg(*[F.col(x) if k == 0 else lag(x, k * base) for k in range(n // base)])
-
-
-def window_sum(total: str, n: int, w: WindowSpec | None = None) -> Column:
-    """Sum over the last ``n`` rows from a running total: one lag, whatever ``n`` is.
-
-    A frame would redo ``n`` additions per row. The inputs have no nulls after the first bar.
-    """
-    return F.col(total) - F.coalesce(F.lag(total, n).over(w or series()), F.lit(0.0))
+def prior(agg: Callable[[Column], Column], x: Column | str, n: int) -> Column:
+    """``agg`` over the ``n`` rows before this one, null unless all have a value."""
+    x = F.col(x) if isinstance(x, str) else x
+    frame = series().rowsBetween(-n, -1)
+    return F.when(F.count(x).over(frame) >= n, agg(x).over(frame))
 
 
-def window_mean(total: str, n: int, m: int | None = None, lead_in: int = 0) -> Column:
-    """Mean over the last ``n`` rows from a running total, null under ``m`` rows."""
-    i = F.col("_i")
-    return F.when(i >= (n if m is None else m) - 1 + lead_in,
-                  window_sum(total, n) / F.least(i + 1, F.lit(n)))
+def lag(x: Column | str, k: int = 1) -> Column:
+    return F.lag(x, k).over(series())
 
 
 def running(x: Column | str, w: WindowSpec | None = None) -> Column:

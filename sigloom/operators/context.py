@@ -57,7 +57,7 @@ def market_regime(macro: DataFrame, index: str = "QQQ") -> DataFrame:
 
     q = _one(macro, index).withColumns({
         "rows": n, "sma50": mean(50), "sma200": mean(200),
-        "trend20": F.col("close") / F.lag("close", 19).over(w) - 1,
+        "trend20": F.try_divide(F.col("close"), F.lag("close", 19).over(w)) - 1,
     })
     return q.withColumn("regime", regime_label(
         F.col("close"), F.col("sma50"), F.col("sma200"), F.col("trend20"), F.col("rows"))
@@ -83,7 +83,7 @@ def credit_spread(macro: DataFrame) -> DataFrame:
     r = hyg.join(iei, "dt", "full_outer").withColumn("ratio", F.try_divide("hyg", "iei"))
     r = r.withColumn("ratio", F.last("ratio", ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, 0)))
-    r = r.withColumn("credit_spread_mom", F.col("ratio") / F.lag("ratio", 20).over(w) - 1)
+    r = r.withColumn("credit_spread_mom", F.try_divide(F.col("ratio"), F.lag("ratio", 20).over(w)) - 1)
     return r.select("dt", "ratio", "credit_spread_mom",
                     yes(F.col("credit_spread_mom") < -0.02).alias("is_credit_risk_high"))
 

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from sigloom.functions.scalar import EPS, yes
 from sigloom.functions.windows import (
-    as_series, by_time, index_series, lag, roll, running, series, span, window_sum, with_ewm,
+    as_series, by_time, index_series, lag, last_rows, roll, series, span, with_ewm,
 )
 from sigloom.operators.bars import monthly_bars, weekly_bars
 from sigloom.operators.indicators import rsi
@@ -93,22 +93,6 @@ def swing_high(df: DataFrame) -> DataFrame:
         F.col("_i") >= 10, F.max("high").over(series().rowsBetween(-10, -1))).otherwise(F.col("high")))
 
 
-# Below this a variance of returns is rounding noise of the running totals.
-ZERO_VAR = 1e-16
-
-
-def _moments(x: str, y: str, n: int) -> tuple[Column, Column, Column]:
-    """(cov, var_x, var_y) over n rows from the sums ``s{n}_*``; returns have means near 0, so the
-    product form loses no digits that matter."""
-    def s(k: str) -> Column:
-        return F.col(f"s{n}_{k}")
-
-    def m(a: str, b: str, ab: str) -> Column:
-        return (s(ab) - s(a) * s(b) / n) / (n - 1)
-
-    return m(x, y, x + y), m(x, x, x + x), m(y, y, y + y)
-
-
 def cross_series(df: DataFrame, wide: DataFrame) -> DataFrame:
     """beta_60d, spy_realized_vol, tlt_corr, dxy_corr, rs_20, pure_alpha per symbol-day.
 
@@ -119,61 +103,48 @@ def cross_series(df: DataFrame, wide: DataFrame) -> DataFrame:
     given = [c for c in df.columns]
     i = F.col("_i")
     df = df.join(wide, "dt", "left")
-    prev = lag("close")
-    r, sp, tl, dx = "r", "s", "t", "d"
     joint = Window.partitionBy("sym", "_both").orderBy("_b", "dt")
+
+    def change(x: Column, before: Column) -> Column:
+        """Relative change, null without a value or with 0 before."""
+        return F.try_divide(x, before) - 1
+
     df = df.withColumn("_both", F.col("qqq_close").isNotNull() & F.col("close").isNotNull())
     df = df.withColumns({
-        r: F.coalesce(F.when(prev != 0, F.col("close") / prev - 1), F.lit(0.0)),
-        sp: F.coalesce("spy_ret", F.lit(0.0)), tl: F.coalesce("tlt_ret", F.lit(0.0)),
-        dx: F.coalesce("dxy_ret", F.lit(0.0)),
+        "r": F.coalesce(change(F.col("close"), lag("close")), F.lit(0.0)),
+        "s": F.coalesce("spy_ret", F.lit(0.0)), "t": F.coalesce("tlt_ret", F.lit(0.0)),
+        "d": F.coalesce("dxy_ret", F.lit(0.0)),
+        # rows that both calendars have form a series of their own inside the same exchange
+        "_m": F.row_number().over(joint),
+        "x": change(F.col("close"), F.lag("close").over(joint)),
+        "q": change(F.col("qqq_close"), F.lag("qqq_close").over(joint)),
+        "_c19": F.lag("close", 19).over(joint), "_q19": F.lag("qqq_close", 19).over(joint),
     })
-    need = {60: ("r", "s", "ss", "rs"), 20: ("s", "ss", "r", "rr", "d", "dd", "rd"),
-            90: ("r", "rr", "t", "tt", "rt")}
-    names = sorted({k for ks in need.values() for k in ks})
 
-    def product(k: str) -> Column:
-        return F.col(k) if len(k) == 1 else F.col(k[0]) * F.col(k[1])
+    def cov(x: str, y: str, n: int, w=None) -> Column:
+        return F.covar_samp(x, y).over(last_rows(n, w))
 
-    df = df.withColumns({f"c_{k}": running(product(k)) for k in names})
-    df = df.withColumns({f"s{n}_{k}": window_sum(f"c_{k}", n) for n, ks in need.items() for k in ks})
+    def var(x: str, n: int, w=None) -> Column:
+        return F.var_samp(x).over(last_rows(n, w))
 
     def corr(y: str, n: int) -> Column:
-        cov, vx, vy = _moments(r, y, n)
-        return F.when((i >= n - 1) & (vx > ZERO_VAR) & (vy > ZERO_VAR), cov / F.sqrt(vx * vy)).otherwise(0.0)
+        spread = F.sqrt(var("r", n) * var(y, n))
+        return F.coalesce(F.when((i >= n - 1) & (spread > 0), cov("r", y, n) / spread), F.lit(0.0))
 
-    def var(y: str, n: int) -> Column:
-        s1, s2 = F.col(f"s{n}_{y}"), F.col(f"s{n}_{y}{y}")
-        return (s2 - s1 * s1 / n) / (n - 1)
-
-    cov60 = (F.col("s60_rs") - F.col("s60_r") * F.col("s60_s") / 60) / 59
-    vol = F.sqrt(F.greatest(var(sp, 20), F.lit(0.0))) * F.sqrt(F.lit(252.0)) * 100
+    vol = F.sqrt(var("s", 20)) * F.sqrt(F.lit(252.0)) * 100
     df = df.withColumns({
-        "beta_60d": F.when((i >= 59) & (var(sp, 60) > ZERO_VAR), cov60 / var(sp, 60)).otherwise(1.0),
+        "beta_60d": F.when((i >= 59) & (var("s", 60) > 0), cov("r", "s", 60) / var("s", 60)).otherwise(1.0),
         "spy_realized_vol": F.when(i >= 59, vol).otherwise(15.0),
-        "tlt_corr": corr(tl, 90), "dxy_corr": corr(dx, 20),
-    })
-    # Rows both calendars have form a series of their own inside the same exchange.
-    df = df.withColumns({
-        "_m": F.row_number().over(joint),
-        "x": F.col("close") / F.lag("close").over(joint) - 1,
-        "q": F.col("qqq_close") / F.lag("qqq_close").over(joint) - 1,
-        "_c19": F.lag("close", 19).over(joint), "_q19": F.lag("qqq_close", 19).over(joint),
+        "tlt_corr": corr("t", 90), "dxy_corr": corr("d", 20),
+        "_vq": var("q", 60, joint), "_cq": cov("x", "q", 60, joint),
+        "_x5": F.avg("x").over(last_rows(5, joint)), "_q5": F.avg("q").over(last_rows(5, joint)),
     })
-    pairs = {"x": F.col("x"), "q": F.col("q"), "qq": F.col("q") * F.col("q"), "xq": F.col("x") * F.col("q")}
-    df = df.withColumns({f"j_{k}": running(v, joint) for k, v in pairs.items()})
-    df = df.withColumns({
-        **{f"w_{k}": window_sum(f"j_{k}", 60, joint) for k in pairs},
-        "v_x": window_sum("j_x", 5, joint), "v_q": window_sum("j_q", 5, joint)})
-    n = F.least(F.col("_m") - 1, F.lit(60)).cast("double")
-    vq = (F.col("w_qq") - F.col("w_q") * F.col("w_q") / n) / (n - 1)
-    cq = (F.col("w_xq") - F.col("w_x") * F.col("w_q") / n) / (n - 1)
     ok = F.col("_both") & (F.col("_m") >= 60)
+    slope = F.when(F.col("_vq") > 0, F.col("_cq") / (F.col("_vq") + EPS)).otherwise(1.0)
     df = df.withColumns({
-        "_rs20": F.when(ok, F.col("close") / F.col("_c19") / F.greatest(
-            F.col("qqq_close") / F.col("_q19"), F.lit(0.5))),
-        "_pa": F.when(ok, (F.col("v_x") / 5 - F.when(vq > ZERO_VAR, cq / (vq + EPS)).otherwise(1.0)
-                           * F.col("v_q") / 5) * 252),
+        "_rs20": F.when(ok, F.try_divide(F.try_divide(F.col("close"), F.col("_c19")), F.greatest(
+            F.try_divide(F.col("qqq_close"), F.col("_q19")), F.lit(0.5)))),
+        "_pa": F.when(ok, (F.col("_x5") - slope * F.col("_q5")) * 252),
     })
     carry = series().rowsBetween(Window.unboundedPreceding, 0)
     return df.select(

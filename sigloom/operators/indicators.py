@@ -8,8 +8,7 @@ from pyspark.sql.window import Window
 
 from sigloom.functions.scalar import EPS, clip, yes
 from sigloom.functions.windows import (
-    as_series, folded, lag, last_rows, roll, running, series, span, window_mean, window_sum,
-    with_ewm,
+    as_series, lag, prior, roll, running, series, span, with_ewm,
 )
 
 INDICATORS = (
@@ -41,47 +40,39 @@ def indicators(bars: DataFrame, centered_accel: bool = False, keep: bool = False
 
     clv = (c - lo - (h - c)) / F.greatest(h - lo, F.lit(EPS))
     flow = c * v
-    # Lags, running totals and the base max/min frames; longer frames are folded from these.
     df = df.withColumns({
         "pc": lag("close"), "ph": lag("high"), "pl": lag("low"), "po": lag("open"),
-        "h9": F.max("high").over(last_rows(9)), "l9": F.min("low").over(last_rows(9)),
-        "h10": F.max("high").over(last_rows(10)), "l10": F.min("low").over(last_rows(10)),
-        "h21": F.max("high").over(last_rows(21)),
-        "h26": F.max("high").over(last_rows(26)), "l26": F.min("low").over(last_rows(26)),
-        "bb_sd": roll(F.stddev_samp, "close", 20),
-        "min_range7": roll(F.min, h - lo, 7),
-        "c_close": running(c), "c_vol": running(v), "c_vwap": running((h + lo + c) / 3 * v),
-        "c_flow": running(flow), "c_cmf": running(clv * flow),
-        # a bounded ratio compared with round thresholds: summed directly, free of running noise
-        "Smart_Money_Flow": roll(F.avg, clv, 10),
-        "cvd_raw": running(v * (c - o) / (h - lo + EPS)),
+        "h9": roll(F.max, "high", 9), "l9": roll(F.min, "low", 9),
+        "h20": roll(F.max, "high", 20), "l20": roll(F.min, "low", 20), "h22": roll(F.max, "high", 22),
+        "h26": roll(F.max, "high", 26), "l26": roll(F.min, "low", 26),
+        "h52": roll(F.max, "high", 52), "l52": roll(F.min, "low", 52),
+        "h60": roll(F.max, "high", 60), "l60": roll(F.min, "low", 60), "h252": roll(F.max, "high", 252, 20),
+        "bb_ma": roll(F.avg, "close", 20), "bb_sd": roll(F.stddev_samp, "close", 20),
+        "SMA_50": roll(F.avg, "close", 50, 10), "SMA_150": roll(F.avg, "close", 150, 30),
+        "SMA_200": roll(F.avg, "close", 200, 40), "min_range7": roll(F.min, h - lo, 7),
+        "Vol_MA20": roll(F.avg, "volume", 20), "vol20": roll(F.sum, "volume", 20),
+        "vwap_num": roll(F.sum, (h + lo + c) / 3 * v, 20),
+        "cmf_num": roll(F.sum, clv * flow, 20), "cmf_den": roll(F.sum, flow, 20),
+        "Smart_Money_Flow": roll(F.avg, clv, 10), "Swing_Low_20": prior(F.min, "low", 20),
+        "Recent_Price_Surge_3d": prior(F.max, F.try_divide(c, o) - 1, 3) * 100,
+        "cvd_raw": running(F.try_divide(v * (c - o), h - lo + EPS)),
     })
     ret = F.when(F.col("pc") != 0, (c - F.col("pc")) / F.col("pc"))
     delta = c - F.col("pc")
     df = df.withColumns({
         "TR": F.when(i >= 0, F.greatest(h - lo, F.abs(h - F.col("pc")), F.abs(lo - F.col("pc")))),
         "vpt_step": F.coalesce(ret, F.lit(0.0)) * v,
-        "illiq": F.abs(ret) / (flow + EPS),
+        "illiq": F.try_divide(F.abs(ret), flow + EPS),
         "down_vol": F.when(yes(c < F.col("pc")), v).otherwise(0.0),
         "gain": F.when(yes(delta > 0), delta).otherwise(0.0),
         "loss": F.when(yes(delta < 0), -delta).otherwise(0.0),
+        "vol_x": v / (F.col("Vol_MA20") + 1),
     })
     df = df.withColumns({
-        "Vol_MA20": window_mean("c_vol", 20), "vol20": window_sum("c_vol", 20),
-        "bb_ma": window_mean("c_close", 20), "SMA_50": window_mean("c_close", 50, 10),
-        "SMA_150": window_mean("c_close", 150, 30), "SMA_200": window_mean("c_close", 200, 40),
-        "vwap_num": F.when(i >= 19, window_sum("c_vwap", 20)),
-        "cmf_num": F.when(i >= 19, window_sum("c_cmf", 20)),
-        "cmf_den": window_sum("c_flow", 20),
-        "h20": folded("h10", F.greatest, 20, 10), "l20": folded("l10", F.least, 20, 10),
-        "h22": F.greatest("h21", lag("high", 21)),
-        "h52": folded("h26", F.greatest, 52, 26), "l52": folded("l26", F.least, 52, 26),
-        "h60": folded("h10", F.greatest, 60, 10), "l60": folded("l10", F.least, 60, 10),
-        "h252": folded("h21", F.greatest, 252, 21),
-        "VPT_Cum": running("vpt_step"), "c_tr": running("TR"), "c_illiq": running("illiq"),
-        "Max_Down_Vol_10": F.when(i >= 10, F.max("down_vol").over(series().rowsBetween(-10, -1))),
-        "Recent_Price_Surge_3d": F.when(
-            i >= 3, F.max(c / o - 1).over(series().rowsBetween(-3, -1))) * 100,
+        "VPT_Cum": F.sum("vpt_step").over(series().rowsBetween(Window.unboundedPreceding, 0)),
+        "ATR": roll(F.avg, "TR", 14), "tr20": roll(F.avg, "TR", 20), "ATR_22": roll(F.avg, "TR", 22),
+        "Amihud": roll(F.avg, "illiq", 20) * 1e6, "Max_Down_Vol_10": prior(F.max, "down_vol", 10),
+        "Recent_Vol_Surge_3d": prior(F.max, "vol_x", 3),
     })
     surge = yes((c > F.col("pc") * 1.04) & (v > F.col("Vol_MA20")))
     df = df.withColumn("ob_at", F.when(surge, i))
@@ -94,10 +85,9 @@ def indicators(bars: DataFrame, centered_accel: bool = False, keep: bool = False
     df = df.withColumns({
         "MACD": F.col("ema12") - F.col("ema26"),
         "RSI": F.when(i >= 0, rsi(F.col("g14"), F.col("d14"))),
-        "Tenkan": F.when(i >= 8, (F.col("h9") + F.col("l9")) / 2),
-        "Kijun": F.when(i >= 25, (F.col("h26") + F.col("l26")) / 2),
-        "mid52": F.when(i >= 51, (F.col("h52") + F.col("l52")) / 2),
-        "vol_x": v / (F.col("Vol_MA20") + 1),
+        "Tenkan": (F.col("h9") + F.col("l9")) / 2,
+        "Kijun": (F.col("h26") + F.col("l26")) / 2,
+        "mid52": (F.col("h52") + F.col("l52")) / 2,
     })
     # The newest surge bar at most 20 bars back, carried from the unbounded past and then aged.
     past = series().rowsBetween(Window.unboundedPreceding, 0)
@@ -105,24 +95,16 @@ def indicators(bars: DataFrame, centered_accel: bool = False, keep: bool = False
         F.col("ob_at").alias("at"), F.col("ph").alias("h"), F.col("pl").alias("l"))),
         ignorenulls=True).over(past)
     df = df.withColumns({
-        "ATR": window_mean("c_tr", 14), "tr20": window_mean("c_tr", 20),
-        "ATR_22": window_mean("c_tr", 22),
-        "Amihud": window_mean("c_illiq", 20, lead_in=1) * 1e6,
-        "Swing_Low_20": F.when(i >= 20, lag("l20")),
-        "Recent_Vol_Surge_3d": F.when(i >= 22, F.max("vol_x").over(series().rowsBetween(-3, -1))),
         "ob": newest,
-        "c_vpt": running("VPT_Cum"), "vpt_sd": roll(F.stddev_samp, "VPT_Cum", 50),
-        "c_cvd": running("CVD_Smooth"), "cvd_top10": F.max("CVD_Smooth").over(last_rows(10)),
+        "vpt_ma": roll(F.avg, "VPT_Cum", 50), "vpt_sd": roll(F.stddev_samp, "VPT_Cum", 50),
+        "cvd10": roll(F.avg, "CVD_Smooth", 10), "cvd30": roll(F.avg, "CVD_Smooth", 30),
+        "cvd_top": roll(F.max, "CVD_Smooth", 20),
     })
     df = with_ewm(df, {"Signal_Line": ("MACD", span(9), False)})
-    df = df.withColumns({
-        "vpt_ma": window_mean("c_vpt", 50), "cvd10": window_mean("c_cvd", 10),
-        "cvd30": window_mean("c_cvd", 30), "cvd_top": folded("cvd_top10", F.greatest, 20, 10),
-    })
     live_ob = i - F.col("ob.at") <= 20
     sd = F.when(F.col("vpt_sd").isNull() | (F.col("vpt_sd") == 0), F.lit(1e-6)).otherwise(
         F.col("vpt_sd"))
-    high20 = F.when(i >= 19, F.col("h20"))
+    high20 = F.col("h20")
     df = df.withColumns({
         "SenkouA": lag((F.col("Tenkan") + F.col("Kijun")) / 2, 26),
         "SenkouB": lag("mid52", 26),
@@ -132,7 +114,7 @@ def indicators(bars: DataFrame, centered_accel: bool = False, keep: bool = False
         "Inside_Bar": yes((h <= F.col("ph")) & (lo >= F.col("pl"))),
         "CVD_Trend": F.when(yes(F.col("cvd10") > F.col("cvd30")), 1.0).otherwise(-1.0),
         "CVD_Divergence": yes(
-            (i >= 19) & (c >= high20 * 0.99) & (F.col("CVD_Smooth") < F.col("cvd_top") * 0.95)).cast("int"),
+            (c >= high20 * 0.99) & (F.col("CVD_Smooth") < F.col("cvd_top") * 0.95)).cast("int"),
     })
     z = F.coalesce(F.col("VPT_ZScore"), F.lit(0.0))
     zp, zn = lag(z), F.lead(z, 1).over(series())
@@ -141,9 +123,8 @@ def indicators(bars: DataFrame, centered_accel: bool = False, keep: bool = False
             zn.isNull() | zp.isNull(), 1.0).otherwise(2.0)
     else:
         accel = F.coalesce(z - zp, F.lit(0.0))
-    high252 = F.when(i >= 19, F.col("h252"))
-    vwap = F.col("vwap_num") / (F.col("vol20") + EPS)
-    high22 = F.when(i >= 21, F.col("h22"))
+    high252, high22 = F.col("h252"), F.col("h22")
+    vwap = F.try_divide(F.col("vwap_num"), F.col("vol20") + EPS)
     df = df.withColumns({
         "VPT_Accel": accel,
         "KC_Upper": F.col("EMA_20") + 1.5 * F.col("tr20"),
@@ -152,14 +133,14 @@ def indicators(bars: DataFrame, centered_accel: bool = False, keep: bool = False
         "BB_Lower": F.col("bb_ma") - 2 * F.col("bb_sd"),
         "Above_Cloud": yes(c > F.greatest("SenkouA", "SenkouB")).cast("int"),
         "SuperTrend_Up": yes(c > F.col("EMA_20")).cast("int"),
-        "CMF": F.coalesce(clip(F.col("cmf_num") / (F.col("cmf_den") + EPS), -1, 1), F.lit(0.0)),
+        "CMF": F.coalesce(clip(F.try_divide(F.col("cmf_num"), F.col("cmf_den") + EPS), -1, 1), F.lit(0.0)),
         "VWAP_20": vwap, "AVWAP": vwap,
         "OB_High": F.when(live_ob, F.col("ob.h")), "OB_Low": F.when(live_ob, F.col("ob.l")),
-        "Range_60": F.when(i >= 59, F.col("h60") - F.col("l60")),
-        "Range_20": F.when(i >= 19, F.col("h20") - F.col("l20")),
+        "Range_60": F.col("h60") - F.col("l60"),
+        "Range_20": F.col("h20") - F.col("l20"),
         "Price_High_20": high20, "Highest_22": high22,
         "Chandelier_Exit": high22 - 2.5 * F.col("ATR_22"),
-        "Dist_52W_High": (c - high252) / (high252 + EPS),
+        "Dist_52W_High": F.try_divide(c - high252, high252 + EPS),
     })
     base = ["sym", "dt", "open", "high", "low", "close", "volume"]
     extra = [x for x in bars.columns if x not in base]

@@ -107,7 +107,7 @@ def scenario_trades(bars: DataFrame, p: Params = Params(), statistics: bool = Tr
     df = df.withColumn("vrp", vrp(F.col("vix"), F.col("spy_realized_vol")))
     out = score_panel(df, p, keep=("sym", "dt", "scenario", "entry", "exit"))
     return out.where(F.col("score") >= p.min_score).withColumn(
-        "ret", (F.col("exit") - F.col("entry")) / F.col("entry"))
+        "ret", F.try_divide(F.col("exit") - F.col("entry"), F.col("entry")))
 
 
 def scenario_report(trades: DataFrame, drop: float = 0.15) -> DataFrame:

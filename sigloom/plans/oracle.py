@@ -186,7 +186,7 @@ SELECT i0.sym, i0.dt, i0.i, i0.close, coalesce(i0.close / i0.pc - 1, 0) AS r, w.
 FROM i0 LEFT JOIN wide w ON i0.dt = w.dt"""
 F["x1"] = f"""
 SELECT sym, dt, i,
-  CASE WHEN i >= 59 AND var_samp(s) OVER {rows(60)} > 1e-16
+  CASE WHEN i >= 59 AND var_samp(s) OVER {rows(60)} > 0
     THEN covar_samp(r, s) OVER {rows(60)} / var_samp(s) OVER {rows(60)} ELSE 1 END AS beta_60d,
   CASE WHEN i >= 59 THEN stddev_samp(s) OVER {rows(20)} * sqrt(252e0) * 100 ELSE 15 END AS spy_vol,
   CASE WHEN i >= 89 THEN coalesce(covar_samp(r, t) OVER {rows(90)} / nullif(stddev_samp(r) OVER {rows(90)}
@@ -200,7 +200,7 @@ SELECT *, close / lag(close) OVER w - 1 AS rs, qqq / lag(qqq) OVER w - 1 AS rq,
 FROM x0 WHERE qqq IS NOT NULL WINDOW w AS (PARTITION BY sym ORDER BY dt)"""
 F["x3"] = f"""
 SELECT sym, dt, CASE WHEN m >= 60 THEN c19 / greatest(q19, 0.5e0) END AS rs_20,
-  CASE WHEN m >= 60 THEN (avg(rs) OVER {rows(5)} - CASE WHEN var_samp(rq) OVER {rows(60)} > 1e-16
+  CASE WHEN m >= 60 THEN (avg(rs) OVER {rows(5)} - CASE WHEN var_samp(rq) OVER {rows(60)} > 0
     THEN covar_samp(rs, rq) OVER {rows(60)} / (var_samp(rq) OVER {rows(60)} + 1e-10) ELSE 1 END
     * avg(rq) OVER {rows(5)}) * 252 END AS pure_alpha FROM x2"""
 F["cross_feats"] = """
