@@ -28,7 +28,9 @@ from sigloom.llm.common import column
 STRETCH = 256
 #: Characters that are parsed in one numpy block.
 BLOCK_CHARS = 1 << 21
-FLAG = np.uint32(1 << 31)
+#: A table entry's two top bits count the phrases that end, the rest is the next state.
+FLAG = np.uint32(1 << 30)
+STATE = np.uint32((1 << 30) - 1)
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -66,7 +68,8 @@ def suffix_automaton(text: np.ndarray, n_symbols: int) -> np.ndarray:
     """Transition table of the smallest automaton of all substrings, rows are states and row 0 is the start.
 
     An entry is the next state; where no match goes on, it carries FLAG and is the state of a new match that starts
-    with the symbol. The last symbol is padding and stays where it is.
+    with the symbol. A symbol that the sample never has is a phrase of its own. The last symbol is padding and stays
+    where it is.
     """
     nxt, link, length = [{}], [-1], [0]
     last = 0
@@ -100,9 +103,8 @@ def suffix_automaton(text: np.ndarray, n_symbols: int) -> np.ndarray:
     for s, row in enumerate(nxt):
         for c, to in row.items():
             table[s, c] = to
-    table[0, :] &= ~FLAG  # a match that starts at the start ends nothing
-    unseen = [c for c in range(n_symbols) if c not in nxt[0]]
-    table[0, unseen] |= FLAG  # a symbol that the sample never has is a phrase of its own
+    table[0, :] &= STATE  # a match that starts at the start ends nothing
+    table[:, [c for c in range(n_symbols) if c not in nxt[0]]] += FLAG
     table[:, n_symbols] = np.arange(len(nxt), dtype=np.uint32)
     return table
 
@@ -137,8 +139,8 @@ class CrossParser:
             count = np.zeros(grid.shape[1], np.uint32)
             for row in grid:
                 got = flat[state * width + row]
-                count += got >> np.uint32(31)
-                state = got & ~FLAG
+                count += got >> np.uint32(30)
+                state = got & STATE
             out[k] = np.bincount(owner, count + (state > 0), len(texts))
         return out, size
 

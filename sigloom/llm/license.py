@@ -87,7 +87,7 @@ def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, notices: list[tupl
          share: float = SHARE) -> DataFrame:
     """``docs`` with the result columns (RESULT)."""
     rest = [c for c in docs.columns if c not in RESULT]
-    split = docs.select(*rest, words_of(F.col("text")).alias("words"))
+    split = docs.select(F.struct(*rest).alias("_row"), words_of(F.col("text")).alias("words"))
     phrases = [(label, text.split()) for text, label in base]
     templates = [(label, text.split(), keys) for label, text, keys in notices]
     vocabulary = sorted({w for _, ws in phrases for w in ws} | {w for _, ws, _ in templates for w in ws})
@@ -130,7 +130,7 @@ def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, notices: list[tupl
     best = F.greatest(F.lit(0.0), *[F.when(ok, F.least(F.col(f"t{k}"), F.lit(1.0))).otherwise(0.0) for k, ok in enumerate(accepted)])
     text = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     return aligned.select(
-        *rest, F.size("words").cast("long").alias("n_words"),
+        "_row.*", F.size("words").cast("long").alias("n_words"),
         F.when(F.col("hits").isNull(), 0).otherwise(F.size(places)).cast("long").alias("n_base"),
         F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
         F.coalesce(text(own), F.lit("")).alias("base_labels"), F.coalesce(text(F.concat(own, more)), F.lit("")).alias("labels"),

@@ -103,7 +103,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3
     """``docs`` with size, source_size, target, rate, copies and taken (the words it gives, repeats counted)."""
     rest = [c for c in docs.columns if c not in PLAN]
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) / F.lit(float(1 << 53))
-    sized = docs.select(*rest, word_count(F.col("text")).alias("size"), u.alias("_u"))
+    sized = docs.select(F.struct(*rest).alias("_row"), "source", word_count(F.col("text")).alias("size"), u.alias("_u"))
     slim = saved(sized.select("source", "size", "_u"))
     hist = saved(slim.groupBy("source", "size").agg(F.count("*").alias("n")))
     params = balanced(hist, source_targets(hist, weights, cap), cap)
@@ -123,7 +123,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3
     params = saved(params.join(cut, F.col("source").eqNullSafe(F.col("_c")), "left").drop("_c"))
     out = _rated(sized, params, cap)
     copies = (F.col("whole") + F.coalesce((F.col("bin") <= F.col("last")).cast("int"), F.lit(0))).cast("int")
-    return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select(*rest, *PLAN)
+    return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select("_row.*", *PLAN)
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 7) -> DataFrame:

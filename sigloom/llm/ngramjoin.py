@@ -345,6 +345,7 @@ def one_of_each(docs: DataFrame, n_words: int = 5, percent: int = 75) -> DataFra
     """
     found = classes(docs, n_words, percent)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_id")).drop("_id")
-    rows = named.unionByName(docs.where("doc_id is null")).withColumn("_h", F.xxhash64("text"))
-    return rows.dropDuplicates(["doc_id", "_h"]).drop("_h")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_at"),
+                       F.xxhash64("text").alias("_hash"))
+    rows = rows.join(kept, F.col("_at") == F.col("_id")).drop("_id").unionByName(rows.where("_at is null"))
+    return rows.dropDuplicates(["_at", "_hash"]).select("_row.*")

@@ -33,8 +33,8 @@ PHONE = r"(?<![0-9])(?:\+?1[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.\-])[2
 CARD = r"(?<![0-9])[3-6](?:[ \-]?[0-9]){12,18}(?![0-9])"
 KINDS = [MAIL, ACCESS_KEY, SECRET, IPV4, ISO_DATE, US_DATE, SSN, PHONE, CARD]
 ANY = "|".join(KINDS)
-#: Every candidate has one of these.
-HINT = "[0-9@]"
+#: Every candidate has one of these (a secret's value must have a digit).
+HINT = "[0-9@]|AKIA|ASIA"
 DAYS = (17, 4297)  # 17 * 4297 days from 1900 to 2099
 FIRST_DAY = "1900-01-01"
 
@@ -168,12 +168,13 @@ def masked(docs: DataFrame, key: str = "fixed-demo-key", count: bool = True) ->
     """``docs`` with every private value of ``text`` under its pseudonym, and ``n_private``, how many were replaced."""
     rest = [c for c in docs.columns if not (count and c == "n_private")]
     hit = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    found = docs.select(*rest, F.when(hit, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("_found"))
+    found = docs.select(F.struct(*rest).alias("_row"), F.when(hit, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("_found"))
     some = F.coalesce(F.size("_found") > 0, F.lit(False))
     new = found.withColumn("_new", F.when(some, F.transform("_found", lambda m: pseudonym(m, key))))
-    gaps = F.split("text", ANY, -1)
+    before = F.col("_row")["text"]
+    gaps = F.split(before, ANY, -1)
     text = F.array_join(F.flatten(F.zip_with(gaps, F.col("_new"), lambda g, m: F.array(g, m))), "")
     changed = F.size(F.filter(F.arrays_zip("_found", "_new"), lambda x: x["_found"] != x["_new"]))
-    out = {c: F.col(c) for c in rest} | {"text": F.when(some, text).otherwise(F.col("text")).alias("text")}
+    out = {c: F.col("_row")[c].alias(c) for c in rest} | {"text": F.when(some, text).otherwise(before).alias("text")}
     extra = [F.when(some, changed).otherwise(0).cast("long").alias("n_private")] if count else []
     return new.select(*out.values(), *extra)

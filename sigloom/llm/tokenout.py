@@ -194,8 +194,8 @@ def read_tokens(spark, path: str) -> DataFrame:
 
 def read_document(spark, path: str, doc_id: int) -> list[int]:
     """The ids of one document, by select on the boundaries of its shard (the end id included)."""
-    for r in spark.read.schema(SHARDS).parquet(path).where(F.col("first_id") <= doc_id).orderBy(
-            F.desc("first_id"), F.desc("tie"), F.desc("seq")).limit(1).collect():
+    for r in spark.read.schema(SHARDS).parquet(path).where(F.coalesce(F.col("first_id") <= doc_id, F.lit(True))).orderBy(
+            F.desc_nulls_last("first_id"), F.desc("tie"), F.desc("seq")).limit(1).collect():
         named = EliasFano.from_bytes(r["doc_ids"])
         ends = EliasFano.from_bytes(r["ends"])
         lo, hi = 0, named.n
