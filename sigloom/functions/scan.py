@@ -16,8 +16,6 @@ from pyspark.sql.window import Window
 from sigloom.session import broadcast_if_small, materialise
 
 ROW_MASK = (1 << 33) - 1
-# Groups counted at or below this many rows may use a plain window.
-MAX_WINDOW_ROWS = 2_000_000
 
 
 def range_sorted(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -69,30 +67,16 @@ def prefix_sum(df: DataFrame, order: list[Column], values: dict[str, Column],
     return s.drop("_part", "_pos", *[f"_v_{k}" for k in values], *[f"_c_{k}" for k in values])
 
 
-def group_bound(df: DataFrame, group: list[str]) -> int:
-    """Rows in the largest group (partial aggregation, one number to the driver)."""
-    biggest = df.groupBy(*group).count().agg(F.max("count")).first()[0]
-    return int(biggest or 0)
+def average_rank(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """Tie-averaged rank of ``value`` within ``group`` for every row; a null has no rank.
 
-
-def average_rank(df: DataFrame, group: list[str], value: str, name: str,
-                 limit: int = MAX_WINDOW_ROWS) -> DataFrame:
-    """Tie-averaged rank of ``value`` within ``group`` for every row.
-
-    Equal values are counted first. Groups within ``limit`` use a window; otherwise the running
-    counts come from ``prefix_sum`` and are joined back on (group, value).
+    One path for all sizes: both windows use the sort by (group, value). It is meant for groups of
+    one date, which hold a row for each symbol at most.
     """
-    if group_bound(df, group) <= limit:
-        w = Window.partitionBy(*group).orderBy(value)
-        ties = Window.partitionBy(*group, value)
-        return df.withColumn(
-            name, F.rank().over(w) + (F.count("*").over(ties) - 1) / F.lit(2.0))
-    keys = [*group, value]
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_c"))
-    ranked = prefix_sum(counts, [F.col(c) for c in keys], {"_upto": F.col("_c")}, group)
-    ranked = ranked.select(
-        *keys, (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / F.lit(2.0)).alias(name))
-    return df.join(ranked, keys)
+    known = F.col(value).isNotNull()
+    w = Window.partitionBy(*group).orderBy(F.asc_nulls_last(value))
+    ties = Window.partitionBy(*group, value)
+    return df.withColumn(name, F.when(known, F.rank().over(w) + (F.count("*").over(ties) - 1) / F.lit(2.0)))
 
 
 def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float]) -> DataFrame:

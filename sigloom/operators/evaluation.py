@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sigloom.functions.scalar import EPS
-from sigloom.functions.scan import MAX_WINDOW_ROWS, average_rank
+from sigloom.functions.scan import average_rank
 from sigloom.params import Params
 
 
-def rank_ic(long: DataFrame, min_rows: int = 5, limit: int = MAX_WINDOW_ROWS) -> DataFrame:
+def rank_ic(long: DataFrame, min_rows: int = 5) -> DataFrame:
     """dt, factor, ic from (dt, factor, value, ret): Spearman correlation with averaged ties.
 
     Dates with fewer than five rows or (almost) constant returns are skipped; a constant factor
-    has IC 0. Ranks are windows over (dt, factor) when the largest group is within ``limit``
-    rows, and distributed running counts beyond.
+    has IC 0. Rows without a value or a return do not count.
     """
+    long = long.where(F.col("value").isNotNull() & F.col("ret").isNotNull())
     days = long.groupBy("dt", "factor").agg(
         F.count(F.lit(1)).alias("n"), F.stddev_pop("ret").alias("sd"), F.stddev_pop("value").alias("sf"))
     days = days.where((F.col("n") >= min_rows) & (F.col("sd") >= 1e-6))
     kept = long.select("dt", "factor", "value", "ret").join(days.drop("n", "sd"), ["dt", "factor"])
-    r = average_rank(kept, ["dt", "factor"], "value", "rf", limit)
-    r = average_rank(r, ["dt", "factor"], "ret", "rr", limit)
+    r = average_rank(kept, ["dt", "factor"], "value", "rf")
+    r = average_rank(r, ["dt", "factor"], "ret", "rr")
     spread = F.stddev_pop("rf") * F.stddev_pop("rr")
     ic = F.coalesce(F.try_divide(F.covar_pop("rf", "rr"), spread), F.lit(0.0))
     return r.groupBy("dt", "factor").agg(

@@ -464,21 +464,14 @@ def bt_headline(spark, d):
 
 
 # --- factor evaluation ----------------------------------------------------------------------
-# Cheap factors whose vectors come straight from the indicators; every symbol-day is scored.
-IC_FACTORS = ("minervini", "macd_cross", "cmf", "gap", "wide_up_bar", "nr7", "volume_stall", "surge_price_3d")
-
-
-def _ic_input(spark, d) -> DataFrame:
-    b = bar_table(spark, d)
+def _ic_input(spark, d, b: DataFrame | None = None) -> DataFrame:
+    """Every factor of the panel on every symbol-day, with the return of the three days after it."""
+    b = b if b is not None else bar_table(spark, d)
     ids = b.select("sym", "dt", F.concat_ws("|", F.col("sym").cast("string"), F.col("dt").cast("string")).alias("sig_id"))
     r = backtest.trade_returns(ids, b, horizons=(3,))
-    p = series_features(b, statistics=False)
-    fixed = {"rs_20": 0.0, "beta_60d": 0.0, "tlt_corr": 0.0, "dxy_corr": 0.0, "vrp": 0.0, "pure_alpha": 0.0,
-             "weekly_bullish": False, "weekly_macd_res": False, "monthly_inst_flow": False,
-             "rsi_60m_bounce": False, **{k: 0.0 for k in factors.ALT_DEFAULTS}}
-    long = factors.factors_long(p.withColumns({k: F.lit(v) for k, v in fixed.items()}), IC_FACTORS)
-    # returns and values are compared at ten digits, so that equal prices rank as ties everywhere
-    long = long.withColumn("value", F.round("value", 10))
+    long = factors.factors_long(_panel(spark, d, b=b), SQL_FACTORS)
+    # returns and values are compared at eight digits, so that equal prices rank as ties everywhere
+    long = long.withColumn("value", F.round("value", 8))
     # read several times by the ranks: written once
     return materialise(evaluation.with_forward_return(long, r.withColumn("ret", F.round("ret", 10))))
 
@@ -525,19 +518,17 @@ def class_weights(spark, d):
 
 @query
 def stack_model(spark, d):
-    """Out-of-fold stack on the picks; returns the factor importances of the refitted model."""
+    """Out-of-fold stack on the picks over the selected factors; returns the importances of the refitted model."""
     r = _t3(spark, d).select("sig_id", "sym", "dt", "ret")
-    wide = series_features(fx.daily_bars(spark, d, fx.WILD), statistics=False)
-    names = ("minervini", "macd_cross", "cmf", "smart_money", "fvg", "liquidity_sweep", "amihud", "nr7")
-    fixed = {"rs_20": 0.0, "beta_60d": 0.0, "tlt_corr": 0.0, "dxy_corr": 0.0, "vrp": 0.0, "pure_alpha": 0.0,
-             "weekly_bullish": False, "weekly_macd_res": False, "monthly_inst_flow": False,
-             "rsi_60m_bounce": False, **{k: 0.0 for k in factors.ALT_DEFAULTS}}
+    b = bar_table(spark, d, fx.WILD)
+    kept = evaluation.select_factors(evaluation.ic_summary(evaluation.rank_ic(_ic_input(spark, d, b))))
+    names = sorted(x["factor"] for x in kept.collect())  # 64 at most
     cols = factors.factor_columns()
-    f = wide.withColumns({k: F.lit(v) for k, v in fixed.items()}).select("sym", "dt", *[cols[n].alias(n) for n in names])
+    f = _panel(spark, d, b=b).select("sym", "dt", *[cols[n].alias(n) for n in names])
     ctx = broadcast_if_small(context.market_context(fx.macro(spark, d)))
     t = r.join(f, ["sym", "dt"]).join(ctx.select("dt", "vix", F.col("credit_spread_mom").alias("cred")), "dt")
     t = t.withColumns({"term": F.lit(1.0), "pcr": F.lit(1.0)})
-    stack = learn.fit_stack(t, list(names))
+    stack = learn.fit_stack(t, names)
     w = evaluation.weight_map(stack.importances, len(ALL_FACTORS))
     return out(stack.importances.join(w, "factor"), "factor:s importance:f weight:f")
 

@@ -337,10 +337,9 @@ SELECT s.sym, s.dt, round((x.close * (1 - 0.003e0 - 0.0005e0) - cost) / (cost +
     CASE WHEN e.open / z.close - 1 > 0.03e0 THEN 0.5e0 ELSE 1 END AS half
   FROM priced z CROSS JOIN (SELECT max(idx) AS top FROM cal) m JOIN priced e ON e.sym = z.sym AND e.idx = least(z.idx + 1, m.top)) s
 JOIN priced x ON x.sym = s.sym AND x.idx = least(s.idx + 3, s.top)"""
-_ic = ", ".join(f"{{'f': '{k}', 'v': round(CAST(coalesce({FACTORS[k]}, 0) AS DOUBLE), 10)}}" for k in (
-    "minervini", "macd_cross", "cmf", "gap", "wide_up_bar", "nr7", "volume_stall", "surge_price_3d"))
+_ic = ", ".join(f"{{'f': '{k}', 'v': round(CAST(coalesce({v}, 0) AS DOUBLE), 8)}}" for k, v in FACTORS.items())
 F["ic_in"] = f"""
-SELECT i.dt, u.f AS factor, u.v AS value, ret FROM (SELECT sym, dt, unnest([{_ic}]) AS u FROM ind) i
+SELECT i.dt, u.f AS factor, u.v AS value, ret FROM (SELECT sym, dt, unnest([{_ic}]) AS u FROM pan) i
 JOIN fwd ON i.sym = fwd.sym AND i.dt = fwd.dt"""
 F["ic"] = """
 SELECT dt, factor, CASE WHEN stddev_pop(value) < 1e-6 THEN 0 ELSE
