@@ -18,11 +18,6 @@ def safe_div(num: Column, den: Column, cap: float = 20.0) -> Column:
     return F.coalesce(clip(F.try_divide(num, den), -cap, cap), F.lit(0.0))
 
 
-def gdiv(num: Column, den: Column) -> Column:
-    """num/(den + 1e-10), null (not an error) should the sum be exactly zero."""
-    return F.try_divide(num, den + F.lit(EPS))
-
-
 def scrub(x: Column, cap: float) -> Column:
     """Null and NaN to 0, infinities to +/-cap."""
     inf = float("inf")
@@ -53,13 +48,6 @@ def crosses_above(prev_fast: Column, prev_slow: Column, fast: Column, slow: Colu
     return yes((prev_fast < prev_slow) & (fast > slow))
 
 
-def period_days(code: Column) -> Column:
-    """'5d' / '3mo' / '1y' to days."""
-    n = F.regexp_extract(code, r"^(\d+)", 1).cast("int")
-    unit = F.regexp_extract(code, r"([a-z]+)$", 1)
-    return F.when(unit == "d", n).when(unit == "mo", n * 30).when(unit == "y", n * 365)
-
-
 def slippage_bps(exec_price: Column, arrival: Column, side: Column) -> Column:
     sign = F.when(side == "SELL", F.lit(-1.0)).otherwise(F.lit(1.0))
     return F.abs(exec_price - arrival) / (arrival + F.lit(EPS)) * F.lit(10000.0) * sign

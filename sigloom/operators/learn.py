@@ -1,8 +1,7 @@
 """Walk-forward stacked classifier on Spark ML: two boosted groups and an L1 logistic on top.
 
 Boosted trees here and in the reference are different implementations: same layout and settings,
-no numeric parity claimed. Scaling is fitted per fold (there it saw all rows); ``leaky_scaling``
-restores that.
+no numeric parity claimed. Scaling is fitted per fold (there it saw all rows).
 """
 
 from __future__ import annotations
@@ -86,7 +85,7 @@ def fit_stack(trades: DataFrame, active: list[str], rounds: int = 60, splits: in
     rows = materialise(expanding_folds(base, [F.col("dt"), F.col("sig_id")], splits))
 
     def fit(train: DataFrame, group: str) -> PipelineModel:
-        return _base(cols[group], rounds).fit(class_weights(train).cache())
+        return _base(cols[group], rounds).fit(class_weights(train))
 
     parts = []
     for k in range(1, splits + 1):
@@ -114,10 +113,9 @@ def fit_stack(trades: DataFrame, active: list[str], rounds: int = 60, splits: in
         ea, eb = math.exp(a), math.exp(b)
         weights = {"p_a": ea / (ea + eb), "p_b": eb / (ea + eb)}
     else:
-        full = rows.withColumns({"p_a": F.lit(0.0), "p_b": F.lit(0.0)})
         lr = LogisticRegression(featuresCol="meta", labelCol="label", weightCol="weight", regParam=1.0 / max(
-            rows.count(), 1), standardization=False)
-        meta = Pipeline(stages=[asm, lr]).fit(class_weights(full))
+            oof.count(), 1), standardization=False)
+        meta = Pipeline(stages=[asm, lr]).fit(class_weights(oof))
         weights = {"p_a": 0.5, "p_b": 0.5}
 
     models, share = {"meta": meta}, {}

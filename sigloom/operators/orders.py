@@ -10,21 +10,21 @@ from sigloom.functions.scalar import slippage_bps
 TERMINAL = ("FILLED", "REJECTED")
 
 
-def latest_state(events: DataFrame) -> DataFrame:
+def latest_state(events: DataFrame, broker_seq: str = "seq") -> DataFrame:
     """One row per order from append-only events.
 
     FILLED and REJECTED are final (nothing polls such an order again), so the first of them wins;
-    otherwise the newest event counts. A broker id once known is kept. All by aggregation: an
-    order with very many events collapses map-side.
+    otherwise the newest event counts. A broker id once known is kept, the newest by ``broker_seq``.
+    All by aggregation: an order with very many events collapses map-side.
     """
     s = F.struct("status", "price", "ts", "seq")
     final = F.when(F.col("status").isin(*TERMINAL), F.col("seq"))
-    known = F.when(F.col("broker_oid").isNotNull(), F.col("seq"))
+    known = F.when(F.col("broker_oid").isNotNull(), F.col(broker_seq))
     return events.groupBy("client_oid").agg(
         F.coalesce(F.min_by(s, final), F.max_by(s, "seq")).alias("s"),
-        F.max_by("broker_oid", known).alias("broker_oid"),
+        F.max_by("broker_oid", known).alias("broker_oid"), F.max(known).alias("broker_seq"),
         F.count(F.lit(1)).alias("n_events"),
-    ).select("client_oid", "s.status", "s.price", "s.ts", "s.seq", "broker_oid", "n_events")
+    ).select("client_oid", "s.status", "s.price", "s.ts", "s.seq", "broker_oid", "broker_seq", "n_events")
 
 
 def with_status(states: DataFrame, statuses: list[str]) -> DataFrame:

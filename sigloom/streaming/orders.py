@@ -1,15 +1,13 @@
-"""Order events as a stream. The lateness allowance is ours; batch runs of the same rows agree."""
+"""Order events as a stream: per-batch tables whose fold equals the batch result of the same rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
-from sigloom.functions.scalar import slippage_bps
-from sigloom.operators.orders import latest_state
-
-LATENESS = "10 minutes"
+from sigloom.operators.orders import TERMINAL, latest_state, tca_rows
 
 
 def state_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -30,20 +28,35 @@ def read_state(spark, path: str) -> DataFrame:
     """Fold of the micro-batch summaries: a first final state wins, else the newest."""
     s = spark.read.parquet(path)
     counts = s.groupBy("client_oid").agg(F.sum("n_events").alias("n"))
-    return latest_state(s.drop("n_events", "batch_id")).drop("n_events").join(counts, "client_oid").withColumnRenamed(
-        "n", "n_events")
-
-
-def tca_stream(events: DataFrame, orders: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """One row per order that becomes FILLED: filter, stream-static join, de-duplication whose
-    state is dropped after the watermark."""
-    fills = events.where("status = 'FILLED'").withWatermark("ts", lateness)
-    once = fills.dropDuplicatesWithinWatermark(["client_oid"])
-    o = orders.select("client_oid", "symbol", "side", "qty", "arrival_price")
-    return once.join(o, "client_oid").select(
-        "client_oid", "symbol", "side", "qty", "arrival_price", F.col("price").alias("execution_price"),
-        F.col("ts").alias("timestamp"),
-        slippage_bps(F.col("price"), F.col("arrival_price"), F.col("side")).alias("slippage_bps"))
+    return latest_state(s.drop("n_events", "batch_id"), "broker_seq").drop("n_events").join(
+        counts, "client_oid").withColumnRenamed("n", "n_events")
+
+
+def compact_state(spark, path: str, to: str) -> None:
+    """The folded state as one summary in folder ``to``; a stream that starts anew there goes on from it."""
+    read_state(spark, path).write.mode("overwrite").parquet(f"{to}/batch_id=-1")
+
+
+def finals_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Each order's first final event (FILLED or REJECTED), once: a micro-batch writes the orders that no earlier one
+    has written. The batch folder is overwritten on a retry, so a retry writes the same rows."""
+    def add(batch: DataFrame, batch_id: int) -> None:
+        new = latest_state(batch.where(F.col("status").isin(*TERMINAL))).drop("broker_oid", "broker_seq", "n_events")
+        try:
+            done = batch.sparkSession.read.parquet(path).where(F.col("batch_id") < batch_id).select("client_oid")
+            new = new.join(done, "client_oid", "left_anti")
+        except AnalysisException:  # nothing is written yet
+            pass
+        new.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def streamed_tca(spark, path: str, orders: DataFrame) -> DataFrame:
+    """Transaction-cost rows of the orders whose first final event is FILLED."""
+    filled = spark.read.parquet(path).where("status = 'FILLED'")
+    return tca_rows(filled.select("client_oid", F.col("price").alias("execution_price"), F.col("ts").alias("timestamp")), orders)
 
 
 def slippage_histogram_stream(tca: DataFrame, step: float) -> DataFrame:

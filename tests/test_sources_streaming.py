@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
-import shutil
+import os
 
+import numpy as np
+import pandas as pd
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -50,16 +52,20 @@ def test_samples_append_is_idempotent(spark, tmp_path):
 
 
 @pytest.fixture
-def events_dir(tmp_path):
+def events_dir(spark, tmp_path):
+    """The events in four files in order of their id, each read as a micro-batch of its own."""
     d = tmp_path / "events"
     d.mkdir()
-    shutil.copy(f"{SF}/events.parquet", d / "events.parquet")
+    e = pd.read_parquet(f"{SF}/events.parquet").sort_values("event_id")
+    for k, part in enumerate(np.array_split(e, 4)):
+        part.to_parquet(d / f"{k}.parquet", index=False, coerce_timestamps="us")
+        os.utime(d / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
     return str(d)
 
 
 def streamed(spark, d):
     schema = spark.read.parquet(d).schema
-    e = spark.readStream.schema(schema).parquet(d)
+    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d)
     status = (F.when(F.col("event_type") == "signup", "PENDING_SUBMIT").when(F.col("event_type") == "purchase", "FILLED")
               .when(F.col("event_type") == "error", "REJECTED").otherwise("OPEN"))
     return e.select(F.col("user_id").alias("client_oid"), F.col("event_id").alias("seq"),
@@ -74,18 +80,31 @@ def test_order_state_stream(spark, events_dir, tmp_path):
     assert rows(SO.read_state(spark, f"{tmp_path}/state").drop("n_events")) == rows(want)
 
 
-def test_tca_stream_emits_each_order_once(spark, events_dir):
+def test_late_summary_keeps_the_newest_broker_id(spark, tmp_path):
+    schema = "client_oid long, seq long, ts timestamp, status string, price double, broker_oid long"
+    for k, part in enumerate(([(1, 5, None, "OPEN", 1.0, 55), (1, 9, None, "OPEN", 1.0, None)], [(1, 7, None, "OPEN", 1.0, 77)],
+                              [(1, 6, None, "OPEN", 1.0, 66), (1, 8, None, "OPEN", 1.0, None)])):
+        orders.latest_state(spark.createDataFrame(part, schema)).write.parquet(f"{tmp_path}/s/batch_id={k}")
+    r = SO.read_state(spark, f"{tmp_path}/s").first()
+    assert (r["seq"], r["broker_oid"], r["n_events"]) == (9, 77, 5)
+    SO.compact_state(spark, f"{tmp_path}/s", f"{tmp_path}/c")
+    assert rows(SO.read_state(spark, f"{tmp_path}/c")) == rows(SO.read_state(spark, f"{tmp_path}/s"))
+
+
+def test_tca_stream_equals_batch(spark, events_dir, tmp_path):
     o = fx.orders(spark, SF)
-    out = SO.tca_stream(streamed(spark, events_dir), o)
-    q = out.writeStream.format("memory").queryName("tca_out").outputMode("append").trigger(availableNow=True).start()
+    q = SO.finals_stream(streamed(spark, events_dir), f"{tmp_path}/f", f"{tmp_path}/cp")
     q.awaitTermination(120)
-    got = spark.table("tca_out")
-    filled = fx.order_events(spark, SF).where("status = 'FILLED'").select("client_oid").distinct().count()
-    assert got.count() == got.select("client_oid").distinct().count() == filled
+    assert sum(p["numInputRows"] > 0 for p in q.recentProgress) >= 3
+    got = SO.streamed_tca(spark, f"{tmp_path}/f", o)
+    want = orders.tca_rows(orders.first_fills(fx.order_events(spark, SF)), o)
+    assert rows(got) == rows(want) and got.count() == got.select("client_oid").distinct().count() > 0
+    h = SO.slippage_histogram_stream(got, 5.0)
+    assert h.agg(F.sum("n")).first()[0] == got.count()
 
 
 def test_bar_stream_matches_batch(spark, events_dir):
-    e = spark.readStream.schema(spark.read.parquet(events_dir).schema).parquet(events_dir)
+    e = spark.readStream.schema(spark.read.parquet(events_dir).schema).option("maxFilesPerTrigger", 1).parquet(events_dir)
     t = e.select(F.col("user_id").alias("sym"), F.col("ts").cast("timestamp").alias("ts"),
                  F.col("event_id").alias("seq"), F.col("value").alias("px"), F.lit(1.0).alias("q"))
     q = SB.bar_stream(t).writeStream.format("memory").queryName("bars_out").outputMode("complete").trigger(
