@@ -24,6 +24,7 @@ doc_id has none. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +39,14 @@ from sigloom.llm.graph import components
 from sigloom.session import broadcast_if_small
 
 CLASS_SHIFT = 44
-#: Sketch rows, and how many partial sketches are summed into one at first.
-CHUNKS, FAN_IN = 64, 16
+#: Buckets of the sketch, its rows, and how many partial sketches are summed into one at first.
+SKETCH_BITS, CHUNKS, FAN_IN = 22, 64, 16
 #: Members of one prefix-tree block, and parts of a hot token.
 BLOCK, PARTS = 512, 16
 #: One more shared prefix token is asked for with every so many n-grams.
 PER_SHARED = 32
+#: Pairs that a task holds before it sums them up.
+HELD_PAIRS = 1 << 20
 
 
 def _sets(texts: pa.Array, n_words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -65,22 +68,31 @@ def _sets(texts: pa.Array, n_words: int) -> Iterator[tuple[int, list[np.ndarray]
         yield first, out
 
 
-def _sketch(docs: DataFrame, n_words: int, bits: int) -> np.ndarray:
-    """Frequency class of every hash bucket, counted over all documents; 2^bits bytes."""
-    chunk = 1 << bits - 6
+def _sketch(docs: DataFrame, n_words: int) -> np.ndarray:
+    """Frequency class of every hash bucket, counted over all documents; 2^SKETCH_BITS bytes whatever the corpus.
+
+    Class 0 has the buckets within the noise of the usual load, each further class doubles the excess.
+    """
+    chunk = (1 << SKETCH_BITS) // CHUNKS
+    schema = "chunk int, part int, seen binary"
+
+    def batch_of(rows: list[tuple[int, int, np.ndarray]], kind: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({
+            "chunk": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()),
+            "seen": pa.array([zlib.compress(kind.encode() + r[2].astype(kind).tobytes(), 1) for r in rows], pa.binary())})
+
+    def counts(raw: bytes) -> np.ndarray:
+        raw = zlib.decompress(raw)
+        return np.frombuffer(raw, raw[:2].decode(), offset=2)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, np.uint16)
+        seen = np.zeros(1 << SKETCH_BITS, np.uint16)
         for batch in batches:
             for _, sets in _sets(column(batch, "text"), n_words):
-                at, n = np.unique((np.concatenate(sets) >> U64(64 - bits)).astype(np.int64), return_counts=True)
+                at, n = np.unique((np.concatenate(sets) >> U64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
                 seen[at] = np.minimum(255, seen[at] + n)
         part = (TaskContext.get().partitionId() if TaskContext.get() else 0) // FAN_IN
-        full = [(c, seen[c * chunk:(c + 1) * chunk]) for c in range(CHUNKS)]
-        full = [(c, s.astype("<u4")) for c, s in full if s.any()]
-        yield pa.RecordBatch.from_pydict({
-            "chunk": pa.array([c for c, _ in full], pa.int32()), "part": pa.array([part] * len(full), pa.int32()),
-            "seen": pa.array([s.tobytes() for _, s in full], pa.binary())})
+        yield batch_of([(c, part, seen[c * chunk:(c + 1) * chunk]) for c in range(CHUNKS) if seen[c * chunk:(c + 1) * chunk].any()], "u1")
 
     def added(keys: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,50 +101,29 @@ def _sketch(docs: DataFrame, n_words: int, bits: int) -> np.ndarray:
                 for r in batch.to_pylist():
                     if key != [r[k] for k in keys]:
                         if key is not None:
-                            yield out(key, total)
+                            yield batch_of([(key[0], key[-1], total)], "u4")
                         key, total = [r[k] for k in keys], np.zeros(chunk, np.uint32)
-                    total += np.frombuffer(r["seen"], "<u4")
+                    total += counts(r["seen"])
             if key is not None:
-                yield out(key, total)
-
-        def out(key, total):
-            return pa.RecordBatch.from_pydict({
-                "chunk": pa.array([key[0]], pa.int32()), "part": pa.array([key[-1] if len(keys) > 1 else 0], pa.int32()),
-                "seen": pa.array([total.astype("<u4").tobytes()], pa.binary())})
+                yield batch_of([(key[0], key[-1], total)], "u4")
 
         return run
 
-    rows = docs.select("text").mapInArrow(count, "chunk int, part int, seen binary")
+    rows = docs.select("text").mapInArrow(count, schema)
     for keys in (["chunk", "part"], ["chunk"]):
-        rows = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(added(keys), "chunk int, part int, seen binary")
-    rows = saved(rows)
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"n": [int(np.frombuffer(s, "<u4").sum()) for s in column(batch, "seen").to_pylist()]})
-
-    n = rows.mapInArrow(total, "n long").agg(F.sum("n")).first()[0] or 0
-    usual = 4 * n / (1 << bits) + 16
-
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = []
-            for s in column(batch, "seen").to_pylist():
-                c = np.frombuffer(s, "<u4").astype(np.float64)
-                got.append(np.where(c > usual, np.minimum(15, 1 + np.log2(np.maximum(1, c / usual))), 0).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([column(batch, "chunk"), pa.array(got, pa.binary())], names=["chunk", "kind"])
-
-    kinds = np.zeros(1 << bits, np.uint8)
-    # 2^bits bytes in all
-    for r in rows.mapInArrow(classed, "chunk int, kind binary").collect():
-        kinds[r["chunk"] * chunk:(r["chunk"] + 1) * chunk] = np.frombuffer(r["kind"], np.uint8)
-    return kinds
+        rows = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(added(keys), schema)
+    total = np.zeros(1 << SKETCH_BITS, np.float64)
+    # one row for each of the CHUNKS
+    for r in rows.select("chunk", "seen").collect():
+        total[r["chunk"] * chunk:(r["chunk"] + 1) * chunk] = counts(r["seen"])
+    usual = np.median(total)
+    excess = (total - usual) / (6 * math.sqrt(usual) + 8)
+    return np.where(excess > 1, np.minimum(15, 1 + np.log2(np.maximum(1, excess))), 0).astype(np.uint8)
 
 
 def ngram_sets(docs: DataFrame, n_words: int = 5) -> DataFrame:
     """k (a key of the row), doc_id, n, fp (equal for equal sets) and toks (48-bit tokens in global order)."""
-    bits = min(26, max(16, math.ceil(math.log2(32 * max(1, docs.count())))))
-    kinds = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n_words, bits))
+    kinds = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
@@ -141,7 +132,7 @@ def ngram_sets(docs: DataFrame, n_words: int = 5) -> DataFrame:
             for first, sets in _sets(column(batch, "text"), n_words):
                 flat = np.concatenate(sets)
                 size = np.fromiter(map(len, sets), np.int64, len(sets))
-                kind = kinds.value[(flat >> U64(64 - bits)).astype(np.int64)].astype(U64)
+                kind = kinds.value[(flat >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(U64)
                 # the low hash bits: the high ones chose the bucket
                 tok = kind << U64(CLASS_SHIFT) | flat & U64((1 << CLASS_SHIFT) - 1)
                 cut = np.concatenate([[0], np.cumsum(size)])
@@ -200,9 +191,12 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(held[i]) for i in (0, 2, 3)], names=["tok", "k", "n"])
 
 
-def tree_overlaps(probe: np.ndarray, members: list[np.ndarray], percent: int) -> np.ndarray:
-    """Overlap of ``probe`` with each member (sorted token arrays), -1 where the walk was cut short: no link there."""
-    out = np.full(len(members), -1, np.int64)
+def tree_overlaps(probe: np.ndarray, members: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest possible overlap of ``probe`` with each member (sorted token arrays).
+
+    Both are the overlap itself where the walk came to the end; where it was cut short there is no link.
+    """
+    low, high = np.zeros(len(members), np.int64), np.zeros(len(members), np.int64)
     down = [m[::-1] for m in members]  # common tokens first
     order = sorted(range(len(down)), key=lambda i: down[i].astype(">u8").tobytes())
     big = max(map(len, members))
@@ -212,29 +206,32 @@ def tree_overlaps(probe: np.ndarray, members: list[np.ndarray], percent: int) ->
         return -(-percent * (n + len(probe)) // (100 + percent))
 
     spare, least = max(big - needed(big), 0), needed(min(map(len, members)))
-    dead, last, counted = 1 << 60, down[order[0]][:0], np.zeros(0, np.int64)
+    none = 1 << 60
+    dead, got, left, last, counted = none, 0, 0, down[order[0]][:0], np.zeros(0, np.int64)
     for i in order:
         path = down[i]
         m = min(len(last), len(path))
         differ = np.flatnonzero(last[:m] != path[:m])
         shared = int(differ[0]) if len(differ) else m
         last = path
-        if shared >= dead:
-            continue  # below a node that was left
-        dead = 1 << 60
-        counted = counted[:shared]
-        while len(counted) < len(path):
-            part = path[len(counted):len(counted) + 128]
-            at = np.searchsorted(probe, part)
-            hit = probe[np.minimum(at, len(probe) - 1)] == part
-            counted = np.concatenate([counted, (counted[-1] if len(counted) else 0) + np.cumsum(hit)])
-            depth, got = len(counted), int(counted[-1])
-            if depth - got > spare or got + min(int(at[-1]), big - depth) < least:
-                dead = depth
-                break
-        if dead == 1 << 60:
-            out[i] = int(counted[-1]) if len(counted) else 0
-    return out
+        if shared < dead:
+            dead = none
+            counted = counted[:shared]
+            while len(counted) < len(path):
+                part = path[len(counted):len(counted) + 128]
+                at = np.searchsorted(probe, part)
+                hit = probe[np.minimum(at, len(probe) - 1)] == part
+                counted = np.concatenate([counted, (counted[-1] if len(counted) else 0) + np.cumsum(hit)])
+                depth, got, left = len(counted), int(counted[-1]), int(at[-1])
+                if depth < len(path) and (depth - got > spare or got + min(left, big - depth) < least):
+                    dead = depth
+                    break
+            if dead == none:
+                low[i] = high[i] = int(counted[-1]) if len(counted) else 0
+                continue
+        # below a node that was left
+        low[i], high[i] = got, got + min(left, len(path) - dead)
+    return low, high
 
 
 def _compared(percent: int):
@@ -243,25 +240,25 @@ def _compared(percent: int):
             a, part, b = (table.column(c).to_numpy() for c in ("a", "part", "b"))
             toks = table.column("toks").to_pylist()
             cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (part[1:] != part[:-1]), [True]])).tolist()
-            us, vs = [], []
+            out = []
             for x, y in zip(cut, cut[1:]):
                 sets = {int(b[i]): _tokens(toks[i]) for i in range(x, y)}
                 probe = sets.pop(int(a[x]))
                 names = [k for k, s in sets.items() if 100 * min(len(s), len(probe)) >= percent * max(len(s), len(probe))]
                 if not names:
                     continue
-                both = tree_overlaps(probe, [sets[k] for k in names], percent)
-                for k, o in zip(names, both.tolist()):
-                    if o >= 0 and 100 * o >= percent * (len(probe) + len(sets[k]) - o):
-                        us.append(int(a[x]))
-                        vs.append(k)
-            yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+                low, high = tree_overlaps(probe, [sets[k] for k in names], percent)
+                size = np.array([len(sets[k]) for k in names])
+                out.append((np.full(len(names), a[x]), np.array(names, np.int64), low, high,
+                            (low == high) & (100 * low >= percent * (len(probe) + size - low))))
+            cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "low", "high", "linked"])
 
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, as links (u, v)."""
+def _walked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with the bounds of their overlap (low, high) and whether they are linked; a is the probe."""
     pairs = saved(pairs.select("a", "b"))
     ids = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
     need = saved(sets.select("k", "toks").join(broadcast_if_small(ids), "k"), "snappy")
@@ -270,25 +267,48 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     probes = parts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     rows = members.unionByName(probes).join(need.withColumnRenamed("k", "b"), "b")
     dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part")
-    return saved(dealt.select("a", "part", "b", "toks").mapInArrow(_compared(percent), "u long, v long"))
+    return saved(dealt.select("a", "part", "b", "toks").mapInArrow(_compared(percent), "a long, b long, low long, high long, linked boolean"))
 
 
 def _open_pairs(percent: int):
+    """Pairs of one token's rows in different classes that may be linked, with how many tokens they met at.
+
+    Two sets that were compared with the same hub bound their own overlap: |x & m| <= |x & hub| + |m - hub|. Pairs
+    whose bound stays below the threshold are left out here, and so are a set and its own hub.
+    """
+    def summed(parts: list) -> pa.RecordBatch:
+        x, y, c = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((y, x))
+        x, y, c = x[order], y[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        return pa.RecordBatch.from_pydict({"a": x[first], "b": y[first], "c": np.add.reduceat(c, first)})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
         for table in whole_groups(batches, ["tok"]):
-            tok, k, n, root = (table.column(c).to_numpy() for c in ("tok", "k", "n", "root"))
+            tok, k, n, root, hub, low, high = (
+                table.column(c).to_numpy().astype(np.int64) for c in ("tok", "k", "n", "root", "hub", "low", "high"))
             end = np.searchsorted(tok, tok, "right")
             step, open_ = 0, np.arange(len(tok))
             while len(open_):
                 # every row with the one ``step`` places on in its token's run; sizes ascend
                 step += 1
                 open_ = open_[open_ + step < end[open_]]
-                open_ = open_[percent * n[open_ + step].astype(np.int64) <= 100 * n[open_].astype(np.int64)]
+                open_ = open_[percent * n[open_ + step] <= 100 * n[open_]]
                 i = open_[root[open_] != root[open_ + step]]
+                j = i + step
+                most = np.minimum(high[i] + n[j] - low[j], high[j] + n[i] - low[i])
+                most = np.where((hub[i] == hub[j]) & (hub[i] >= 0), most, np.minimum(n[i], n[j]))
+                far = (100 * most < percent * (n[i] + n[j] - most)) | (hub[i] == k[j]) | (hub[j] == k[i])
+                i, j = i[~far], j[~far]
                 if len(i):
-                    x, y = k[i], k[i + step]
-                    yield pa.RecordBatch.from_pydict({
-                        "a": np.minimum(x, y), "b": np.maximum(x, y), "least": np.minimum(n[i], n[i + step])})
+                    held.append((np.minimum(k[i], k[j]), np.maximum(k[i], k[j]), np.ones(len(i), np.int64)))
+                    n_held += len(i)
+                if n_held > HELD_PAIRS:
+                    yield summed(held)
+                    held, n_held = [], 0
+        if held:
+            yield summed(held)
 
     return run
 
@@ -307,27 +327,32 @@ def classes(docs: DataFrame, n_words: int = 5, percent: int = 75) -> DataFrame:
     shared = saved(shared)
     enough = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * percent / 100) / PER_SHARED))
     live = shared.groupBy("k", "n").agg(F.count("*").alias("c")).where(F.col("c") >= enough).select(
-        "k", (F.col("n") - F.ceil(F.col("n") * percent / 100) + F.greatest(F.lit(1), F.floor(F.col("n") / PER_SHARED))
+        "k", "n", (F.col("n") - F.ceil(F.col("n") * percent / 100) + F.greatest(F.lit(1), F.floor(F.col("n") / PER_SHARED))
               - F.col("c")).alias("own"))
-    shared = saved(shared.join(live, "k"))
+    live = saved(live)
+    shared = saved(shared.join(live.select("k", "own"), "k"))
     # round 1: each document with its hub
     hubs = shared.groupBy("tok").agg(F.min(F.struct("own", F.col("k").alias("hub"))).alias("h"))
     with_hub = shared.select("tok", "k").join(hubs, "tok").where("k <> h.hub").groupBy("k", "h.hub").agg(F.count("*").alias("c"))
     first = with_hub.groupBy("k").agg(F.max(F.struct("c", "hub")).alias("best")).select(
         F.col("best.hub").alias("a"), F.col("k").alias("b"))
-    links = _linked(first, sets, percent)
-    # round 2: what shares enough and is not known to be connected
+    walked = _walked(first, sets, percent)
+    links = walked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # round 2: what shares enough, is not known to be connected and may be linked
     roots = components(links)
-    rest = shared.select("tok", "k", "n").join(roots.withColumnRenamed("node", "k"), "k", "left").select(
-        "tok", "k", "n", F.coalesce("root", "k").alias("root"))
+    own = walked.select(F.col("b").alias("k"), F.col("a").alias("hub"), "low", "high")
+    rest = shared.select("tok", "k", "n").join(roots.withColumnRenamed("node", "k"), "k", "left").join(own, "k", "left").select(
+        "tok", "k", "n", F.coalesce("root", "k").alias("root"), F.coalesce("hub", F.lit(-1)).alias("hub"),
+        F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", F.col("n")).cast("long").alias("high"))
     rest = saved(rest)
     several = rest.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tok")
     runs = rest.join(several, "tok").repartition("tok").sortWithinPartitions("tok", "n")
-    second = runs.mapInArrow(_open_pairs(percent), "a long, b long, least int").groupBy("a", "b").agg(
-        F.count("*").alias("c"), F.min("least").alias("least")).where(
-        F.col("c") >= F.greatest(F.lit(1), F.floor(F.col("least") / PER_SHARED)))
-    links = links.unionByName(_linked(second, sets, percent))
-    roots = components(links)
+    size = live.select("k", "n")
+    second = runs.mapInArrow(_open_pairs(percent), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    second = second.join(size.withColumnsRenamed({"k": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"k": "b", "n": "nb"}), "b")
+    second = second.where(F.col("c") >= F.greatest(F.lit(1), F.floor(F.least("na", "nb") / PER_SHARED)))
+    more = _walked(second, sets, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = components(links.unionByName(more))
     node = sets.where("n > 0").select("k", "doc_id", "n", "fp").join(reps, ["n", "fp"]).join(
         roots.withColumnRenamed("node", "rep"), "rep", "left").select("k", "doc_id", F.coalesce("root", "rep").alias("root"))
     node = saved(node)
