@@ -35,7 +35,17 @@ def saved(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: a lineage cut with column pruning."""
     path = f"{scratch_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove saved tables. Only for tables that nothing reads any more: what came of them must be saved itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import (LOWER, U64, column, gram_hash, mix, prefix_hash, saved, span_hash, text_blocks,
+from sigloom.llm.common import (LOWER, U64, column, discard, gram_hash, mix, prefix_hash, saved, span_hash, text_blocks,
                                 whole_groups, words_of)
 from sigloom.llm.graph import components
 from sigloom.session import broadcast_if_small
@@ -267,7 +267,10 @@ def _walked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     probes = parts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     rows = members.unionByName(probes).join(need.withColumnRenamed("k", "b"), "b")
     dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part")
-    return saved(dealt.select("a", "part", "b", "toks").mapInArrow(_compared(percent), "a long, b long, low long, high long, linked boolean"))
+    out = saved(dealt.select("a", "part", "b", "toks").mapInArrow(
+        _compared(percent), "a long, b long, low long, high long, linked boolean"))
+    discard(need, pairs)
+    return out
 
 
 def _open_pairs(percent: int):
@@ -316,21 +319,25 @@ def _open_pairs(percent: int):
 def classes(docs: DataFrame, n_words: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
     sets = ngram_sets(docs, n_words)
-    reps = saved(sets.where("n > 0").groupBy("n", "fp").agg(F.min("k").alias("rep")))
+    heads = saved(sets.drop("toks"))
+    reps = saved(heads.where("n > 0").groupBy("n", "fp").agg(F.min("k").alias("rep")))
     part = F.when(F.shiftright("tok", CLASS_SHIFT) > 0, F.pmod(F.xxhash64("k"), F.lit(PARTS))).otherwise(0).cast("int")
     rows = sets.select("k", "n", "toks").mapInArrow(_prefix_rows(percent), "tok long, k long, n int")
     shared = saved(rows.withColumn("part", part).repartition("tok", "part").sortWithinPartitions("tok", "part").mapInArrow(
         _shared_rows, "tok long, k long, n int"))
     # one row of each set; tokens that still occur twice; documents that share enough of them
-    shared = saved(shared.join(reps.select(F.col("rep").alias("k")), "k"))
-    shared = shared.join(shared.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok"), "tok")
-    shared = saved(shared)
+    every, shared = shared, saved(shared.join(reps.select(F.col("rep").alias("k")), "k"))
+    discard(every)
+    several = shared.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
+    every, shared = shared, saved(shared.join(several, "tok"))
+    discard(every)
     enough = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * percent / 100) / PER_SHARED))
     live = shared.groupBy("k", "n").agg(F.count("*").alias("c")).where(F.col("c") >= enough).select(
         "k", "n", (F.col("n") - F.ceil(F.col("n") * percent / 100) + F.greatest(F.lit(1), F.floor(F.col("n") / PER_SHARED))
               - F.col("c")).alias("own"))
     live = saved(live)
-    shared = saved(shared.join(live.select("k", "own"), "k"))
+    every, shared = shared, saved(shared.join(live.select("k", "own"), "k"))
+    discard(every)
     # round 1: each document with its hub
     hubs = shared.groupBy("tok").agg(F.min(F.struct("own", F.col("k").alias("hub"))).alias("h"))
     with_hub = shared.select("tok", "k").join(hubs, "tok").where("k <> h.hub").groupBy("k", "h.hub").agg(F.count("*").alias("c"))
@@ -345,6 +352,7 @@ def classes(docs: DataFrame, n_words: int = 5, percent: int = 75) -> DataFrame:
         "tok", "k", "n", F.coalesce("root", "k").alias("root"), F.coalesce("hub", F.lit(-1)).alias("hub"),
         F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", F.col("n")).cast("long").alias("high"))
     rest = saved(rest)
+    discard(shared)
     several = rest.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tok")
     runs = rest.join(several, "tok").repartition("tok").sortWithinPartitions("tok", "n")
     size = live.select("k", "n")
@@ -352,13 +360,14 @@ def classes(docs: DataFrame, n_words: int = 5, percent: int = 75) -> DataFrame:
     second = second.join(size.withColumnsRenamed({"k": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"k": "b", "n": "nb"}), "b")
     second = second.where(F.col("c") >= F.greatest(F.lit(1), F.floor(F.least("na", "nb") / PER_SHARED)))
     more = _walked(second, sets, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    discard(rest, sets)
     roots = components(links.unionByName(more))
-    node = sets.where("n > 0").select("k", "doc_id", "n", "fp").join(reps, ["n", "fp"]).join(
+    node = heads.where("n > 0").join(reps, ["n", "fp"]).join(
         roots.withColumnRenamed("node", "rep"), "rep", "left").select("k", "doc_id", F.coalesce("root", "rep").alias("root"))
     node = saved(node)
     named = node.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     known = node.join(named, "root").select("k", "component_id")
-    return sets.select("k", "doc_id", "n").join(known, "k", "left").select(
+    return heads.select("k", "doc_id", "n").join(known, "k", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
