@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sigloom.session import ensure_checkpoint_dir
 
 #: Bytes of text that are handled in one numpy block; a longer document is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 U64 = np.uint64
 WHITE = np.zeros(256, bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True

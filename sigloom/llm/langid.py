@@ -27,7 +27,7 @@ from sigloom.llm.common import column
 
 STRETCH = 256
 #: Characters that are parsed in one numpy block.
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 19
 #: A table entry's two top bits count the phrases that end, the rest is the next state.
 FLAG = np.uint32(1 << 30)
 STATE = np.uint32((1 << 30) - 1)

@@ -35,7 +35,7 @@ PAIR = 1 << 20
 #: Symbols in one numpy block of words, and the bounds of each variant's cache.
 BLOCK_SYMBOLS = 1 << 18
 LONG_WORD = 256
-CACHE_WORDS, CACHE_CHARS = 180_000, 6_000_000
+CACHE_WORDS, CACHE_CHARS = 100_000, 4_000_000
 ENCODED = ["variant", "n_pieces", "ids"]
 _UNIT = re.compile(r" +[^ ]*")
 
