@@ -325,13 +325,15 @@ def classes(docs: DataFrame, n_words: int = 5, percent: int = 75) -> DataFrame:
     rows = sets.select("k", "n", "toks").mapInArrow(_prefix_rows(percent), "tok long, k long, n int")
     shared = saved(rows.withColumn("part", part).repartition("tok", "part").sortWithinPartitions("tok", "part").mapInArrow(
         _shared_rows, "tok long, k long, n int"))
-    # one row of each set; tokens that still occur twice; documents that share enough of them
-    every, shared = shared, saved(shared.join(reps.select(F.col("rep").alias("k")), "k"))
+    # one row of each set, of documents that share enough; then tokens that still occur twice, and again
+    enough = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * percent / 100) / PER_SHARED))
+    able = shared.groupBy("k", "n").agg(F.count("*").alias("c")).where(F.col("c") >= enough).select("k").join(
+        reps.select(F.col("rep").alias("k")), "k")
+    every, shared = shared, saved(shared.join(able, "k"))
     discard(every)
     several = shared.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
     every, shared = shared, saved(shared.join(several, "tok"))
     discard(every)
-    enough = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * percent / 100) / PER_SHARED))
     live = shared.groupBy("k", "n").agg(F.count("*").alias("c")).where(F.col("c") >= enough).select(
         "k", "n", (F.col("n") - F.ceil(F.col("n") * percent / 100) + F.greatest(F.lit(1), F.floor(F.col("n") / PER_SHARED))
               - F.col("c")).alias("own"))
