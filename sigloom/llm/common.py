@@ -13,6 +13,8 @@ from sigloom.session import ensure_checkpoint_dir
 
 #: Bytes of text that are handled in one numpy block; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 19
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1024
 U64 = np.uint64
 WHITE = np.zeros(256, bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
@@ -48,6 +50,18 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session sends at most BATCH_ROWS rows to Python at once from now on.
+
+    Texts are long: the usual 10,000 rows are tens of MB in the JVM and again in each worker. The setting is read when
+    a plan runs, which may be after an operator has returned, so it stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

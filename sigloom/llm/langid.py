@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sigloom.llm.common import column
+from sigloom.llm.common import column, small_batches
 
 STRETCH = 256
 #: Characters that are parsed in one numpy block.
@@ -199,4 +199,4 @@ def identified(docs: DataFrame, parser: CrossParser, holdout: int = 5) -> DataFr
     rows = docs.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % holdout == 0, F.lit(False)).alias(
         "held_out"), "text")
     schema = rows.select("doc_id", "held_out").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import (LOWER, U64, column, discard, gram_hash, mix, prefix_hash, saved, span_hash, text_blocks,
+from sigloom.llm.common import (LOWER, U64, column, discard, gram_hash, mix, prefix_hash, saved, small_batches, span_hash, text_blocks,
                                 whole_groups, words_of)
 from sigloom.llm.graph import components
 from sigloom.session import broadcast_if_small
@@ -123,7 +123,7 @@ def _sketch(docs: DataFrame, n_words: int) -> np.ndarray:
 
 def ngram_sets(docs: DataFrame, n_words: int = 5) -> DataFrame:
     """k (a key of the row), doc_id, n, fp (equal for equal sets) and toks (48-bit tokens in global order)."""
-    kinds = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n_words))
+    kinds = small_batches(docs).sparkSession.sparkContext.broadcast(_sketch(docs, n_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33

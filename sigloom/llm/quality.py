@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import (U64, WHITE, column, gram_hash, mix, prefix_hash, span_hash, text_blocks, words_of)
+from sigloom.llm.common import (U64, WHITE, column, gram_hash, mix, prefix_hash, small_batches, span_hash, text_blocks, words_of)
 
 DIMS = 1 << 16
 MEASURES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -127,7 +127,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_fit: int = 1500, rounds:
         F.min("quality").alias("quality"))
     # at most max_fit rows
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(max_fit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(
+    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(
         _feature_rows, "quality int, at binary, share binary").limit(2 * max_fit).collect()
     rows.sort(key=lambda r: (r["at"], r["quality"]))  # row order does not reach the fit
     y = np.array([float(r["quality"] > 0) for r in rows])
@@ -222,7 +222,7 @@ def measured(docs: DataFrame, model: QualityModel) -> DataFrame:
                 + [pa.array(got[n].astype(bool) if k == "boolean" else got[n], to[k]) for n, k in zip(names, kinds)],
                 names=rest + names)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -234,4 +234,4 @@ def accepted(docs: DataFrame, model: QualityModel) -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(pa.array(measures(column(batch, "text"), shared.value)["kept"].astype(bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigloom.llm.common import U64, column, mix
+from sigloom.llm.common import U64, column, mix, small_batches
 
 SPACE = "▁"
 PAIR = 1 << 20
@@ -300,7 +300,7 @@ def encoded(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 11, vari
                     [*[column(batch, c) for c in rest], column(batch, "variant"), pa.array(size, pa.int64(), mask=void), lists],
                     names=rest + ENCODED)
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def decoded(df: DataFrame, model: str, name: str = "decoded") -> DataFrame:
@@ -320,4 +320,4 @@ def decoded(df: DataFrame, model: str, name: str = "decoded") -> DataFrame:
                 text = pc.if_else(lists.is_null(), pa.scalar(None, pa.large_string()), text).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in rest], text], names=[*rest, name])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import U64, column, mix, prefix_hash, saved, span_hash, text_blocks
+from sigloom.llm.common import U64, column, mix, prefix_hash, saved, small_batches, span_hash, text_blocks
 
 WINDOW, ANCHOR, STEP = 400, 200, 25
 PLACE = np.uint64(0xFFFFFFFF)
@@ -161,7 +161,7 @@ def _cut(window: int):
 def repeated_windows(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
     """From (k, text): the texts that have a shared anchor, and k with its ``spans`` (lo, hi) of repeated windows."""
     # first digit
-    anchors = saved(keyed.mapInArrow(_anchor_rows(window, anchor), "h long, k long, a int, lo int, hi int"))
+    anchors = saved(small_batches(keyed).mapInArrow(_anchor_rows(window, anchor), "h long, k long, a int, lo int, hi int"))
     again = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     runs = anchors.join(again, "h").groupBy("k").agg(F.collect_set(F.struct("a", "lo", "hi")).alias("runs"))
     texts = saved(keyed.join(runs.hint("shuffle_hash"), "k"), "snappy")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sigloom.llm.common import column, scratch_dir
+from sigloom.llm.common import column, scratch_dir, small_batches
 from sigloom.llm.eliasfano import EliasFano
 
 #: A shard is closed beyond so many ids.
@@ -159,7 +159,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.xxhash64("text").alias("tie"))
-    rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").mapInArrow(
+    small_batches(rows).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").mapInArrow(
         run, SHARDS).write.option("compression", "zstd").parquet(path)
     return path
 
