@@ -1,8 +1,8 @@
 """PII: format-preserving pseudonyms by a keyed Feistel network, in DataFrame expressions throughout.
 
 One pattern finds candidates, each is validated by its kind, and what is valid is permuted within its format:
-card numbers (Luhn) keep length, grouping and first digit and get a right check digit; US phone numbers and social
-security numbers stay valid; IPv4 addresses and dates (1900 to 2099) stay addresses and dates. A permutation is a
+card numbers (Luhn) keep length, grouping and first digit and get a right check digit; phone numbers keep their form and
+country code; North American ones and social security numbers stay valid where they were; IPv4 addresses and dates (1900 to 2099) stay addresses and dates. A permutation is a
 bijection fixed by the key, so equal values stay equal in all documents, different ones stay different, and the
 holder of the key can undo it (``unmasked_days`` shows how). Mail addresses and secrets have no format worth
 permuting: they become keyed digests of their form. What fails its validation is left as it is.
@@ -29,7 +29,20 @@ IPV4 = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?[0-9])"
 ISO_DATE = r"(?<![0-9\-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9\-])"
 US_DATE = r"(?<![0-9/])[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}(?![0-9/])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
-PHONE = r"(?<![0-9])(?:\+?1[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.\-])[2-9][0-9]{2}[ .\-][0-9]{4}(?![0-9])"
+# North American numbers: any ten digits where +1 or brackets mark a phone, else area code and exchange from 200 up.
+BARE_PHONE = r"(?<![0-9])(?:1[ .\-]?)?[2-9][0-9]{2}[ .\-][2-9][0-9]{2}[ .\-][0-9]{4}(?![0-9])"
+US_PHONE = (r"(?<![0-9])(?:\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}"
+            r"|(?:1[ .\-]?)?\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4})(?![0-9])|" + BARE_PHONE)
+# Numbers of other countries: the code, perhaps a trunk zero in brackets, and at most the digits of the country's plan,
+# or else of any plan. A separator before another private value ends them.
+COUNTRY = r"(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|3[578]|42|5[09]|6[7-9]|8[05789]|9[679])[0-9])"
+TRUNK = r"(?:[ .\-]?\(0\))?"
+PLANS = {"45|47|65|852": 8, "27|3[1-4]|4[0168]|56|61|66|351|353|380|420|966|971|972": 9,
+         "7|20|30|44|5[127]|6[034]|8[124]|9[0-58]": 10, "39|5[45]|86": 11, COUNTRY: 13}
+_STEP = r"\)?(?:[ .\-](?!" + "|".join([MAIL, IPV4, ISO_DATE, US_DATE, SSN, BARE_PHONE]) + r"))?\(?[0-9]"
+ABROAD = r"(?<![0-9])\+(?:" + "|".join(
+    rf"(?:{codes}){TRUNK}(?:{_STEP}){{6,{most}}}(?![0-9])" for codes, most in PLANS.items()) + ")"
+PHONE = f"{US_PHONE}|{ABROAD}"
 CARD = r"(?<![0-9])[3-6](?:[ \-]?[0-9]){12,18}(?![0-9])"
 KINDS = [MAIL, ACCESS_KEY, SECRET, IPV4, ISO_DATE, US_DATE, SSN, PHONE, CARD]
 ANY = "|".join(KINDS)
@@ -90,28 +103,46 @@ def luhn_digit(payload: Column) -> Column:
     return F.pmod(10 - F.pmod(F.aggregate(F.sequence(F.lit(1), F.length(payload)), F.lit(0), add), F.lit(10)), F.lit(10))
 
 
+def _permuted(d: Column, key: str, tweak: str) -> Column:
+    """A string of digits permuted among all of its length."""
+    half = F.floor(F.length(d) / 2).cast("int")
+    other = F.length(d) - half
+    p = feistel(F.substr(d, F.lit(1), half), F.pow(F.lit(10.0), half).cast("bigint"),
+                F.substr(d, half + 1, other), F.pow(F.lit(10.0), other).cast("bigint"), key, tweak)
+    return F.concat(_zeros(p["l"], half), _zeros(p["r"], other))
+
+
 def _card(m: Column, key: str) -> Column:
     d = _digits(m)
     n = F.length(d)
     payload = F.substr(d, F.lit(1), n - 1)
-    half = F.floor((n - 2) / 2).cast("int")
-    other = n - 2 - half
-    p = feistel(F.substr(d, F.lit(2), half), F.pow(F.lit(10.0), half).cast("bigint"),
-                F.substr(d, half + 2, other), F.pow(F.lit(10.0), other).cast("bigint"), key, "card")
-    new = F.concat(F.substr(d, F.lit(1), F.lit(1)), _zeros(p["l"], half), _zeros(p["r"], other))
+    new = F.concat(F.substr(d, F.lit(1), F.lit(1)), _permuted(F.substr(d, F.lit(2), n - 2), key, "card"))
     valid = luhn_digit(payload).cast("string") == F.substr(d, n, F.lit(1))
     return F.when(valid, _refilled(m, F.concat(new, luhn_digit(new).cast("string")))).otherwise(m)
 
 
 def _phone(m: Column, key: str) -> Column:
+    """All ten digits are permuted; area codes and exchanges from 200 up stay so, and those below stay below."""
     d = _digits(m)
     own = F.substr(d, F.length(d) - 9, F.lit(10))
     part = lambda a, n: F.substr(own, F.lit(a), F.lit(n)).cast("bigint")
-    p = feistel(part(1, 3) - 200, 800, (part(4, 3) - 200) * 10000 + part(7, 4), 8_000_000, key, "phone")
-    new = F.concat((p["l"] + 200).cast("string"), (F.floor(p["r"] / 10000) + 200).cast("string"), _zeros(p["r"] % 10000, 4))
+    least = lambda x: F.when(x < 200, 0).otherwise(200)
+    count = lambda x: F.when(x < 200, 200).otherwise(800).cast("bigint")
+    area, exchange = part(1, 3), part(4, 3)
+    p = feistel(area - least(area), count(area), (exchange - least(exchange)) * 10000 + part(7, 4),
+                count(exchange) * 10000, key, "phone")
+    new = F.concat(_zeros(p["l"] + least(area), 3), _zeros(F.floor(p["r"] / 10000) + least(exchange), 3),
+                   _zeros(p["r"] % 10000, 4))
     return _refilled(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), new))
 
 
+def _phone_abroad(m: Column, key: str) -> Column:
+    """The country code and a trunk zero stay, all other digits are permuted."""
+    head = F.regexp_extract(m, rf"^\+{COUNTRY}{TRUNK}", 0)
+    rest = F.substr(m, F.length(head) + 1, F.length(m))
+    return F.concat(head, _refilled(rest, _permuted(_digits(rest), key, "phone")))
+
+
 def _ssn(m: Column, key: str) -> Column:
     area, group, serial = (F.substr(m, F.lit(a), F.lit(n)).cast("bigint") for a, n in ((1, 3), (5, 2), (8, 4)))
     valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
@@ -159,7 +190,8 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(whole(ISO_DATE), _date(m, "yyyy-MM-dd", key))
         .when(whole(US_DATE), _date(m, "MM/dd/yyyy", key))
         .when(whole(SSN), _ssn(m, key))
-        .when(whole(PHONE), _phone(m, key))
+        .when(whole(US_PHONE), _phone(m, key))
+        .when(whole(ABROAD), _phone_abroad(m, key))
         .when(whole(CARD), _card(m, key))
         .otherwise(m))
 

@@ -58,6 +58,45 @@ def test_pseudonyms_keep_the_format(spark):
     assert all(0 <= int(o) < 256 for o in got[2]["text"].split()[1].rstrip(",").split("."))
 
 
+def test_phone_forms(spark):
+    """Any digits where +1 or brackets mark a phone, spaces, other countries; one number in several forms stays one."""
+    us = ["+1 (017) 555-7713", "+1 (132) 155-1352", "(017) 555-7713", "212 555 0100", "+1 212 555 0100", "+12125550100",
+          "212-555-0100", "(212)555-0100", "1 212 555 0100"]
+    abroad = ["+44 20 7946 0958", "+442079460958", "+44 (0)20 7946 0958", "+49 (30) 901820", "+33 1 42 68 53 00", "+372 555 1234"]
+    ends = ["", " 12 items", " 190.137.223.204", " 4539148803436467", ") x"]
+    rows = [(i * 10 + j, f"call {v}{e}") for i, v in enumerate(us + abroad) for j, e in enumerate(ends)]
+    got = dict(pii.masked(spark.createDataFrame(rows, "doc_id int, text string")).select("doc_id", "text").collect())
+    new = {}
+    for i, v in enumerate(us + abroad):
+        new[v] = got[i * 10][5:]
+        assert new[v] != v and re.sub(r"\d", "9", new[v]) == re.sub(r"\d", "9", v), v
+        assert v in us or new[v].startswith(v.split(" (0)")[0][:3]), v
+        for j, e in enumerate(ends):
+            if e != " 12 items" or len(re.sub(r"\D", "", v)) not in (10, 11) or v in us:  # +49 and +372 may be longer
+                assert got[i * 10 + j].startswith(f"call {new[v]}") and (j in (2, 3)) == (not got[i * 10 + j].endswith(e)), (v, e)
+    tail = lambda v: re.sub(r"\D", "", new[v].replace("(0)", ""))[-10:]
+    assert len({tail(v) for v in us[3:]}) == len({tail(v) for v in abroad[:3]}) == 1
+
+
+def test_phones_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    form, found = re.compile(r"\+1 \(\d{3}\) \d{3}-\d{4}"), 0
+    for a, b in docs.join(pii.masked(docs).withColumnRenamed("text", "new"), "doc_id").select("text", "new").collect():
+        old = form.findall(a or "")
+        new = form.findall(b or "")
+        found += len(old)
+        assert len(new) == len(old) and not set(new) & set(old)
+    assert found >= 6
+
+
+def test_ten_digits_are_permuted(spark):
+    """Different numbers stay different, area codes and exchanges below 200 included."""
+    n = spark.range(0, 20000).select(F.lpad((F.col("id") * 499979 % 10**10).cast("string"), 10, "0").alias("d"))
+    n = n.select("d", F.concat(F.lit("+1"), "d").alias("text"))
+    got = pii.masked(n).select(F.countDistinct("d"), F.countDistinct("text"), F.sum("n_private"), F.min(F.length("text"))).first()
+    assert tuple(got) == (20000, 20000, 20000, 12)
+
+
 def test_what_is_not_valid_stays(spark, hard, nothing):
     rows = [(1, "4539148803436468"), (2, "999.1.1.1"), (3, "000-12-3456"), (4, "2001-02-30"), (5, "version 1.2.3.4.5"),
             (6, None), (7, ""), (8, "a@b"), (9, "password: hunter"), (10, "12345678901234567890123")]
