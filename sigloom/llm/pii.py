@@ -39,11 +39,16 @@ COUNTRY = r"(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-68
 TRUNK = r"(?:[ .\-]?\(0\))?"
 PLANS = {"45|47|65|852": 8, "27|3[1-4]|4[0168]|56|61|66|351|353|380|420|966|971|972": 9,
          "7|20|30|44|5[127]|6[034]|8[124]|9[0-58]": 10, "39|5[45]|86": 11, COUNTRY: 13}
-_STEP = r"\)?(?:[ .\-](?!" + "|".join([MAIL, IPV4, ISO_DATE, US_DATE, SSN, BARE_PHONE]) + r"))?\(?[0-9]"
+_AFTER = "|".join([MAIL, IPV4, ISO_DATE, US_DATE, SSN, BARE_PHONE])
+_STEP = rf"\)?(?:[ .\-](?!{_AFTER}))?\(?[0-9]"
 ABROAD = r"(?<![0-9])\+(?:" + "|".join(
     rf"(?:{codes}){TRUNK}(?:{_STEP}){{6,{most}}}(?![0-9])" for codes, most in PLANS.items()) + ")"
 PHONE = f"{US_PHONE}|{ABROAD}"
-CARD = r"(?<![0-9])[3-6](?:[ \-]?[0-9]){12,18}(?![0-9])"
+# A whole run of digit groups, in which cards are looked for; a separator before another private value ends it.
+CARD = rf"(?<![0-9])[0-9](?:(?:[ \-](?!{_AFTER}))?[0-9]){{12,}}+"
+CARD_DIGITS = "^(?:2[2-7]|[3-6])[0-9]{11,17}[0-9]$"
+#: The groupings that cards are printed in; others count where none of these is valid.
+USUAL = r"^(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{4,5})$"
 KINDS = [MAIL, ACCESS_KEY, SECRET, IPV4, ISO_DATE, US_DATE, SSN, PHONE, CARD]
 ANY = "|".join(KINDS)
 #: Every candidate has one of these (a secret's value must have a digit).
@@ -113,12 +118,67 @@ def _permuted(d: Column, key: str, tweak: str) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
+    """One card under its pseudonym: the first digit stays (two of those that begin with 2), the check digit is right."""
     d = _digits(m)
     n = F.length(d)
-    payload = F.substr(d, F.lit(1), n - 1)
-    new = F.concat(F.substr(d, F.lit(1), F.lit(1)), _permuted(F.substr(d, F.lit(2), n - 2), key, "card"))
-    valid = luhn_digit(payload).cast("string") == F.substr(d, n, F.lit(1))
-    return F.when(valid, _refilled(m, F.concat(new, luhn_digit(new).cast("string")))).otherwise(m)
+    stay = F.when(d.startswith("2"), 2).otherwise(1)
+    new = F.concat(F.substr(d, F.lit(1), stay), _permuted(F.substr(d, stay + 1, n - 1 - stay), key, "card"))
+    return _refilled(m, F.concat(new, luhn_digit(new).cast("string")))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _cards(m: Column, key: str) -> Column:
+    """A run of digit groups with every card in it under its pseudonym (``t``), and how many there are (``n``).
+
+    A card is made of whole groups. Those of a usual grouping come first, then other ones that hold none of them; of
+    several from one group on, the longest.
+    """
+    def run(groups: Column) -> Column:
+        n = F.size(groups)
+        text = lambda i, j: F.regexp_replace(F.array_join(F.slice(groups, i, j - i + 1), ""), r"[ \-]$", "")
+
+        def ends(i: Column, usual: bool) -> Column:
+            """The last group of each card from group i on (both count from 1), longest first."""
+            def is_card(j: Column) -> Column:
+                def fits(t: Column) -> Column:
+                    d = _digits(t)
+                    luhn = luhn_digit(F.substr(d, F.lit(1), F.length(d) - 1)).cast("string") == F.right(d, F.lit(1))
+                    form = t.rlike(USUAL) if usual else F.lit(True)
+                    return F.when(form & d.rlike(CARD_DIGITS), luhn).otherwise(False)
+
+                return _let(text(i, j), fits)
+
+            last = F.least(n, i + (4 if usual else 18))
+            return F.reverse(F.filter(F.sequence(i, last), is_card))
+
+        def put(known: Column) -> Column:
+            def step(s: Column, i: Column) -> Column:
+                mine = F.get(known, i - 1)
+                free = lambda j: ~F.exists(F.slice(known, i, j - i + 1), lambda e: e > 0)
+                end = F.when(i <= s["done"], 0).when(mine > 0, mine).otherwise(
+                    F.coalesce(F.get(F.filter(ends(i, False), free), F.lit(0)), F.lit(0)))
+
+                def taken(e: Column) -> Column:
+                    rest = F.when(i <= s["done"], "").otherwise(F.get(groups, i - 1))
+                    card = text(i, e)
+                    tail = F.regexp_extract(F.get(groups, e - 1), r"[ \-]$", 0)
+                    return F.struct(F.greatest(s["done"], e).alias("done"), (s["n"] + (e > 0).cast("int")).alias("n"),
+                                    F.concat(s["t"], F.when(e > 0, F.concat(_let(card, lambda c: _card(c, key)), tail))
+                                             .otherwise(rest)).alias("t"))
+
+                return _let(end, taken)
+
+            start = F.struct(F.lit(0).alias("done"), F.lit(0).alias("n"), F.lit("").alias("t"))
+            return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: F.struct(s["t"].alias("t"), s["n"].alias("n")))
+
+        first = F.transform(F.sequence(F.lit(1), n), lambda i: F.coalesce(F.get(ends(i, True), F.lit(0)), F.lit(0)))
+        return _let(first, put)
+
+    return _let(F.regexp_extract_all(m, F.lit(r"[0-9]+[ \-]?"), F.lit(0)), run)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -176,12 +236,12 @@ def _date(m: Column, form: str, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of one candidate, or the candidate itself where it is not valid."""
+    """A struct: one candidate with its values under their pseudonyms, itself where none is valid (``t``), and how many (``n``)."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lower(m)), 256)
     value = F.regexp_extract(m, r"[=:]\s*[\"']?([A-Za-z0-9_\-/+.]+)[\"']?$", 1)
     secret = F.sha2(F.concat_ws("|", F.lit(key), value), 512)
     whole = lambda p: m.rlike(f"^(?:{p})$")
-    return (
+    one = (
         F.when(whole(MAIL), F.concat(F.lit("u"), F.substring(digest, 1, 12), F.lit("@h"), F.substring(digest, 13, 6), F.lit(".invalid")))
         .when(whole(ACCESS_KEY), F.concat(F.substring(m, 1, 4), F.upper(F.substring(digest, 1, 16))))
         .when(whole(SECRET), F.replace(m, value, F.substr(F.repeat(secret, F.ceil(F.length(value) / 128).cast("int")),
@@ -191,9 +251,9 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(whole(US_DATE), _date(m, "MM/dd/yyyy", key))
         .when(whole(SSN), _ssn(m, key))
         .when(whole(US_PHONE), _phone(m, key))
-        .when(whole(ABROAD), _phone_abroad(m, key))
-        .when(whole(CARD), _card(m, key))
-        .otherwise(m))
+        .when(whole(ABROAD), _phone_abroad(m, key)))
+    return _let(one, lambda t: F.when(t.isNotNull(), F.struct(t.alias("t"), (t != m).cast("int").alias("n")))
+                .when(whole(CARD), _cards(m, key)).otherwise(F.struct(m.alias("t"), F.lit(0).alias("n"))))
 
 
 def masked(docs: DataFrame, key: str = "fixed-demo-key", count: bool = True) -> DataFrame:
@@ -205,8 +265,8 @@ def masked(docs: DataFrame, key: str = "fixed-demo-key", count: bool = True) ->
     new = found.withColumn("_new", F.when(some, F.transform("_found", lambda m: pseudonym(m, key))))
     before = F.col("_row")["text"]
     gaps = F.split(before, ANY, -1)
-    text = F.array_join(F.flatten(F.zip_with(gaps, F.col("_new"), lambda g, m: F.array(g, m))), "")
-    changed = F.size(F.filter(F.arrays_zip("_found", "_new"), lambda x: x["_found"] != x["_new"]))
+    text = F.array_join(F.flatten(F.zip_with(gaps, F.col("_new"), lambda g, m: F.array(g, m["t"]))), "")
+    changed = F.aggregate("_new", F.lit(0), lambda n, x: n + x["n"])
     out = {c: F.col("_row")[c].alias(c) for c in rest} | {"text": F.when(some, text).otherwise(before).alias("text")}
     extra = [F.when(some, changed).otherwise(0).cast("long").alias("n_private")] if count else []
     return new.select(*out.values(), *extra)

@@ -89,6 +89,30 @@ def test_phones_of_the_table(spark):
     assert found >= 6
 
 
+def test_cards_among_other_numbers(spark):
+    """Expiry dates, codes, counts, years and other private values around a card, in every usual grouping."""
+    cards = ["4111 1111 1111 1111", "4111111111111111", "5555555555554444", "5555-5555-5555-4444", "2223003122003222",
+             "2223 0031 2200 3222", "3782 822463 10005", "378282246310005", "3056 930902 5904", "4222222222222", "41111 11111 111111"]
+    around = [("", ""), ("", " 12/25"), ("", " 123"), ("", " 2 items"), ("", "-7"), ("33 ", ""), ("2024 ", ""), ("1234 ", " 99"),
+              ("5 ", " 12/25 123"), ("1 2 3 ", " 1 2 3")]
+    rows = [(i * 100 + j, f"x {a}{c}{b} y") for i, c in enumerate(cards) for j, (a, b) in enumerate(around)]
+    private = [("12/25/2026", 2), ("212 555 0100", 2), ("123-45-6789", 2), ("10.20.30.40", 2), ("4222222222222", 2), ("5jo@x.com", 2)]
+    rows += [(9000 + j, f"{cards[0]} {v}") for j, (v, _) in enumerate(private)]
+    rows += [(9900, " ".join(["7"] * 20000)), (9901, "1" * 100000), (9902, " ".join(["1234567"] * 3 + [cards[0]] * 9))]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r["doc_id"]: (r["text"], r["n_private"]) for r in pii.masked(df).collect()}
+    for i, c in enumerate(cards):
+        new = got[i * 100][0][2:-2]
+        assert new != c and _luhn(new) and new[0] == c[0] and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", c), c
+        for j, (a, b) in enumerate(around if i < 10 else around[:1]):
+            assert got[i * 100 + j] == (f"x {a}{new}{b} y", 1), (c, a, b)
+    new = got[0][0][2:-2]
+    for j, (v, n) in enumerate(private):
+        assert got[9000 + j][0].startswith(new + " ") and not got[9000 + j][0].endswith(v) and got[9000 + j][1] == n, v
+    assert got[9900] == (rows[-3][1], 0) and got[9901] == (rows[-2][1], 0)
+    assert got[9902][0] == " ".join(["1234567"] * 3 + [new] * 9)
+
+
 def test_ten_digits_are_permuted(spark):
     """Different numbers stay different, area codes and exchanges below 200 included."""
     n = spark.range(0, 20000).select(F.lpad((F.col("id") * 499979 % 10**10).cast("string"), 10, "0").alias("d"))
