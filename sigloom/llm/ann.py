@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sigloom.llm.common import saved
+from sigloom.session import broadcast_if_small
 
 #: Blocks stay far below 2^16 rows (places are 16-bit), and lines below 2^8.
 VECTORS_PER_BLOCK, QUERIES_PER_BLOCK = 8192, 2048
@@ -100,16 +101,23 @@ def _best(x, ids, q, q_ids, k, verify, projections, share, width, widen, seed):
             yield q_ids[first + r], name[best], score[best]
 
 
+def _dealt(rows: DataFrame, n: int, name: str, seed: int) -> DataFrame:
+    """``rows`` of a saved table with their block of ``n``: by id, and each row by itself where an id is repeated."""
+    again = rows.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_c")).where("_c > 1").select("_id")
+    own = rows.withColumn("_at", F.monotonically_increasing_id()).join(broadcast_if_small(again), F.col("id") == F.col("_id"), "left")
+    salt = F.when(F.col("_id").isNotNull(), F.col("_at"))
+    return own.withColumn(name, F.pmod(F.xxhash64("id", F.lit(seed), salt), F.lit(n)).cast("int")).drop("_id", "_at")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, projections: int = 128, share: float = 0.5,
             width: float = 0.7, widen: float = 1.1, verify: float = 0.18, seed: int = 3) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found; both inputs come from ``usable``."""
     vectors, queries = saved(vectors), saved(queries)
     n_v = max(1, math.ceil(vectors.count() / VECTORS_PER_BLOCK))
     n_q = max(1, math.ceil(queries.count() / QUERIES_PER_BLOCK))
-    deal = lambda n: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    parts = vectors.select(F.lit(False).alias("asks"), "*", deal(n_v).alias("vb"), each(n_q).alias("qb")).unionByName(
-        queries.select(F.lit(True).alias("asks"), "*", deal(n_q).alias("qb"), each(n_v).alias("vb")))
+    parts = _dealt(vectors, n_v, "vb", seed).select(F.lit(False).alias("asks"), "*", each(n_q).alias("qb")).unionByName(
+        _dealt(queries, n_q, "qb", seed).select(F.lit(True).alias("asks"), "*", each(n_v).alias("vb")))
 
     def run(key, table):
         asks = table.column("asks").to_numpy()

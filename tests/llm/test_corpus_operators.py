@@ -203,6 +203,31 @@ def test_nearest_on_the_table(spark):
     assert np.mean(hits) / 20 >= 0.9
 
 
+def test_blocks_split_a_repeated_id(spark):
+    rows = spark.range(70000).select(F.lit(7).cast("long").alias("id")).unionByName(spark.range(100, 1100))
+    sizes = [r["count"] for r in ann._dealt(rows, 9, "vb", 3).groupBy("vb").count().collect()]
+    assert sum(sizes) == 71000 and len(sizes) == 9 and max(sizes) < 1.2 * 71000 / 9
+
+
+def test_nearest_in_full_blocks():
+    """Recall against brute force where LEAST plays no part: each block's share is 18 %."""
+    rnd = np.random.default_rng(1)
+    x = rnd.standard_normal((3 * ann.VECTORS_PER_BLOCK, 64)) + 2 * rnd.standard_normal((20, 64))[rnd.integers(0, 20, 3 * ann.VECTORS_PER_BLOCK)]
+    ids, asked = np.arange(len(x)), np.arange(0, len(x), 512)
+    best = {i: [] for i in asked}
+    for b in range(3):
+        own = np.flatnonzero(ids % 3 == b)
+        assert 0.18 * len(own) > ann.LEAST
+        for q, names, scores in ann._best(x[own], own, x[asked], asked, 20, 0.18, 128, 0.5, 0.7, 1.1, 3):
+            best[q] += zip(-scores, names)
+    hits = 0
+    for i in asked:
+        s = x @ x[i]
+        want = [j for j in np.argsort(-s) if j != i][:20]
+        hits += len(set(want) & {n for _, n in sorted(best[i])[:20]})
+    assert hits / (20 * len(asked)) >= 0.9
+
+
 def test_nearest_hard_rows(spark):
     rows = [(i, [float(i % 3), 1.0, 0.5], 1) for i in range(30)] + [
         (100, None, 1), (101, [], 1), (102, [0.0, 0.0, 0.0], 1), (103, [float("nan"), 1.0, 1.0], 1),
