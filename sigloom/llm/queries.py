@@ -50,7 +50,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenout.write_tokens(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+    path = tokenout.write_tokens(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), ordinary=False)
     return tokenout.read_tokens(spark, path)
 
 

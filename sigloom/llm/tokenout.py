@@ -12,7 +12,8 @@ No table of 64-bit offsets is kept: offset i of a shard is ``EliasFano.select(i)
 the running sum of ``n_ids`` over one small row for each shard.
 
 A text is cut at spaces that stand between a non-space and a non-blank, which the tokenizer's own splitter can never
-join; each distinct piece is encoded once by the tokenizers library and remembered, in a cache of bounded size.
+join; each distinct piece is encoded once by the tokenizers library and remembered, in a cache of bounded size. A text
+that holds the string of an added token is one piece.
 
 Defined cases: null and empty texts give the end id alone; documents without a doc_id come first; rows of one doc_id
 are ordered by the hash of their text; an empty table writes no shard and reads back as no row.
@@ -49,12 +50,13 @@ _SAFE = re.compile(r"(?<=\S) (?! )")
 class PieceEncoder:
     """Ids of whole texts through a cache of pieces; a key is a piece after a space, or a 1-tuple for a text's first."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        self.tok.encode_special_tokens = ordinary  # whether a special token's string in a text is ordinary text
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.wide = self.tok.get_vocab_size() > 1 << 16
         self.clear()
 
@@ -64,8 +66,9 @@ class PieceEncoder:
         self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    @staticmethod
-    def pieces(text: str) -> list:
+    def pieces(self, text: str) -> list:
+        if any(t in text for t in self.added):
+            return [(text,)]
         parts = (_SAFE.split(text) if _BLANKS.search(text) else text.split(" "))
         parts[0] = (parts[0],)
         return parts
@@ -112,21 +115,25 @@ class PieceEncoder:
         return out, ends
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def _encoder(path: str) -> PieceEncoder:
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+def _encoder(path: str, ordinary: bool) -> PieceEncoder:
+    if (path, ordinary) not in _encoders:
+        _encoders[path, ordinary] = PieceEncoder(path, ordinary)
+    return _encoders[path, ordinary]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 0) -> str:
-    """Write the ids of ``docs`` (doc_id, text) in ascending doc_id order; returns the folder."""
+def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 0, ordinary: bool = True) -> str:
+    """Write the ids of ``docs`` (doc_id, text) in ascending doc_id order; returns the folder.
+
+    ``ordinary`` takes the string of a special token in a text as ordinary text; without it, the text has the token's
+    id, as the tokenizers library gives by default.
+    """
     path = path or f"{scratch_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(tokenizer)
+        enc = _encoder(tokenizer, ordinary)
         size = 4 if enc.wide else 2
         seq, held, n_held = 0, [], 0
 

@@ -155,6 +155,20 @@ def test_token_output(spark, hard, hard_rows, nothing, tmp_path):
     assert tokenout.read_tokens(spark, tokenout.write_tokens(nothing, BPE)).count() == 0
 
 
+def test_special_tokens_as_the_library_has_them(spark, nothing, tmp_path):
+    """The query against an untouched tokenizer, on texts that hold a special token."""
+    from sigloom.llm.queries import op9_token_output
+
+    tok = Tokenizer.from_file(BPE)
+    texts = ["x<|endoftext|>y", "x <|endoftext|> y", "x  <|endoftext|>  y z", "<|endoftext|>", " <|endoftext|><|endoftext|> ",
+             "no token, it's  here ", "<|endoftext|", "a\n<|endoftext|>\n b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r["n_tokens"], r["ids_crc32"]) for r in op9_token_output(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    want = [tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert 50256 in want[0]
+    assert got == [(len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for w in want]
+
+
 def test_pieces_without_dropout_are_the_models(hard_rows):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     texts = [r[1] for r in hard_rows if r[1] and "▁" not in r[1]] + [" ", "  a  b ", "x" * 3000 + " y", "tab\tand\nline  "]
