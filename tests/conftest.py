@@ -8,7 +8,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
 
-SF = "/root/testdata/sf0.001"
+from compare import SF, duck  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -23,7 +23,6 @@ def spark():
 
 @pytest.fixture(scope="session")
 def con():
-    from compare import duck
     return duck(SF)
 
 

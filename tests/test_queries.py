@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from compare import diff
-from conftest import SF
+from compare import SF, diff
 
 NAMES = ("bars_daily", "bars_weekly", "bars_hourly", "dedupe_last", "close_history", "ind_ema", "ind_orderblock",
          "ind_cvd", "market_context", "feat_rel_strength", "feat_weekly", "feat_kde", "feat_hurst", "alt_skew",

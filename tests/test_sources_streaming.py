@@ -8,7 +8,7 @@ import os
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import SF
+from compare import SF
 from pyspark.sql import functions as F
 
 from sigloom.operators import backtest, bars as B, orders
