@@ -6,8 +6,11 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm import ann, langid, license, mixing, ngramjoin, pii, quality, sentencepieces, suffixdedup, tokenout
+from sigloom.llm import (
+    ann, langid, license, mixing, ngramjoin, pii, quality, sentencepieces, suffixdedup, tokenout, vectorcodes,
+)
 from sigloom.llm.common import documents, tokenizer
+from sigloom.llm.sql import SQL  # noqa: F401  (the SQL twins, for __spark_entry__)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,5 +62,11 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.where(F.col("id") % 20 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_join, op3_sentencepiece, op4_pii, op5_quality_rules, op6_suffix_dedup, op7_mixing, op8_language_id, op9_token_output, op10_nearest)} | {"pipeline": corpus_pipeline.run}
-SQL: dict[str, str] = {}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_license_scan, op2_ngram_join, op3_sentencepiece, op4_pii, op5_quality_rules, op6_suffix_dedup, op7_mixing,
+    op8_language_id, op9_token_output, op10_nearest, op11_vector_codes,
+)} | {"pipeline": corpus_pipeline.run}
