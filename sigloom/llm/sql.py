@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sigloom.llm.hilbert import curve_steps
+
 VECTOR_CODES = """
 WITH kept AS (
   SELECT row_number() OVER () AS rid, vec_id, label, len(embedding) // 16 AS w,
@@ -39,6 +41,48 @@ VECTOR_CODES += _round(0) + _round(1) + _round(2) + """, codes AS (
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
 FROM kept JOIN codes USING (rid), digest"""
 
+#: Table of the 256 values that a CRC-32 looks up.
+CRC32 = """crc_table AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1))) ORDER BY b) AS crc_t
+  FROM range(256) AS r(b))"""
+
+
+def _crc32(hexed: str) -> str:
+    """Unsigned CRC-32 of bytes given as hexadecimal digits."""
+    byte = f"CAST('0x' || substr({hexed}, 2 * i + 1, 2) AS BIGINT)"
+    return (f"xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len({hexed}) // 2), lambda i: {byte})), "
+            "lambda c, x: xor(c >> 8, crc_t[(xor(c, x) & 255) + 1])), 4294967295)")
+
+
+def _cell(dim: str) -> str:
+    return f"""c_{dim} AS (
+  SELECT {dim} AS v, dense_rank() OVER (ORDER BY (upto - n) * 32 // total) - 1 AS cell FROM (
+    SELECT {dim}, n, sum(n) OVER (ORDER BY {dim}) AS upto, sum(n) OVER () AS total
+    FROM (SELECT {dim}, count(*) AS n FROM documents WHERE {dim} IS NOT NULL GROUP BY {dim})))"""
+
+
+HILBERT = f"""
+WITH {CRC32}, {", ".join(_cell(d) for d in ("source", "lang", "n_chars"))}, hexed AS (
+  SELECT doc_id, source, lang, n_chars, hex(encode(coalesce(text, ''))) AS h FROM documents
+), slim AS (
+  SELECT doc_id, source, lang, n_chars, len(h) // 2 + 1 AS size, {_crc32("h")} AS text_crc32 FROM hexed, crc_table
+), placed AS (
+  SELECT doc_id, size, text_crc32, list_reduce(list_prepend(0, [4, 3, 2, 1, 0]), lambda a, b:
+    ((a // 256 * 8 + ({curve_steps(3)}[(a % 256) * 8 + ((x >> b) & 1) + 2 * ((y >> b) & 1) + 4 * ((z >> b) & 1) + 1] & 7)) * 256
+     + ({curve_steps(3)}[(a % 256) * 8 + ((x >> b) & 1) + 2 * ((y >> b) & 1) + 4 * ((z >> b) & 1) + 1] >> 3))) // 256 AS curve
+  FROM (SELECT slim.*, CAST(coalesce(cs.cell, 0) AS BIGINT) AS x, CAST(coalesce(cl.cell, 0) AS BIGINT) AS y,
+               CAST(coalesce(cn.cell, 0) AS BIGINT) AS z
+        FROM slim LEFT JOIN c_source AS cs ON source = cs.v LEFT JOIN c_lang AS cl ON lang = cl.v LEFT JOIN c_n_chars AS cn ON n_chars = cn.v)
+), run AS (
+  SELECT *, sum(size) OVER w AS upto, row_number() OVER w AS n, sum(size) OVER () AS total FROM placed
+  WINDOW w AS (ORDER BY curve, doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)
+), shards AS (
+  SELECT *, least(7, (2 * upto - size) * 8 // (2 * total)) AS k FROM run)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(k AS INT) AS shard, n - min(n) OVER (PARTITION BY k) AS slot,
+       CAST(NULL AS INT) AS grown_shard, CAST(curve AS BIGINT) AS curve
+FROM shards"""
+
 SQL: dict[str, str] = {
     "op11_vector_codes": VECTOR_CODES,
+    "op12_hilbert_shards": HILBERT,
 }
