@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm import (
-    ann, hilbert, langid, license, mixing, ngramjoin, pii, quality, sentencepieces, suffixdedup, tokenout, vectorcodes,
+    ann, convtrie, hilbert, langid, license, mixing, ngramjoin, pii, quality, sentencepieces, suffixdedup, tokenout, vectorcodes,
 )
 from sigloom.llm.common import documents, tokenizer
 from sigloom.llm.sql import SQL  # noqa: F401  (the SQL twins, for __spark_entry__)
@@ -70,7 +70,12 @@ def op12_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.plan(documents(spark, sf_dir))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return convtrie.trie(convtrie.relinked(convtrie.sequences(turns)))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_ngram_join, op3_sentencepiece, op4_pii, op5_quality_rules, op6_suffix_dedup, op7_mixing,
-    op8_language_id, op9_token_output, op10_nearest, op11_vector_codes, op12_hilbert_shards,
+    op8_language_id, op9_token_output, op10_nearest, op11_vector_codes, op12_hilbert_shards, op13_conversation_trie,
 )} | {"pipeline": corpus_pipeline.run}

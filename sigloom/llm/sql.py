@@ -82,7 +82,35 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(k AS INT) AS shard, n - mi
        CAST(NULL AS INT) AS grown_shard, CAST(curve AS BIGINT) AS curve
 FROM shards"""
 
+CONVERSATION_TRIE = f"""
+WITH {CRC32}, own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS seq,
+         hex(encode(CAST(conv_id AS VARCHAR))) AS hexed
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), taken AS (
+  SELECT conv_id, seq, {_crc32("hexed")} % 9 AS h FROM own, crc_table
+), rebuilt AS (
+  SELECT t.conv_id, list_concat(coalesce(b.seq[1:h], []), t.seq[h + 1:]) AS seq
+  FROM taken AS t LEFT JOIN own AS b ON b.conv_id = t.conv_id - t.conv_id % 5
+), nodes AS (
+  SELECT p, len(p) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256,
+         CASE WHEN len(p) > 0 THEN (count(*) - 1) * strlen(p[len(p)].text) ELSE 0 END AS cost
+  FROM (SELECT conv_id, seq[1:d] AS p, d = len(seq) AS last FROM rebuilt, range(0, len(seq) + 1) AS r(d)) GROUP BY p
+), kids AS (
+  SELECT p[1:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), named AS (
+  SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (p)
+), below AS (
+  SELECT a.p, sum((b.n_children = 0)::INT) AS n_leaves, sum(b.cost) AS saved_tokens
+  FROM named AS a JOIN named AS b ON b.depth >= a.depth AND b.p[1:a.depth] = a.p GROUP BY a.p
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM named AS n JOIN below USING (p) LEFT JOIN named AS up ON n.depth > 0 AND up.p = n.p[1:n.depth - 1]"""
+
 SQL: dict[str, str] = {
     "op11_vector_codes": VECTOR_CODES,
     "op12_hilbert_shards": HILBERT,
+    "op13_conversation_trie": CONVERSATION_TRIE,
 }
