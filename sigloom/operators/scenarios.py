@@ -12,9 +12,8 @@ from sigloom.operators.bars import with_min_bars
 from sigloom.operators.factors import ALT_DEFAULTS
 from sigloom.operators.features import vrp, with_periods
 from sigloom.operators.scoring import score_panel
-from sigloom.operators.statistics import with_statistics
 from sigloom.params import Params
-from sigloom.plans.panel import STAT_DEFAULTS, series_features
+from sigloom.plans.panel import series_features
 
 SCENARIOS = ("Original", "Phase_Chaos", "Noise_Explosion")
 PRICES = ("open", "high", "low", "close")
@@ -85,17 +84,13 @@ def scenario_trades(bars: DataFrame, p: Params = Params(), statistics: bool = Tr
     average, are not traded.
     """
     sc = scenario_bars(bars)
-    df = series_features(sc, statistics=False).drop(*STAT_DEFAULTS)
+    df = series_features(sc, statistics)
     s = series()
     df = df.withColumns({
         "_n": F.count(F.lit(1)).over(s.rowsBetween(0, 100_000_000)),
         "entry": F.lead("open", 1).over(s), "exit": F.lead("close", 4).over(s)})
     # _n counts the rows from here to the end: len - i
-    if statistics:
-        df = with_statistics(df)
     df = df.where((F.col("_n") <= window) & (F.col("_n") > tail))
-    if not statistics:
-        df = df.withColumns({k: F.lit(v) for k, v in STAT_DEFAULTS.items()})
     c = F.col("close")
     df = df.where(~(yes(F.col("ATR") / c > 0.15) | yes((c < F.col("SMA_200")) & (F.col("SMA_50") < F.col("SMA_200")))))
     df = with_periods(df, sc.drop("scenario"))

@@ -231,18 +231,17 @@ def feat_swing(spark, d):
 
 @query
 def feat_kde(spark, d):
-    return out(statistics.latest_statistics(fx.daily_bars(spark, d)), "sym:i kde_breakout_score:f")
+    return out(statistics.with_statistics(fx.daily_bars(spark, d)), "sym:i dt:d kde_breakout_score:f")
 
 
 @query
 def feat_fft(spark, d):
-    return out(statistics.latest_statistics(fx.daily_bars(spark, d)), "sym:i fft_ensemble_score:f")
+    return out(statistics.with_statistics(fx.daily_bars(spark, d)), "sym:i dt:d fft_ensemble_score:f")
 
 
 @query
 def feat_hurst(spark, d):
-    return out(statistics.latest_statistics(fx.daily_bars(spark, d)),
-               "sym:i hurst_med:f hurst_iqr:f hurst_reliable:b")
+    return out(statistics.with_statistics(fx.daily_bars(spark, d)), "sym:i dt:d hurst_med:f hurst_iqr:f hurst_reliable:b")
 
 
 # --- alternative data -----------------------------------------------------------------------

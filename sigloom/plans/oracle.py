@@ -239,56 +239,59 @@ SELECT sym, dt, CASE WHEN i >= 21 THEN coalesce(last_value(g_lo IGNORE NULLS) OV
     ELSE high END AS swing_high_10
 FROM gaps WINDOW w AS (PARTITION BY sym ORDER BY dt ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING)"""
 
-# --- statistics of the newest bar ---------------------------------------------------------------
-F["tail"] = """
-SELECT sym, close, volume, row_number() OVER (PARTITION BY sym ORDER BY dt DESC) - 1 AS back,
-  count(*) OVER (PARTITION BY sym) AS n_bars FROM bars"""
-F["fft_seg"] = """
-SELECT sym, n, n - 1 - back AS j, close - avg(close) OVER (PARTITION BY sym, n) AS x,
-  min(close) OVER (PARTITION BY sym, n) < max(close) OVER (PARTITION BY sym, n) AS live
-FROM tail JOIN (SELECT unnest([105,110,115,120,125,130,135]) AS n) w ON back < n WHERE n_bars >= 135"""
-F["fft_bin"] = """
-SELECT sym, n, k, sum(x * cos(2 * pi() * k * j / n)) AS re, -sum(x * sin(2 * pi() * k * j / n)) AS im
-FROM fft_seg JOIN (SELECT unnest(range(1, 60)) AS k) b ON k * 1e0 / n > 0.01e0 AND k * 1e0 / n < 0.2e0
-WHERE live GROUP BY sym, n, k"""
+# --- statistics of every bar -------------------------------------------------------------------
+F["arrays"] = """
+SELECT sym, list(close ORDER BY dt) AS c, list(volume ORDER BY dt) AS v, list(lc ORDER BY dt) AS lc, list(sq ORDER BY dt) AS sq FROM (
+  SELECT *, ln(greatest(close, 1e-10)) AS lc, sum(coalesce(pow(ln(greatest(close, 1e-10)) - ln(greatest(pc, 1e-10)), 2), 0))
+    OVER (PARTITION BY sym ORDER BY dt ROWS UNBOUNDED PRECEDING) AS sq FROM i0) GROUP BY sym"""
+F["waves"] = """
+SELECT n, k, list_transform(range(0, n), lambda j: cos(2 * pi() * k * j / n)) AS co,
+  list_transform(range(0, n), lambda j: -sin(2 * pi() * k * j / n)) AS si
+FROM (SELECT unnest([105,110,115,120,125,130,135]) AS n), (SELECT unnest(range(1, 60)) AS k)
+WHERE k * 1e0 / n > 0.01e0 AND k * 1e0 / n < 0.2e0"""
 F["fft_vote"] = """
-SELECT sym, avg(CASE WHEN now > 0 AND now < pi() THEN 1e0 ELSE -1e0 END) AS score FROM (
-  SELECT sym, a - 2 * pi() * floor(a / (2 * pi())) AS now FROM (
-    SELECT sym, n, arg_max(2 * pi() * (k * 1e0 / n) * (n - 1) + atan2(im, re), re * re + im * im) AS a
-    FROM fft_bin GROUP BY sym, n)) GROUP BY sym"""
-F["hurst_ret"] = """
-SELECT sym, n, row_number() OVER (PARTITION BY sym ORDER BY back DESC) - 1 AS j, r FROM (
-  SELECT sym, back, ln(greatest(close, 1e-10)) - ln(greatest(lead(close) OVER (PARTITION BY sym ORDER BY back), 1e-10)) AS r,
-    least(n_bars - 1, 120) AS n FROM tail) WHERE back < n AND n > 30"""
-F["hurst_sub"] = """
-SELECT sym, s, ln_, j, r - avg(r) OVER (PARTITION BY sym, s) AS c, stddev_pop(r) OVER (PARTITION BY sym, s) AS sd FROM (
-  SELECT h.sym, h.j, h.r, s, 30 + (s * 37) % (n - 30) AS ln_, (s * 101) % (n - (30 + (s * 37) % (n - 30))) AS st
-  FROM hurst_ret h, (SELECT unnest(range(0, 100)) AS s)) WHERE j >= st AND j < st + ln_"""
+SELECT sym, dt, avg(CASE WHEN now > 0 AND now < pi() THEN 1e0 ELSE -1e0 END) AS score FROM (
+  SELECT sym, dt, a - 2 * pi() * floor(a / (2 * pi())) AS now FROM (
+    SELECT sym, dt, n, arg_max(2 * pi() * (k * 1e0 / n) * (n - 1) + atan2(im, re), re * re + im * im) AS a FROM (
+      SELECT g.sym, g.dt, g.n, w.k, list_inner_product(g.x, w.co) AS re, list_inner_product(g.x, w.si) AS im FROM (
+        SELECT i0.sym, i0.dt, n, list_transform(a.c[i - n + 2:i + 1], lambda y: y - close) AS x
+        FROM i0 JOIN arrays a ON i0.sym = a.sym, (SELECT DISTINCT n FROM waves) WHERE i >= 134) g JOIN waves w ON g.n = w.n
+      WHERE list_min(g.x) < list_max(g.x))
+    GROUP BY sym, dt, n)) GROUP BY sym, dt"""
 F["hurst_exp"] = """
-SELECT sym, s, ln((max(p) - min(p)) / max(sd)) / ln(max(ln_)) AS h FROM (
-  SELECT *, sum(c) OVER (PARTITION BY sym, s ORDER BY j) AS p FROM hurst_sub)
-GROUP BY sym, s HAVING max(sd) > 0 AND max(p) > min(p)"""
+SELECT sym, dt, ln((list_max(path) - list_min(path)) / sd) / ln(size) AS h FROM (
+  SELECT sym, dt, size, sqrt(greatest(ss / size - m * m, 0)) AS sd,
+    list_transform(l[2:], lambda y, k: y - l[1] - k * m) AS path FROM (
+      SELECT *, (l[size + 1] - l[1]) / size AS m FROM (
+        SELECT i0.sym, i0.dt, size, a.lc[beg + 1:beg + size + 1] AS l, a.sq[beg + size + 1] - a.sq[beg + 1] AS ss FROM (
+          SELECT i AS bar, n, size, i - n + (j * 101) % (n - size) AS beg FROM (
+            SELECT i, least(i, 120) AS n, j, 30 + (j * 37) % (least(i, 120) - 30) AS size
+            FROM (SELECT DISTINCT i FROM i0 WHERE i > 30), (SELECT unnest(range(0, 100)) AS j))) p
+        JOIN i0 ON i0.i = p.bar JOIN arrays a ON i0.sym = a.sym)))
+WHERE sd > 1e-12 AND list_max(path) - list_min(path) > 1e-12"""
 F["hurst_stat"] = """
-SELECT t.sym, CASE WHEN n >= 20 THEN med ELSE 0.5e0 END AS hurst_med, CASE WHEN n >= 20 THEN iqr ELSE 0 END AS hurst_iqr,
-  coalesce(n >= 20 AND iqr < 0.15e0 AND abs(med - 0.5e0) > 0.1e0, false) AS hurst_reliable
-FROM (SELECT DISTINCT sym FROM tail) t LEFT JOIN (
-  SELECT sym, count(*) AS n, median(h) AS med, quantile_cont(h, 0.75) - quantile_cont(h, 0.25) AS iqr
-  FROM hurst_exp GROUP BY sym) h ON t.sym = h.sym"""
+SELECT sym, dt, med, iqr, iqr < 0.15e0 AND abs(med - 0.5e0) > 0.1e0 AS sure FROM (
+  SELECT sym, dt, median(h) AS med, quantile_cont(h, 0.75) - quantile_cont(h, 0.25) AS iqr FROM hurst_exp
+  GROUP BY sym, dt HAVING count(*) >= 20)"""
 F["kde_in"] = """
-SELECT *, sum(w * w) OVER (PARTITION BY sym) AS w2, sum(w * x) OVER (PARTITION BY sym) AS m FROM (
-  SELECT sym, close AS x, back, volume / sum(volume) OVER (PARTITION BY sym) AS w,
-    stddev_pop(close) OVER (PARTITION BY sym) AS sd FROM tail WHERE back < 60 AND n_bars >= 60)"""
+SELECT sym, dt, close, p, list_transform(v, lambda y: y / total) AS w FROM (
+  SELECT i0.sym, i0.dt, close, a.c[i - 58:i + 1] AS p, a.v[i - 58:i + 1] AS v, list_sum(a.v[i - 58:i + 1]) AS total
+  FROM i0 JOIN arrays a ON i0.sym = a.sym WHERE i >= 59) WHERE list_stddev_pop(p) > 1e-5"""
 F["kde_bw"] = """
-SELECT sym, min(x) AS a, max(x) AS b, arg_min(x, back) AS cur,
-  pow(1 / max(w2) * 0.75e0, -0.4e0) * sum(w * (x - m) * (x - m)) / (1 - max(w2)) AS h2
-FROM kde_in WHERE sd > 1e-5 GROUP BY sym"""
+SELECT *, pow(0.75e0 / w2, -0.4e0) * list_sum(list_transform(list_zip(p, w), lambda z: z[2] * (z[1] - m) * (z[1] - m))) / (1 - w2) AS h2
+FROM (SELECT *, list_inner_product(w, w) AS w2, list_inner_product(w, p) AS m FROM kde_in)"""
 F["kde_den"] = """
-SELECT p.sym, p.g, sum(i.w * exp(-(p.at - i.x) * (p.at - i.x) / (2 * p.h2))) / sqrt(2 * pi() * max(p.h2)) AS den
-FROM (SELECT sym, h2, g, CASE WHEN g = 200 THEN cur ELSE a + (b - a) * g / 199e0 END AS at
-      FROM kde_bw, (SELECT unnest(range(0, 201)) AS g)) p JOIN kde_in i ON p.sym = i.sym GROUP BY p.sym, p.g"""
+SELECT sym, dt, g, list_sum(list_transform(list_zip(p, w), lambda z: z[2] * exp(-(pt - z[1]) * (pt - z[1]) / (2 * h2)))) / sqrt(2 * pi() * h2) AS den
+FROM (SELECT *, CASE WHEN g = 200 THEN close ELSE list_min(p) + (list_max(p) - list_min(p)) * g / 199e0 END AS pt
+      FROM kde_bw, (SELECT unnest(range(0, 201)) AS g))"""
 F["kde_stat"] = """
-SELECT sym, CASE WHEN cur <= d50 THEN least(1, 0.5e0 + 0.5e0 * (d50 - cur) / (d50 + 1e-10)) ELSE 0 END AS score FROM (
-  SELECT sym, median(den) FILTER (g < 200) AS d50, max(den) FILTER (g = 200) AS cur FROM kde_den GROUP BY sym)"""
+SELECT sym, dt, CASE WHEN cur <= d50 THEN least(1, 0.5e0 + 0.5e0 * (d50 - cur) / (d50 + 1e-10)) ELSE 0 END AS score FROM (
+  SELECT sym, dt, median(den) FILTER (g < 200) AS d50, max(den) FILTER (g = 200) AS cur FROM kde_den GROUP BY sym, dt)"""
+F["stat_feats"] = """
+SELECT b.sym, b.dt, coalesce(f.score, 0) AS fft_score, coalesce(k.score, 0) AS kde_score, coalesce(h.med, 0.5e0) AS hurst_med,
+  coalesce(h.iqr, 0) AS hurst_iqr, coalesce(h.sure, false) AS hurst_sure
+FROM bars b LEFT JOIN fft_vote f ON b.sym = f.sym AND b.dt = f.dt LEFT JOIN kde_stat k ON b.sym = k.sym AND b.dt = k.dt
+LEFT JOIN hurst_stat h ON b.sym = h.sym AND b.dt = h.dt"""
 
 
 def compose(statement: str) -> str:

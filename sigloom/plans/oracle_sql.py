@@ -58,12 +58,12 @@ SQL["feat_rsi_60m"] = q(f"SELECT *, coalesce(i >= 14 AND rsi > {L('rsi')} AND {L
                         "sym:i dt:t rsi=rsi_60m:f bounce=rsi_60m_bounce:b")
 SQL["feat_fvg"] = q("gap_feats", "sym:i dt:d fvg_lower:f fvg_upper:f")
 SQL["feat_swing"] = q("gap_feats", "sym:i dt:d swing_high_10:f")
-SQL["feat_kde"] = q("""SELECT t.sym, coalesce(k.score, 0) AS score FROM (SELECT DISTINCT sym FROM bars) t
-  LEFT JOIN kde_stat k ON t.sym = k.sym""", "sym:i score=kde_breakout_score:f")
-SQL["feat_fft"] = q("""SELECT t.sym, coalesce(k.score, 0) AS score FROM (SELECT DISTINCT sym FROM bars) t
-  LEFT JOIN fft_vote k ON t.sym = k.sym""", "sym:i score=fft_ensemble_score:f")
-SQL["feat_hurst"] = q("SELECT sym, hurst_med, coalesce(hurst_iqr, 0) AS hurst_iqr, hurst_reliable FROM hurst_stat",
-                      "sym:i hurst_med:f hurst_iqr:f hurst_reliable:b")
+SQL["feat_kde"] = q("SELECT b.sym, b.dt, coalesce(k.score, 0) AS score FROM bars b LEFT JOIN kde_stat k ON b.sym = k.sym AND b.dt = k.dt",
+                    "sym:i dt:d score=kde_breakout_score:f")
+SQL["feat_fft"] = q("SELECT b.sym, b.dt, coalesce(k.score, 0) AS score FROM bars b LEFT JOIN fft_vote k ON b.sym = k.sym AND b.dt = k.dt",
+                    "sym:i dt:d score=fft_ensemble_score:f")
+SQL["feat_hurst"] = q("""SELECT b.sym, b.dt, coalesce(med, 0.5e0) AS med, coalesce(iqr, 0) AS iqr, coalesce(sure, false) AS sure
+  FROM bars b LEFT JOIN hurst_stat h ON b.sym = h.sym AND b.dt = h.dt""", "sym:i dt:d med=hurst_med:f iqr=hurst_iqr:f sure=hurst_reliable:b")
 
 # --- alternative data -----------------------------------------------------------------------
 F["chain"] = """
