@@ -27,6 +27,14 @@ def put_call_ratio(chain: DataFrame) -> DataFrame:
         "sym", F.when(F.col("c") > 0, F.col("p") / F.col("c")).otherwise(1.0).alias("pcr"))
 
 
+def market_put_call(chain: DataFrame) -> DataFrame:
+    """expiry, market_pcr: put over call volume of all symbols; 1 without call volume."""
+    put = F.sum(F.when(F.col("type") == "put", F.col("volume")).otherwise(0.0))
+    call = F.sum(F.when(F.col("type") == "call", F.col("volume")).otherwise(0.0))
+    return chain.groupBy("expiry").agg(put.alias("p"), call.alias("c")).select(
+        "expiry", F.when(F.col("c") > 0, F.col("p") / F.col("c")).otherwise(1.0).alias("market_pcr"))
+
+
 def iv_skew(chain: DataFrame) -> DataFrame:
     """sym, iv_skew: median put minus median call volatility of the first expiry; 0 if either
     side is missing. The medians are exact for groups of any size."""

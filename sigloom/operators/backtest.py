@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sigloom.functions.asof import asof_join
 from sigloom.functions.scalar import EPS
 from sigloom.functions.scan import exact_quantiles, prefix_sum
 from sigloom.operators.bars import calendar
 from sigloom.operators.factors import list_to_map
+from sigloom.operators.tensors import sequence_tensor
 from sigloom.params import ATTRIBUTION_FACTORS, BASELINE_FACTOR, Params
 from sigloom.session import broadcast_if_small, materialise
 
@@ -183,22 +185,19 @@ def headline(stats: DataFrame) -> DataFrame:
         F.max(F.when(F.col("horizon") == 3, F.col("ai_win_rate"))).alias("ai_win_rate"))
 
 
-def training_samples(returns: DataFrame, tensors: DataFrame, horizon: int = 3) -> DataFrame:
+def training_samples(returns: DataFrame, bars: DataFrame, horizon: int = 3) -> DataFrame:
     """sig_id, sym, dt, seq, label: tensor of the last bar on or before the signal date, with the
     horizon's return; all-zero tensors are dropped.
 
-    Signals collapse to distinct (sym, dt) first, so the per-symbol as-of is bounded by dates.
+    Signals collapse to distinct (sym, dt), meet their bar by an as-of join, and only the bars that
+    are asked for get a tensor.
     """
     picks = returns.where(F.col("horizon") == horizon).select("sig_id", "sym", "dt", "ret")
-    asked = picks.select("sym", "dt").distinct().withColumn("asked", F.lit(True))
-    have = tensors.select("sym", "dt", F.col("dt").alias("bar_dt"))
-    line = have.join(asked, ["sym", "dt"], "full_outer")
-    line = line.withColumn("bar_dt", F.last("bar_dt", ignorenulls=True).over(
-        Window.partitionBy("sym").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)))
-    at = line.where("asked").select("sym", "dt", "bar_dt")
-    full = tensors.where(F.exists("seq", lambda row: F.exists(row, lambda x: x != 0)))
-    hit = picks.join(at, ["sym", "dt"]).join(
-        full.select("sym", F.col("dt").alias("bar_dt"), "seq"), ["sym", "bar_dt"])
+    at = materialise(asof_join(picks.select("sym", "dt").distinct(), bars.select("sym", "dt"), "sym", F.col("dt"), F.col("dt"),
+                               {"bar_dt": F.col("dt")}))
+    asked = at.where("bar_dt IS NOT NULL").select("sym", F.col("bar_dt").alias("dt")).distinct()
+    full = sequence_tensor(bars, asked).where(F.exists("seq", lambda row: F.exists(row, lambda x: x != 0)))
+    hit = picks.join(at, ["sym", "dt"]).join(full.withColumnRenamed("dt", "bar_dt"), ["sym", "bar_dt"])
     return hit.select("sig_id", "sym", "dt", "seq", F.col("ret").alias("label"))
 
 

@@ -75,6 +75,13 @@ def vix_level(macro: DataFrame) -> DataFrame:
     return v.withColumn("vix_band", vix_band(F.col("vix")))
 
 
+def vix_term(macro: DataFrame, days: int = 63) -> DataFrame:
+    """dt, term: the volatility index over its mean of ``days`` rows, for want of a three-month index; 1 before."""
+    w = Window.orderBy("dt").rowsBetween(1 - days, 0)  # one series: a row for each date
+    v = macro.where("series = 'VIX'")
+    return v.select("dt", F.when(F.count("close").over(w) >= days, F.try_divide("close", F.avg("close").over(w))).otherwise(1.0).alias("term"))
+
+
 def credit_spread(macro: DataFrame) -> DataFrame:
     """dt, ratio, credit_spread_mom (20-row change of HYG/IEI, padded over gaps), risk flag."""
     hyg = _one(macro, "HYG").withColumnRenamed("close", "hyg")

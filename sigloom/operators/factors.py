@@ -111,10 +111,10 @@ def factor_map(panel: DataFrame, p: Params = Params(), vector: str | None = None
     return panel.withColumn("ml_features", F.create_map(*pairs))
 
 
-def factors_long(panel: DataFrame, names: tuple[str, ...] = BASE_FACTORS, p: Params = Params(),
-                 carry: tuple[str, ...] = ()) -> DataFrame:
-    """sym, dt, factor, value. ``names`` limits the row multiplication."""
-    cols = factor_columns(p)
+def factors_long(panel: DataFrame, names: tuple[str, ...] = ALL_FACTORS, p: Params = Params(),
+                 carry: tuple[str, ...] = (), vector: str | None = None) -> DataFrame:
+    """sym, dt, factor, value. ``names`` limits the row multiplication; ``vector`` names the column of the embedding."""
+    cols = {**factor_columns(p), **embedding_columns(vector)}
     wide = panel.select("sym", "dt", *carry, *[cols[n].alias(n) for n in names])
     return wide.unpivot(["sym", "dt", *carry], list(names), "factor", "value")
 

@@ -1,7 +1,7 @@
 """Features that need a second series or a second time frame.
 
-Look-ahead: history uses the last *completed* week and month (``live=True`` takes the running
-one, right for the newest bar only).
+Look-ahead: history uses the last *completed* week and month; ``live=True`` takes the running ones
+on each symbol's newest bar.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sigloom.functions.asof import asof_join
 from sigloom.functions.scalar import EPS, yes
 from sigloom.functions.windows import (
     as_series, by_time, index_series, lag, last_rows, roll, series, span, with_ewm,
@@ -44,13 +45,11 @@ def monthly_state(monthly: DataFrame) -> DataFrame:
         yes((F.count(F.lit(1)).over(w) == 3) & (F.min(flow).over(w) > 0)).alias("monthly_inst_flow"))
 
 
-def period_state(state: DataFrame, flags: list[str], live: bool) -> DataFrame:
-    """The state a bar of the period may use: the period before it, or (live) its own."""
-    if live:
-        return state
+def period_state(state: DataFrame, flags: list[str]) -> DataFrame:
+    """Of each period its own flags (``_now``) and those of the period before it (``_done``)."""
     w = by_time()
-    return state.select(
-        "sym", "dt", *[F.coalesce(F.lag(f).over(w), F.lit(False)).alias(f) for f in flags])
+    return state.select("sym", "dt", *[F.col(f).alias(f"{f}_now") for f in flags],
+                        *[F.coalesce(F.lag(f).over(w), F.lit(False)).alias(f"{f}_done") for f in flags])
 
 
 def rsi_60m_state(hourly: DataFrame) -> DataFrame:
@@ -66,11 +65,14 @@ def rsi_60m_state(hourly: DataFrame) -> DataFrame:
         (F.col("_i") >= 14) & (F.col("rsi_60m") > prev) & (prev < 40)).alias("rsi_60m_bounce"))
 
 
-def rsi_60m_daily(hourly: DataFrame) -> DataFrame:
-    """Last hourly state of each date."""
-    s = rsi_60m_state(hourly)
-    return s.groupBy("sym", F.to_date("dt").alias("d")).agg(
-        F.max_by("rsi_60m_bounce", "dt").alias("rsi_60m_bounce")).withColumnRenamed("d", "dt")
+def with_hourly(days: DataFrame, hourly: DataFrame, max_age_days: float = 3.0) -> DataFrame:
+    """``days`` (sym, dt, ...) with the state of the newest hour bar up to the end of the day: rsi_60m, rsi_60m_bounce.
+
+    Hours that are older than ``max_age_days`` at the end of the day do not count.
+    """
+    out = asof_join(days, rsi_60m_state(hourly), "sym", F.date_add("dt", 1).cast("timestamp"), F.col("dt").cast("timestamp"),
+                    {c: F.col(c) for c in ("rsi_60m", "rsi_60m_bounce")}, max_age_days * 86400, strict=True)
+    return out.withColumn("rsi_60m_bounce", F.coalesce("rsi_60m_bounce", F.lit(False)))
 
 
 def price_gap(df: DataFrame) -> DataFrame:
@@ -158,12 +160,17 @@ def vrp(vix: Column, realized: Column) -> Column:
 
 
 def with_periods(df: DataFrame, bars: DataFrame, live: bool = False) -> DataFrame:
-    """Attach weekly and monthly flags by equality on (sym, period label)."""
-    wk = period_state(weekly_state(weekly_bars(bars)), ["weekly_bullish", "weekly_macd_res"], live)
-    mo = period_state(monthly_state(monthly_bars(bars)), ["monthly_inst_flow"], live)
-    df = df.withColumns({
-        "_wk": F.date_add(F.to_date(F.date_trunc("week", "dt")), 6), "_mo": F.last_day("dt")})
+    """Attach weekly and monthly flags by equality on (sym, period label).
+
+    A bar of the past has those of the last completed week and month. With ``live``, the newest bar of each symbol has
+    those of the running ones, as a scan of that day sees them.
+    """
+    flags = ("weekly_bullish", "weekly_macd_res", "monthly_inst_flow")
+    wk = period_state(weekly_state(weekly_bars(bars)), list(flags[:2]))
+    mo = period_state(monthly_state(monthly_bars(bars)), [flags[2]])
+    newest = F.lead("dt").over(by_time()).isNull() if live else F.lit(False)
+    df = df.withColumns({"_new": newest, "_wk": F.date_add(F.to_date(F.date_trunc("week", "dt")), 6), "_mo": F.last_day("dt")})
     df = df.join(wk.withColumnRenamed("dt", "_wk"), ["sym", "_wk"], "left")
     df = df.join(mo.withColumnRenamed("dt", "_mo"), ["sym", "_mo"], "left")
-    flags = ("weekly_bullish", "weekly_macd_res", "monthly_inst_flow")
-    return df.withColumns({f: F.coalesce(f, F.lit(False)) for f in flags}).drop("_wk", "_mo")
+    state = {f: F.coalesce(F.when(F.col("_new"), F.col(f"{f}_now")).otherwise(F.col(f"{f}_done")), F.lit(False)) for f in flags}
+    return df.withColumns(state).drop("_new", "_wk", "_mo", *[f"{f}_{k}" for f in flags for k in ("now", "done")])

@@ -73,7 +73,7 @@ def _base(columns: list[str], rounds: int) -> Pipeline:
 
 
 def fit_stack(trades: DataFrame, active: list[str], rounds: int = 60, splits: int = 3) -> Stack:
-    """``trades``: sig_id, dt, ret, vix, cred, term, pcr and one column per active factor.
+    """``trades``: sig_id, dt, ret, vix, cred, term, market_pcr and one column per active factor.
 
     The driver holds fold limits, two coefficients and at most 64 importances; rows stay put.
     """
@@ -81,7 +81,7 @@ def fit_stack(trades: DataFrame, active: list[str], rounds: int = 60, splits: in
     base = trades.select(
         "sig_id", "dt", "ret", (F.col("ret") > LABEL_RETURN).cast("double").alias("label"),
         (F.col("vix") / 20.0).alias("m_vix"), F.col("cred").alias("m_cred"),
-        (F.col("term") - 1.0).alias("m_term"), (F.col("pcr") - 1.0).alias("m_pcr"), *active)
+        (F.col("term") - 1.0).alias("m_term"), (F.col("market_pcr") - 1.0).alias("m_pcr"), *active)
     rows = materialise(expanding_folds(base, [F.col("dt"), F.col("sig_id")], splits))
 
     def fit(train: DataFrame, group: str) -> PipelineModel:

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions.scalar import EPS, scrub
@@ -53,40 +57,86 @@ def bar_vector(w) -> list[Column]:
     ]
 
 
-def sequence_tensor(bars: DataFrame) -> DataFrame:
-    """sym, dt, seq ARRAY<ARRAY<FLOAT>>: the 60 bars up to each bar, oldest first, nulls 0 and
-    infinities +/-5. Bars with less history get 60 rows of zeros. The two change columns of the
-    oldest row are 0, as it has no row before it inside the slice."""
-    ind = indicators(bars)
-    w = by_time()
-    vec = F.array(*[scrub(x.cast("double"), 5.0).cast("float") for x in bar_vector(w)])
-    one = ind.select("sym", "dt", vec.alias("v"))
-    w60 = w.rowsBetween(-(ROWS - 1), 0)
+def bar_features(bars: DataFrame) -> DataFrame:
+    """sym, dt and v ARRAY<FLOAT>: the 49 values of each bar, nulls 0 and infinities +/-5."""
+    vec = F.array(*[scrub(x.cast("double"), 5.0).cast("float") for x in bar_vector(by_time())])
+    return indicators(bars).select("sym", "dt", vec.alias("v"))
+
+
+def sequence_tensor(bars: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """sym, dt, seq ARRAY<ARRAY<FLOAT>>: the 60 bars up to each bar, oldest first. Bars with less
+    history get 60 rows of zeros. The two change columns of the oldest row are 0, as it has no row
+    before it inside the slice.
+
+    ``asked`` (distinct sym, dt) limits the rows that are built: a tensor is 12 kB.
+    """
+    one = bar_features(bars)
+    if asked is not None:
+        one = one.join(asked.select("sym", "dt", F.lit(True).alias("_asked")), ["sym", "dt"], "left")
+    w60 = by_time().rowsBetween(-(ROWS - 1), 0)
     seq = F.collect_list("v").over(w60)
     zero = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), WIDTH), ROWS)
     # the head row loses its two change columns
     head = F.transform(F.get(F.col("s"), F.lit(0)), lambda x, k: F.when(
         k.isin(46, 47), F.lit(0.0).cast("float")).otherwise(x))
-    out = one.select("sym", "dt", seq.alias("s"))
+    out = one.select("sym", "dt", seq.alias("s"), *(["_asked"] if asked is not None else []))
+    if asked is not None:
+        out = out.where("_asked")
     return out.select("sym", "dt", F.when(
         F.size("s") == ROWS, F.concat(F.array(head), F.slice("s", 2, ROWS - 1))).otherwise(zero).alias("seq"))
 
 
-def score_sequences(tensors: DataFrame, model: Callable, width: int = 16) -> DataFrame:
-    """sym, dt, vec: ``model(batch of n x 60 x 49) -> n x width``, applied to Arrow batches."""
-    rows, cols = ROWS, WIDTH
-
-    def run(batches):
-        import numpy as np
-        for pdf in batches:
-            flat = [np.stack([np.asarray(r, dtype="float32") for r in s]) for s in pdf["seq"]]
-            x = np.stack(flat) if flat else np.zeros((0, rows, cols), dtype="float32")
-            y = np.asarray(model(x), dtype="float64").reshape(len(pdf), width)
-            yield pdf[["sym", "dt"]].assign(vec=list(y))
-
-    key = tensors.schema["sym"].dataType.simpleString()
-    day = tensors.schema["dt"].dataType.simpleString()
-    return tensors.select("sym", "dt", "seq").mapInPandas(run, f"sym {key}, dt {day}, vec array<double>")
-
-
-__all__ = ["bar_vector", "score_sequences", "sequence_tensor"]
+@dataclass(frozen=True)
+class SequenceModel:
+    """A versioned model: the mean over a sequence's 60 rows, times ``weights`` (49 x 16)."""
+
+    version: int
+    weights: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return x.astype(np.float64).mean(axis=1) @ self.weights
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Append this version to the table at ``path``."""
+        row = [(self.version, self.weights.astype(float).tolist())]
+        spark.createDataFrame(row, "version int, weights array<array<double>>").coalesce(1).write.mode("append").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SequenceModel:
+        """A version of the table at ``path``, the newest by default. It travels to the executors with the task."""
+        t = spark.read.parquet(path)
+        if version is not None:
+            t = t.where(F.col("version") == version)
+        row = t.orderBy(F.desc("version")).first()
+        if row is None:
+            raise LookupError(f"no model version {version or ''} at {path}")
+        return cls(row["version"], np.array(row["weights"]))
+
+
+def score_sequences(bars: DataFrame, model: Callable[[np.ndarray], np.ndarray], width: int = 16, run_rows: int = 256) -> DataFrame:
+    """sym, dt, vec: ``model(n x 60 x 49) -> n x width`` for the sequence of every bar.
+
+    One symbol is one Arrow group of 49 numbers a bar (a series is bounded by the calendar); sequences are windows of it
+    and only ``run_rows`` of them are laid out at once.
+    """
+    feats = bar_features(bars)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("dt")
+        x = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
+        y = np.empty((len(x), width))
+        young = min(len(x), ROWS - 1)
+        y[:young] = model(np.zeros((1, ROWS, WIDTH), np.float32))
+        if len(x) >= ROWS:
+            seqs = sliding_window_view(x, ROWS, axis=0).swapaxes(1, 2)
+            for lo in range(0, len(seqs), run_rows):
+                part = seqs[lo:lo + run_rows].copy()
+                part[:, 0, 46:48] = 0
+                y[young + lo:young + lo + len(part)] = model(part)
+        return pa.table({"sym": table.column("sym"), "dt": table.column("dt"), "vec": pa.array(list(y), pa.list_(pa.float64()))})
+
+    key, day = (feats.schema[c].dataType.simpleString() for c in ("sym", "dt"))
+    return feats.groupBy("sym").applyInArrow(run, f"sym {key}, dt {day}, vec array<double>")
+
+
+__all__ = ["SequenceModel", "bar_features", "bar_vector", "score_sequences", "sequence_tensor"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,9 +23,8 @@ from sigloom.sources import fixtures as fx
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CAST = {"i": "bigint", "d": "string", "b": "bigint", "s": "string"}
-# The three array statistics have a SQL twin for the newest bar only; a zero weight takes their
-# triggers out of the score, so that the rest of it can be checked on every bar.
-CORE = Params(weights={"kde": 0.0, "hurst": 0.0, "fft": 0.0})
+# The registered queries' sequence model: the mean of each of the first 16 columns.
+MODEL = tensors.SequenceModel(1, np.eye(tensors.WIDTH, 16))
 
 
 def out(df: DataFrame, columns: str) -> DataFrame:
@@ -287,11 +287,6 @@ def alt_earnings(spark, d):
 
 
 # --- factors, triggers, score ---------------------------------------------------------------
-def _panel(spark, d, stats: bool = False, alt: DataFrame | None = None, b: DataFrame | None = None) -> DataFrame:
-    b = b if b is not None else bar_table(spark, d)
-    return feature_panel(b, materialise(fx.macro(spark, d)), alt=alt, statistics=stats)
-
-
 def _alt_today(spark, d, b: DataFrame) -> DataFrame:
     """The alternative snapshot dated at each symbol's newest bar."""
     snap = altdata.alt_snapshot(fx.option_chain(spark, d), fx.short_interest(spark, d), fx.insider_tx(spark, d),
@@ -299,40 +294,58 @@ def _alt_today(spark, d, b: DataFrame) -> DataFrame:
     return snap.join(b.groupBy("sym").agg(F.max("dt").alias("dt")), "sym")
 
 
-SQL_FACTORS = tuple(f for f in BASE_FACTORS if f not in ("kde", "fft", "hurst"))
+def _panel(spark, d, b: DataFrame | None = None) -> DataFrame:
+    """The panel with all inputs: statistics, hour bars and embeddings on every bar, alternative data on the newest."""
+    b = b if b is not None else bar_table(spark, d)
+    return feature_panel(b, materialise(fx.macro(spark, d)), alt=_alt_today(spark, d, b),
+                         hourly=bars.hourly_bars(fx.panel_ticks(spark, d)), vector=tensors.score_sequences(b, MODEL))
+
+
+@query
+def asof_hourly(spark, d):
+    """Each bar with the newest hour bar up to the end of its day, three days old at most."""
+    days = fx.daily_bars(spark, d).select("sym", "dt")
+    return out(features.with_hourly(days, bars.hourly_bars(fx.panel_ticks(spark, d))), "sym:i dt:d rsi_60m:f rsi_60m_bounce:b")
+
+
+@query
+def feat_periods_live(spark, d):
+    """Weekly and monthly flags, the running period's on each symbol's newest bar."""
+    b = bar_table(spark, d)
+    return out(features.with_periods(b.select("sym", "dt"), b, live=True),
+               "sym:i dt:d weekly_bullish:b weekly_macd_res:b monthly_inst_flow:b")
 
 
 @query
 def factors_long(spark, d):
-    return out(factors.factors_long(_panel(spark, d), SQL_FACTORS), "sym:i dt:d factor:s value:f")
+    return out(factors.factors_long(_panel(spark, d), vector="vec"), "sym:i dt:d factor:s value:f")
 
 
 @query
 def factor_vector(spark, d):
-    """All 64 factors as a map, array statistics included."""
-    m = factors.factor_map(_panel(spark, d, stats=True))
-    return out(m.select("sym", "dt", F.size("ml_features").alias("n"), *[
-        F.col("ml_features")[f].alias(f) for f in ("kde", "fft", "hurst", "alpha_t01")]),
-        "sym:i dt:d n:i kde:f fft:f hurst:f alpha_t01:f")
+    """All 64 factors as a map, and some of its entries as columns."""
+    m = factors.factor_map(_panel(spark, d), vector="vec")
+    names = ("kde", "fft", "hurst", "rsi_60m", "pcr", "insider", "alpha_t01", "alpha_t16")
+    return out(m.select("sym", "dt", F.size("ml_features").alias("n"), *[F.col("ml_features")[f].alias(f) for f in names]),
+               "sym:i dt:d n:i " + " ".join(f"{f}:f" for f in names))
 
 
 @query
 def triggers_long(spark, d):
-    return out(triggers.triggers_long(_panel(spark, d), CORE), "sym:i dt:d tag:s points:f theme:s sub:s")
+    return out(triggers.triggers_long(_panel(spark, d)), "sym:i dt:d tag:s points:f theme:s sub:s")
 
 
 @query
 def score_core(spark, d):
-    s = scoring.score_panel(_panel(spark, d), CORE, keep=("sym", "dt"))
+    s = scoring.score_panel(_panel(spark, d), keep=("sym", "dt"))
     s = s.withColumns({"n_factors": F.size("factors"), "tags": F.array_join("factors", ",")})
     return out(s, "sym:i dt:d s_trend:f s_volatility:f s_reversal:f s_quantum:f s_short:f veto:b score:i n_factors:i tags:s")
 
 
 @query
 def score_panel(spark, d):
-    """Every factor and trigger on every symbol-day, alternative data on the newest bar."""
-    b = bar_table(spark, d)
-    s = scoring.score_panel(_panel(spark, d, stats=True, alt=_alt_today(spark, d, b), b=b), keep=("sym", "dt", "close"))
+    """Score and number of signals of every symbol-day."""
+    s = scoring.score_panel(_panel(spark, d), keep=("sym", "dt", "close"))
     return out(s.withColumn("n_signals", F.size("signals")), "sym:i dt:d close:f score:i veto:b n_signals:i")
 
 
@@ -390,17 +403,19 @@ def size_orders(spark, d):
     return out(o, "client_oid:s symbol:i dt:d qty:f limit_price:f arrival_price:f status:s")
 
 
-@query
-def daily_scan(spark, d):
-    """The whole live path on every date: features, triggers, score, cut, crowding, top five."""
-    b = bar_table(spark, d)
-    p = _panel(spark, d, stats=True, alt=_alt_today(spark, d, b), b=b)
-    s = scoring.score_panel(p, keep=("sym", "dt", "close", "ATR", "Chandelier_Exit", "SMA_200", "exposure", "health"))
-    s = s.withColumn("ai_prob", scoring.fallback_probability(F.col("score")))
+def _scan(spark, d) -> DataFrame:
+    """The live path on every date: features, triggers, score, model probability, levels, earnings, cut, crowding, top five."""
+    s = scoring.score_panel(_panel(spark, d), keep=("sym", "dt", "close", "ATR", "Chandelier_Exit", "SMA_200", "exposure", "health", "vec"))
+    s = s.withColumn("ai_prob", scoring.embedding_confidence(F.col("vec")))
     s = scoring.with_sector(scoring.position_levels(s), fx.sector_dim(spark, d))
     s = materialise(scoring.halve_before_earnings(scoring.earnings_flag(s, fx.earnings(spark, d))))
-    top = scoring.top_picks(scoring.crowd(scoring.apply_cut(s)))
-    return out(scoring.report(top), "dt:d rank:i sym:i block:s")
+    return scoring.top_picks(scoring.crowd(scoring.apply_cut(s)))
+
+
+@query
+def daily_scan(spark, d):
+    top = _scan(spark, d).withColumn("n_signals", F.size("signals"))
+    return out(top, "dt:d rank:i sym:i raw_score:i score:i adj_prob:f tp:f sl:f sector:s opt_weight:f n_signals:i")
 
 
 # --- backtest -------------------------------------------------------------------------------
@@ -468,7 +483,7 @@ def _ic_input(spark, d, b: DataFrame | None = None) -> DataFrame:
     b = b if b is not None else bar_table(spark, d)
     ids = b.select("sym", "dt", F.concat_ws("|", F.col("sym").cast("string"), F.col("dt").cast("string")).alias("sig_id"))
     r = backtest.trade_returns(ids, b, horizons=(3,))
-    long = factors.factors_long(_panel(spark, d, b=b), SQL_FACTORS)
+    long = factors.factors_long(_panel(spark, d, b), vector="vec")
     # returns and values are compared at eight digits, so that equal prices rank as ties everywhere
     long = long.withColumn("value", F.round("value", 8))
     # read several times by the ranks: written once
@@ -522,11 +537,14 @@ def stack_model(spark, d):
     b = bar_table(spark, d, fx.WILD)
     kept = evaluation.select_factors(evaluation.ic_summary(evaluation.rank_ic(_ic_input(spark, d, b))))
     names = sorted(x["factor"] for x in kept.collect())  # 64 at most
-    cols = factors.factor_columns()
-    f = _panel(spark, d, b=b).select("sym", "dt", *[cols[n].alias(n) for n in names])
-    ctx = broadcast_if_small(context.market_context(fx.macro(spark, d)))
-    t = r.join(f, ["sym", "dt"]).join(ctx.select("dt", "vix", F.col("credit_spread_mom").alias("cred")), "dt")
-    t = t.withColumns({"term": F.lit(1.0), "pcr": F.lit(1.0)})
+    cols = {**factors.factor_columns(), **factors.embedding_columns("vec")}
+    f = _panel(spark, d, b).select("sym", "dt", *[cols[n].alias(n) for n in names])
+    m = fx.macro(spark, d)
+    ctx = context.market_context(m).select("dt", "vix", F.col("credit_spread_mom").alias("cred")).join(context.vix_term(m), "dt", "left")
+    pcr = altdata.market_put_call(fx.option_chain(spark, d)).withColumnRenamed("expiry", "_month")
+    t = r.join(f, ["sym", "dt"]).join(broadcast_if_small(ctx), "dt").withColumn("_month", F.trunc("dt", "month"))
+    t = t.join(broadcast_if_small(pcr), "_month", "left").drop("_month")
+    t = t.withColumns({"term": F.coalesce("term", F.lit(1.0)), "market_pcr": F.coalesce("market_pcr", F.lit(1.0))})
     stack = learn.fit_stack(t, names)
     w = evaluation.weight_map(stack.importances, len(ALL_FACTORS))
     return out(stack.importances.join(w, "factor"), "factor:s importance:f weight:f")
@@ -550,32 +568,32 @@ def embed_confidence(spark, d):
     return out(e.select("vec_id", scoring.embedding_confidence(F.col("embedding")).alias("prob")), "vec_id:i prob:f")
 
 
+def _held_sum(x):
+    """Sum of values held within +/-50: a ratio to a volume of nothing would drown all others."""
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + F.greatest(F.lit(-50.0), F.least(F.lit(50.0), v.cast("double"))))
+
+
 @query
 def seq_tensor(spark, d):
     """Per bar the sums of the tensor's first and last row and of everything."""
     t = tensors.sequence_tensor(fx.daily_bars(spark, d))
-
-    def total(x):
-        return F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double"))
-
-    s = t.select("sym", "dt", F.size("seq").alias("n"), total(F.element_at("seq", 1)).alias("first_sum"),
-                 total(F.element_at("seq", 60)).alias("last_sum"), total(F.flatten("seq")).alias("all_sum"))
+    s = t.select("sym", "dt", F.size("seq").alias("n"), _held_sum(F.element_at("seq", 1)).alias("first_sum"),
+                 _held_sum(F.element_at("seq", 60)).alias("last_sum"), _held_sum(F.flatten("seq")).alias("all_sum"))
     return out(s, "sym:i dt:d n:i first_sum:f last_sum:f all_sum:f")
 
 
 @query
 def train_samples(spark, d):
-    """Sequence and T+3 label of each pick, when there are at least 64 of them."""
-    t = tensors.sequence_tensor(fx.daily_bars(spark, d, fx.WILD))
-    s = backtest.enough(backtest.training_samples(_returns(spark, d), t), 64)
-    return out(s.withColumn("n", F.size(F.flatten("seq"))), "sig_id:i sym:i dt:d n:i label:f")
+    """Sequence (its sum) and T+3 return of each pick, when there are at least 64 of them."""
+    r, b = _returns(spark, d), bar_table(spark, d, fx.WILD)
+    s = backtest.enough(backtest.training_samples(r, b), 64)
+    return out(s.withColumn("total", _held_sum(F.flatten("seq"))), "sig_id:i sym:i dt:d total:f label:f")
 
 
 @query
 def seq_scores(spark, d):
-    """Tensors through a caller's model (here the mean of each of the first 16 columns)."""
-    t = tensors.sequence_tensor(fx.daily_bars(spark, d))
-    v = tensors.score_sequences(t, lambda x: x[:, :, :16].mean(axis=1))
+    """The model's probability of every bar."""
+    v = tensors.score_sequences(fx.daily_bars(spark, d), MODEL)
     return out(v.withColumn("prob", scoring.embedding_confidence(F.col("vec"))), "sym:i dt:d prob:f")
 
 

@@ -224,11 +224,25 @@ SELECT b.sym, b.dt, coalesce(w.bull, false) AS weekly_bullish, coalesce(w.macd_u
 FROM (SELECT sym, dt, CAST(date_trunc('week', dt) AS DATE) + 6 AS wk, last_day(dt) AS mo FROM bars) b
 ASOF LEFT JOIN week_flags w ON b.sym = w.sym AND b.wk > w.dt
 ASOF LEFT JOIN month_flags m ON b.sym = m.sym AND b.mo > m.dt"""
+F["period_live"] = """
+SELECT p.sym, p.dt, CASE WHEN p.dt = n.last THEN coalesce(w.bull, false) ELSE p.weekly_bullish END AS weekly_bullish,
+  CASE WHEN p.dt = n.last THEN coalesce(w.macd_up, false) ELSE p.weekly_macd_res END AS weekly_macd_res,
+  CASE WHEN p.dt = n.last THEN coalesce(m.flow, false) ELSE p.monthly_inst_flow END AS monthly_inst_flow
+FROM period_feats p JOIN (SELECT sym, max(dt) AS last FROM bars GROUP BY sym) n ON p.sym = n.sym
+LEFT JOIN week_flags w ON w.sym = p.sym AND w.dt = CAST(date_trunc('week', p.dt) AS DATE) + 6
+LEFT JOIN month_flags m ON m.sym = p.sym AND m.dt = last_day(p.dt)"""
 F["hr0"] = """
 SELECT *, row_number() OVER w - 1 AS i, close - lag(close) OVER w AS d FROM hours WINDOW w AS (PARTITION BY sym ORDER BY dt)"""
 F["hr1"] = f"""
 SELECT sym, dt, i, 100 - 100 / (1 + ({E('CASE WHEN d > 0 THEN d ELSE 0 END', span(14))})
   / ({E('CASE WHEN d < 0 THEN -d ELSE 0 END', span(14))} + 1e-10)) AS rsi FROM hr0"""
+F["hr_moved"] = f"""
+SELECT sym, dt + to_days(CAST((SELECT max(dt) FROM bars) - (SELECT max(CAST(ts AS DATE)) FROM events) AS INT)) AS at_, rsi,
+  coalesce(i >= 14 AND rsi > {L('rsi')} AND {L('rsi')} < 40, false) AS bounce FROM hr1"""
+F["hour_feats"] = """
+SELECT b.sym, b.dt, CASE WHEN h.at_ >= b.t - INTERVAL 3 DAY THEN h.rsi END AS rsi_60m,
+  coalesce(h.at_ >= b.t - INTERVAL 3 DAY AND h.bounce, false) AS bounce
+FROM (SELECT sym, dt, CAST(dt + 1 AS TIMESTAMP) AS t FROM bars) b ASOF LEFT JOIN hr_moved h ON b.sym = h.sym AND b.t > h.at_"""
 F["gaps"] = """
 SELECT sym, dt, i, high, low, CASE WHEN low > lag(high, 2) OVER w THEN lag(high, 2) OVER w END AS g_lo,
   CASE WHEN low > lag(high, 2) OVER w THEN low END AS g_up FROM i0 WINDOW w AS (PARTITION BY sym ORDER BY dt)"""
@@ -294,6 +308,55 @@ FROM bars b LEFT JOIN fft_vote f ON b.sym = f.sym AND b.dt = f.dt LEFT JOIN kde_
 LEFT JOIN hurst_stat h ON b.sym = h.sym AND b.dt = h.dt"""
 
 
+# --- sequences ---------------------------------------------------------------------------------
+def _rel(x: str) -> str:
+    return f"{x} / (close + 1e-10) - 1"
+
+
+def _over(n: str, d: str) -> str:
+    return f"({n}) / nullif({d} + 1e-10, 0)"
+
+
+def _chg(x: str) -> str:
+    return (f"CASE WHEN {L(x)} = 0 THEN CASE WHEN {x} = 0 THEN NULL ELSE 'Infinity'::DOUBLE END ELSE {x} / {L(x)} - 1 END")
+
+
+SEQ = [
+    "RSI / 100", *[f"{x} / (close + 1e-10)" for x in ("MACD", "Signal_Line", "ATR", "(KC_Upper - KC_Lower)", "(BB_Upper - BB_Lower)")],
+    *[_rel(x) for x in ("Tenkan", "Kijun", "SenkouA", "SenkouB")], "SuperTrend_Up::INT", "CMF", "Range / (close + 1e-10)",
+    "NR7::INT", "Inside_Bar::INT", "VPT_ZScore", "VPT_Accel", _rel("VWAP_20"), _rel("VWAP_20"), _over("volume", "Max_Down_Vol_10"),
+    *[_rel(x) for x in ("OB_High", "OB_Low", "Swing_Low_20")], "Range_60 / (close + 1e-10)", "Range_20 / (close + 1e-10)",
+    _rel("Price_High_20"), _over("volume", "Vol_MA20"), "CVD_Trend", "CVD_Divergence", _rel("Highest_22"), "ATR_22 / (close + 1e-10)",
+    _rel("Chandelier_Exit"), "Smart_Money_Flow", "Recent_Price_Surge_3d / 100", "Recent_Vol_Surge_3d", "Amihud", "Dist_52W_High",
+    *[f"{_over('close', x)} - 1" for x in ("SMA_50", "SMA_150", "SMA_200", "EMA_20", "EMA_50")], "Above_Cloud::INT",
+    *[_rel(x) for x in ("open", "high", "low")], _chg("close"), _chg("volume"), _over("close - open", "(high - low)"),
+]
+_seq = ", ".join(
+    f"CAST(CASE WHEN v{k} IS NULL OR isnan(v{k}) THEN 0 WHEN isinf(v{k}) THEN sign(v{k}) * 5 ELSE v{k} END AS FLOAT)::DOUBLE AS v{k}"
+    for k in range(len(SEQ)))
+_raw = ", ".join(f"CAST({x} AS DOUBLE) AS v{k}" for k, x in enumerate(SEQ))
+F["seq_raw"] = f"SELECT sym, dt, i, {_raw} FROM ind"
+F["seq_rows"] = f"SELECT sym, dt, i, {_seq} FROM seq_raw"
+_vec = ", ".join(f"CASE WHEN i >= 59 THEN avg(v{k}) OVER w ELSE 0 END" for k in range(16))
+F["vecs"] = f"SELECT sym, dt, i, [{_vec}] AS vec FROM seq_rows WINDOW w AS (PARTITION BY sym ORDER BY dt ROWS 59 PRECEDING)"
+_all = " + ".join(f"greatest(-50, least(50, v{k}))" for k in range(len(SEQ)))
+
+
+def seq_sums(bars: str) -> str:
+    """Sums of the sequences of a table that is made like ``seq_rows``, each value held within +/-50."""
+    return f"""
+SELECT sym, dt, i, CASE WHEN i >= 59 THEN lag(s - moved, 59) OVER w ELSE 0 END AS first_sum, CASE WHEN i >= 59 THEN s ELSE 0 END AS last_sum,
+  CASE WHEN i >= 59 THEN sum(s) OVER (w ROWS 59 PRECEDING) - lag(moved, 59) OVER w ELSE 0 END AS all_sum
+FROM (SELECT *, {_all} AS s, greatest(-50, least(50, v46)) + greatest(-50, least(50, v47)) AS moved FROM {bars})
+WINDOW w AS (PARTITION BY sym ORDER BY dt)"""
+
+
+F["seq_sums"] = seq_sums("seq_rows")
+for _f in ("i0", "i1", "cvd", "i2", "i3", "i4", "ind", "seq_raw", "seq_rows"):
+    # the same chain over the wilder bars
+    F[f"w_{_f}"] = re.sub(r"\b(i0|i1|i2|i3|i4|ind|seq_raw|cvd)\b(?=\s+(JOIN|ON|a\b|b\b|WINDOW)|\.|\s*$)", r"w_\1", F[_f]).replace("FROM bars", "FROM bars_wild")
+
+
 def compose(statement: str) -> str:
     """WITH every fragment the statement needs, dependencies first."""
     done: list[str] = []

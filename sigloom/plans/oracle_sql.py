@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigloom.plans.oracle import F, L, q
+from sigloom.plans.oracle import F, L, q, seq_sums
 
 OHLCV = "sym:i dt:d open:f high:f low:f close:f volume:f"
 SQL: dict[str, str] = {}
@@ -70,25 +70,31 @@ F["chain"] = """
 SELECT l_suppkey AS sym, CAST(date_trunc('month', l_shipdate) AS DATE) AS expiry, l_linestatus = 'O' AS is_call,
   l_quantity AS volume, l_discount AS iv FROM lineitem
 QUALIFY CAST(date_trunc('month', l_shipdate) AS DATE) = min(CAST(date_trunc('month', l_shipdate) AS DATE)) OVER (PARTITION BY l_suppkey)"""
-SQL["alt_pcr"] = q("""SELECT sym, coalesce(sum(volume) FILTER (NOT is_call), 0) / sum(volume) FILTER (is_call) AS r FROM chain
-  GROUP BY sym""", "sym:i coalesce(r,1)=pcr:f")
-SQL["alt_skew"] = q("""SELECT sym, coalesce(median(iv) FILTER (NOT is_call) - median(iv) FILTER (is_call), 0) AS v FROM chain
-  GROUP BY sym""", "sym:i v=iv_skew:f")
+F["a_pcr"] = """
+SELECT sym, coalesce(coalesce(sum(volume) FILTER (NOT is_call), 0) / sum(volume) FILTER (is_call), 1) AS pcr FROM chain GROUP BY sym"""
+SQL["alt_pcr"] = q("a_pcr", "sym:i pcr:f")
+F["a_skew"] = """
+SELECT sym, coalesce(median(iv) FILTER (NOT is_call) - median(iv) FILTER (is_call), 0) AS iv_skew FROM chain
+  GROUP BY sym"""
+SQL["alt_skew"] = q("a_skew", "sym:i iv_skew:f")
 F["interest"] = """
 SELECT l_suppkey AS sym, date_trunc('month', l_shipdate) AS month,
   sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS short, sum(l_quantity) AS total
 FROM lineitem GROUP BY 1, 2"""
-SQL["alt_short"] = q("""SELECT sym, CASE WHEN short <> 0 AND prev > 0 THEN (short - prev) / prev ELSE 0 END AS chg, short / total AS flt
+F["a_short"] = """
+SELECT sym, CASE WHEN short <> 0 AND prev > 0 THEN (short - prev) / prev ELSE 0 END AS short_change, short / total AS short_float
   FROM (SELECT *, lag(short) OVER w AS prev, row_number() OVER (PARTITION BY sym ORDER BY month DESC) AS rn FROM interest
-    WINDOW w AS (PARTITION BY sym ORDER BY month)) WHERE rn = 1""", "sym:i chg=short_change:f flt=short_float:f")
+    WINDOW w AS (PARTITION BY sym ORDER BY month)) WHERE rn = 1"""
+SQL["alt_short"] = q("a_short", "sym:i short_change:f short_float:f")
 F["tx"] = """
 SELECT c_nationkey AS sym, o_orderkey AS id, CAST(o_orderdate AS DATE) AS dt, o_orderpriority AS prio,
   o_totalprice * CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN -1 ELSE 0 END AS shares
 FROM orders JOIN customer ON o_custkey = c_custkey"""
-SQL["alt_insider"] = q("""SELECT sym, coalesce((b - s) / nullif(b + s, 0), 0) AS v FROM (
+F["a_insider"] = """
+SELECT sym, coalesce((b - s) / nullif(b + s, 0), 0) AS insider FROM (
   SELECT sym, sum(greatest(shares, 0)) AS b, sum(greatest(-shares, 0)) AS s FROM (
-    SELECT * FROM tx QUALIFY row_number() OVER (PARTITION BY sym ORDER BY dt DESC, id DESC) <= 20) GROUP BY sym)""",
-                       "sym:i v=insider:f")
+    SELECT * FROM tx QUALIFY row_number() OVER (PARTITION BY sym ORDER BY dt DESC, id DESC) <= 20) GROUP BY sym)"""
+SQL["alt_insider"] = q("a_insider", "sym:i insider:f")
 F["acts"] = """
 SELECT *, CASE substr(prio, 1, 1) WHEN '1' THEN 1e0 WHEN '2' THEN 0.5e0 WHEN '5' THEN -1e0 ELSE 0e0 END AS sc,
   min(dt) OVER (PARTITION BY sym) AS d0 FROM tx WHERE dt >= (SELECT max(dt) - 365 FROM tx)"""
@@ -97,15 +103,18 @@ SELECT g.sym, g.b, g.b = g.last AS newest, coalesce(s.v, 0) AS v FROM (
   SELECT sym, unnest(range(0, last + 1)) AS b, last FROM (
     SELECT sym, max((dt - d0) // 30) AS last FROM acts GROUP BY sym)) g
 LEFT JOIN (SELECT sym, (dt - d0) // 30 AS b, sum(sc) AS v FROM acts GROUP BY 1, 2) s ON g.sym = s.sym AND g.b = s.b"""
-SQL["alt_analyst"] = q("""SELECT sym, CASE WHEN count(*) >= 3 THEN (max(v) FILTER (newest) - avg(v) FILTER (NOT newest))
-  / (stddev_samp(v) FILTER (NOT newest) + 1e-5) ELSE sum(v) * 0.1e0 END AS z FROM buckets GROUP BY sym""",
-                       "sym:i z=analyst:f")
+F["a_analyst"] = """
+SELECT sym, CASE WHEN count(*) >= 3 THEN (max(v) FILTER (newest) - avg(v) FILTER (NOT newest))
+  / (stddev_samp(v) FILTER (NOT newest) + 1e-5) ELSE sum(v) * 0.1e0 END AS analyst FROM buckets GROUP BY sym"""
+SQL["alt_analyst"] = q("a_analyst", "sym:i analyst:f")
 F["talk"] = """
 SELECT CAST(ts AS DATE) AS day, user_id AS ticker, count(*) AS n, dense_rank() OVER (ORDER BY CAST(ts AS DATE) DESC) AS k
 FROM events WHERE event_type = 'view' GROUP BY 1, 2"""
-SQL["alt_mentions"] = q("""SELECT ticker, CASE WHEN (SELECT max(k) FROM talk) >= 3 THEN
-    coalesce(sum(n) FILTER (k = 1), 0) - 2 * coalesce(sum(n) FILTER (k = 2), 0) + coalesce(sum(n) FILTER (k = 3), 0) ELSE 0 END AS a
-  FROM talk GROUP BY ticker HAVING min(k) = 1""", "ticker:i a=mention_accel:f")
+F["a_talk"] = """
+SELECT ticker, CASE WHEN (SELECT max(k) FROM talk) >= 3 THEN
+    coalesce(sum(n) FILTER (k = 1), 0) - 2 * coalesce(sum(n) FILTER (k = 2), 0) + coalesce(sum(n) FILTER (k = 3), 0) ELSE 0 END AS mention_accel
+  FROM talk GROUP BY ticker HAVING min(k) = 1"""
+SQL["alt_mentions"] = q("a_talk", "ticker:i mention_accel:f")
 SQL["mention_history"] = q("talk", "day:d ticker:i n=comments:i", "WHERE k <= 5")
 F["soon"] = """
 SELECT sym, dt, EXISTS (SELECT 1 FROM lineitem e WHERE e.l_suppkey = b.sym AND e.l_linenumber = 1 AND e.l_returnflag = 'R'
@@ -113,17 +122,30 @@ SELECT sym, dt, EXISTS (SELECT 1 FROM lineitem e WHERE e.l_suppkey = b.sym AND e
 SQL["alt_earnings"] = q("soon", "sym:i dt:d soon=earnings_soon:b")
 
 # --- factors, triggers, score ---------------------------------------------------------------
+F["alt"] = """
+SELECT b.sym, b.dt, coalesce(p.pcr, 1) AS pcr, coalesce(k.iv_skew, 0) AS iv_skew, coalesce(h.short_change, 0) AS short_change,
+  coalesce(h.short_float, 0) AS short_float, coalesce(n.insider, 0) AS insider, coalesce(a.analyst, 0) AS analyst,
+  coalesce(t.mention_accel, 0) AS mention_accel
+FROM (SELECT sym, max(dt) AS dt FROM bars GROUP BY sym) b LEFT JOIN a_pcr p ON b.sym = p.sym LEFT JOIN a_skew k ON b.sym = k.sym
+LEFT JOIN a_short h ON b.sym = h.sym LEFT JOIN a_insider n ON b.sym = n.sym LEFT JOIN a_analyst a ON b.sym = a.sym
+LEFT JOIN a_talk t ON b.sym = t.ticker"""
 F["panel"] = f"""
-SELECT n.*, x.* EXCLUDE (sym, dt, i), p.* EXCLUDE (sym, dt), g.* EXCLUDE (sym, dt), c.regime, c.risk,
+SELECT n.*, x.* EXCLUDE (sym, dt, i), p.* EXCLUDE (sym, dt), g.* EXCLUDE (sym, dt), s.* EXCLUDE (sym, dt), c.regime, c.risk,
+  c.exposure, c.health, h.bounce, v.vec,
+  coalesce(a.pcr, 1) AS pcr, coalesce(a.iv_skew, 0) AS iv_skew, coalesce(a.short_change, 0) AS short_change,
+  coalesce(a.short_float, 0) AS short_float, coalesce(a.insider, 0) AS insider, coalesce(a.analyst, 0) AS analyst,
+  coalesce(a.mention_accel, 0) AS mention_accel,
   {L('n.MACD').replace('BY sym', 'BY n.sym').replace('BY dt', 'BY n.dt')} AS p_macd,
   {L('n.Signal_Line').replace('BY sym', 'BY n.sym').replace('BY dt', 'BY n.dt')} AS p_sig,
   {L('n.NR7').replace('BY sym', 'BY n.sym').replace('BY dt', 'BY n.dt')} AS p_nr7,
   {L('n.Inside_Bar').replace('BY sym', 'BY n.sym').replace('BY dt', 'BY n.dt')} AS p_in,
   {L('n.CVD_Trend').replace('BY sym', 'BY n.sym').replace('BY dt', 'BY n.dt')} AS p_cvd,
   {L('n.VPT_ZScore').replace('BY sym', 'BY n.sym').replace('BY dt', 'BY n.dt')} AS p_z
-FROM ind n JOIN cross_feats x ON n.sym = x.sym AND n.dt = x.dt JOIN period_feats p ON n.sym = p.sym AND n.dt = p.dt
-JOIN gap_feats g ON n.sym = g.sym AND n.dt = g.dt JOIN ctx c ON n.dt = c.dt"""
-F["pan"] = "SELECT *, coalesce(p_macd < p_sig AND MACD > Signal_Line, false) AS crossed FROM panel"
+FROM ind n JOIN cross_feats x ON n.sym = x.sym AND n.dt = x.dt JOIN period_live p ON n.sym = p.sym AND n.dt = p.dt
+JOIN gap_feats g ON n.sym = g.sym AND n.dt = g.dt JOIN stat_feats s ON n.sym = s.sym AND n.dt = s.dt
+JOIN hour_feats h ON n.sym = h.sym AND n.dt = h.dt JOIN vecs v ON n.sym = v.sym AND n.dt = v.dt
+LEFT JOIN alt a ON n.sym = a.sym AND n.dt = a.dt JOIN ctx c ON n.dt = c.dt"""
+F["pan"] = "SELECT *, coalesce(p_macd < p_sig AND MACD > Signal_Line, false) AS crossed FROM panel WHERE i >= 59"
 
 
 def sd(n: str, d: str, cap: int = 20) -> str:
@@ -151,8 +173,11 @@ FACTORS = {
     "cross_x_volume": sd("MACD - Signal_Line", "abs(close) * 0.01e0") + " * " + sd("volume", "Vol_MA20", 50),
     "cmf_x_smart": "CMF * Smart_Money_Flow", "surge_price_3d": "Recent_Price_Surge_3d",
     "surge_vol_3d": "Recent_Vol_Surge_3d", "weekly_x_daily_macd": "CAST(weekly_macd_res AND crossed AS INT)",
-    "rsi_60m": "0", "dist_52w": "Dist_52W_High", "monthly_flow": "CAST(monthly_inst_flow AS INT)", "pcr": "1",
-    "iv_skew": "0", "short_change": "0", "insider": "0", "analyst": "0", "news_sentiment": "0", "mention_accel": "0",
+    "rsi_60m": "CAST(bounce AS INT)", "dist_52w": "Dist_52W_High", "monthly_flow": "CAST(monthly_inst_flow AS INT)", "pcr": "pcr",
+    "iv_skew": "iv_skew", "short_change": "CASE WHEN short_float > 0.05e0 THEN short_change ELSE 0 END", "insider": "insider",
+    "analyst": "analyst", "news_sentiment": "0", "mention_accel": "mention_accel", "kde": "kde_score", "fft": "fft_score",
+    "hurst": "CASE WHEN hurst_sure AND hurst_med > 0.65e0 THEN greatest(0, least(1, (hurst_med - 0.5e0) * 2)) ELSE 0 END",
+    **{f"alpha_t{k:02d}": f"vec[{k}]" for k in range(1, 17)},
 }
 _list = ", ".join(f"{{'f': '{k}', 'v': CAST(coalesce({v}, 0) AS DOUBLE)}}" for k, v in FACTORS.items())
 SQL["factors_long"] = q(f"SELECT sym, dt, u.f AS factor, u.v AS value FROM (SELECT sym, dt, unnest([{_list}]) AS u FROM pan)",
@@ -170,8 +195,7 @@ ATRP, GAP, SPAN = "(ATR / (pc + 1e-10))", "((open - pc) / (pc + 1e-10))", "(high
 STALL = "(volume > Vol_MA20 * 2 AND abs(close - open) < ATR * 0.5e0)"
 ABSORB = ("(12 * (least(1, greatest(0, (CMF - 0.05e0) / 0.2e0)) * 0.6e0 + "
           "least(1, greatest(0, (Smart_Money_Flow - 0.1e0) / 0.4e0)) * 0.4e0))")
-# tag, condition, points, theme, sub-theme ('' for none); rules whose inputs are constant here
-# (options, insiders, analysts, news, mentions, hourly) never fire and are left out.
+# tag, condition, points, theme, sub-theme ('' for none), in firing order; news is constant, as there is no source of it
 TRIGGERS = [
     ("minervini", "close > SMA_50 AND SMA_50 > SMA_150 AND SMA_150 > SMA_200",
      "8 + trunc((SMA_50 - SMA_200) / (SMA_200 + 1e-10) * 20)", "TREND", ""),
@@ -187,6 +211,11 @@ TRIGGERS = [
     ("liquidity_sweep", "low < Swing_Low_20 AND close > Swing_Low_20", "15", "REVERSAL", "BOTTOM_REVERSAL"),
     ("choch", "low > Swing_Low_20 AND close > swing_high_10", "15", "REVERSAL", "BOTTOM_REVERSAL"),
     ("order_block", "low <= OB_High AND close >= OB_Low AND close > open", "15", "REVERSAL", "BOTTOM_REVERSAL"),
+    ("kde", "kde_score > 0.5e0", "15 * kde_score", "QUANTUM", ""),
+    ("hurst", "hurst_sure AND hurst_med > 0.65e0", "15 * (hurst_med - 0.5e0) * 2", "QUANTUM", ""),
+    ("insider", "insider > 0.5e0", "20", "QUANTUM", ""),
+    ("analyst", "analyst > 1.5e0", "8", "QUANTUM", ""),
+    ("analyst", "analyst < -1.5e0", "-10", "TREND", ""),
     ("pure_alpha", "pure_alpha > 0.8e0", "22", "TREND", ""),
     ("pullback", "SuperTrend_Up AND close < EMA_20 + ATR * 0.5e0", "10", "REVERSAL", "BOTTOM_REVERSAL"),
     ("gap", f"{GAP} > {ATRP} * 0.5e0 AND {GAP} < {ATRP} * 2", "8", "VOLATILITY", ""),
@@ -202,14 +231,22 @@ TRIGGERS = [
     ("vpt", "VPT_ZScore > 0.5e0 AND VPT_Accel > 0 AND p_z <= 0.5e0", "10", "TREND", "MOMENTUM_BURST"),
     ("cross_x_volume", "crossed", "12", "TREND", "MOMENTUM_BURST"),
     ("cmf_x_smart", f"CMF > 0.05e0 AND Smart_Money_Flow > 0.1e0 AND {ABSORB} > 3", ABSORB, "QUANTUM", "PRICE_ACTION_BURST"),
+    ("fft", "fft_score >= 0.71e0", "15", "QUANTUM", ""),
     ("weekly_x_daily_macd", "weekly_macd_res AND crossed", "15", "TREND", ""),
     ("monthly_flow", "monthly_inst_flow", "10", "QUANTUM", ""),
+    ("rsi_60m", "bounce", "8", "REVERSAL", "BOTTOM_REVERSAL"),
     ("beta", "beta_60d > 1.2e0", "CASE WHEN risk THEN -10 ELSE 7 END", "TREND", ""),
     ("tlt_corr", "abs(tlt_corr) > 0.4e0", "CASE WHEN tlt_corr > 0 THEN 8 ELSE 6 END", "TREND", ""),
     ("dxy_corr", "abs(dxy_corr) > 0.4e0", "CASE WHEN dxy_corr < 0 THEN 8 ELSE 6 END", "QUANTUM", ""),
     ("dist_52w", "coalesce(Dist_52W_High, 0) > -0.05e0 AND weekly_bullish", "10", "TREND", ""),
     ("amihud", "Amihud > 0.5e0 AND risk", "-10", "VOLATILITY", ""),
     ("vrp", "vrp > 0.25e0", "12", "QUANTUM", ""),
+    ("mention_accel", "mention_accel > 20", "8", "VOLATILITY", ""),
+    ("pcr", "pcr > 1.5e0", "15", "SHORT", ""),
+    ("pcr", "pcr > 0 AND pcr < 0.5e0", "10", "QUANTUM", ""),
+    ("iv_skew", "iv_skew > 0.08e0", "20", "SHORT", ""),
+    ("iv_skew", "iv_skew < -0.05e0", "12", "QUANTUM", ""),
+    ("short_change", "short_change > 0.1e0 AND short_float > 0.05e0 AND close > EMA_20", "15", "QUANTUM", ""),
     ("credit_risk", "risk", "15", "SHORT", ""),
 ]
 _trig = ", ".join(
@@ -224,20 +261,37 @@ SELECT sym, dt, theme, sum(v) AS v FROM (
   SELECT sym, dt, theme, sub, CASE WHEN sub IS NULL THEN sum(pts) ELSE max(pts) + 0.3e0 * (sum(pts) - max(pts)) END AS v
   FROM fired GROUP BY sym, dt, theme, sub) GROUP BY sym, dt, theme"""
 F["themes"] = """
-SELECT p.sym, p.dt, any_value(p.RSI) AS rsi, any_value(p.risk) AS risk,
+SELECT p.sym, p.dt, any_value(p.RSI) AS rsi, any_value(coalesce(p.risk, false) OR p.pcr > 1.5e0 OR p.iv_skew > 0.08e0) AS veto,
   coalesce(max(v) FILTER (theme = 'TREND'), 0) AS t, coalesce(max(v) FILTER (theme = 'VOLATILITY'), 0) AS vo,
   coalesce(max(v) FILTER (theme = 'REVERSAL'), 0) AS re, coalesce(max(v) FILTER (theme = 'QUANTUM'), 0) AS qu,
   coalesce(max(v) FILTER (theme = 'SHORT'), 0) AS sh
-FROM panel p LEFT JOIN theme_pts t ON p.sym = t.sym AND p.dt = t.dt GROUP BY p.sym, p.dt"""
+FROM pan p LEFT JOIN theme_pts t ON p.sym = t.sym AND p.dt = t.dt GROUP BY p.sym, p.dt"""
 _sat = " + ".join(f"CASE WHEN {c} > 0 THEN 50 * (1 - exp(-({c}) / 25e0)) ELSE 0 END" for c in (
     "CASE WHEN t > 40 THEN 40 + ln(1 + t - 40) * 10 ELSE t END", "vo", "re", "qu"))
 F["scores"] = f"""
-SELECT *, CAST(trunc(100 * (1 - exp(-({_sat}) / 50e0)) * CASE WHEN risk THEN 0.1e0 ELSE 1 END) AS BIGINT) AS base FROM themes"""
+SELECT *, CAST(trunc(100 * (1 - exp(-({_sat}) / 50e0)) * CASE WHEN veto THEN 0.1e0 ELSE 1 END) AS BIGINT) AS base FROM themes"""
 SQL["score_core"] = q("""SELECT s.*, CASE WHEN rsi > 85 THEN greatest(base - 30, 0) ELSE base END AS score,
     coalesce(n, 0) AS n, coalesce(tags, '') AS tags
   FROM scores s LEFT JOIN (SELECT sym, dt, count(*) AS n, string_agg(tag, ',' ORDER BY o) AS tags FROM fired GROUP BY 1, 2) f
   ON s.sym = f.sym AND s.dt = f.dt""",
-                      "sym:i dt:d t=s_trend:f vo=s_volatility:f re=s_reversal:f qu=s_quantum:f sh=s_short:f risk=veto:b score:i n=n_factors:i tags:s")
+                      "sym:i dt:d t=s_trend:f vo=s_volatility:f re=s_reversal:f qu=s_quantum:f sh=s_short:f veto:b score:i n=n_factors:i tags:s")
+
+F["scored"] = f"""
+SELECT s.sym, s.dt, s.veto, CASE WHEN s.rsi > 85 THEN greatest(base - 30, 0) ELSE base END AS score, p.close, p.ATR, p.Chandelier_Exit,
+  p.SMA_200, p.exposure, p.health, p.vec, coalesce(f.n, 0) + CAST(coalesce(p.RSI > 85, false) AS INT)
+    + CAST(coalesce({STALL} AND NOT coalesce(close < Swing_Low_20 * 1.05e0, false) AND close > swing_high_10 * 0.95e0, false) AS INT)
+    + CAST(coalesce(CVD_Trend = 1 AND p_cvd <= 0 AND CVD_Divergence <> 0, false) AS INT) AS n_signals
+FROM scores s JOIN pan p ON s.sym = p.sym AND s.dt = p.dt
+LEFT JOIN (SELECT sym, dt, count(*) AS n FROM fired GROUP BY sym, dt) f ON s.sym = f.sym AND s.dt = f.dt"""
+SQL["score_panel"] = q("scored", "sym:i dt:d close:f score:i veto:b n_signals:i")
+SQL["asof_hourly"] = q("hour_feats", "sym:i dt:d rsi_60m:f bounce=rsi_60m_bounce:b")
+SQL["feat_periods_live"] = q("period_live", "sym:i dt:d weekly_bullish:b weekly_macd_res:b monthly_inst_flow:b")
+_v = [("kde", FACTORS["kde"]), ("fft", FACTORS["fft"]), ("hurst", FACTORS["hurst"]), ("rsi_60m", FACTORS["rsi_60m"]), ("pcr", "pcr"),
+      ("insider", "insider"), ("alpha_t01", "vec[1]"), ("alpha_t16", "vec[16]")]
+SQL["factor_vector"] = q(f"SELECT sym, dt, 64 AS n, {', '.join(f'{e} AS f_{k}' for k, e in _v)} FROM pan",
+                         "sym:i dt:d n:i " + " ".join(f"f_{k}={k}:f" for k, _ in _v))
+SQL["seq_tensor"] = q("seq_sums", "sym:i dt:d 60=n:i first_sum:f last_sum:f all_sum:f")
+SQL["seq_scores"] = q("SELECT *, 0.5e0 + 0.4e0 * tanh(sqrt(list_inner_product(vec, vec)) / 4) AS p FROM vecs", "sym:i dt:d p=prob:f")
 
 # --- the daily cross-section ----------------------------------------------------------------
 F["sectors"] = """
@@ -273,6 +327,19 @@ SQL["size_orders"] = q("""SELECT 'Q_' || substr(md5(sym || '|' || CAST(dt AS VAR
     100000e0 * exposure * w / close AS qty, close * 1.002e0 AS lim, close, 'PENDING_SUBMIT' AS status FROM picks""",
                        "oid=client_oid:s sym=symbol:i dt:d qty:f round(lim,2)=limit_price:f close=arrival_price:f status:s")
 
+# the same cross-section on the score and the model's probability
+F["real_view0"] = """
+SELECT i.sym, i.dt, i.close, coalesce(i.ATR, i.close * 0.02e0) AS a, i.Chandelier_Exit AS ch, i.SMA_200 AS s200, i.score AS raw, e.soon,
+  coalesce(s.sector, 'SP500_WILD') AS sector, i.exposure, i.health, i.n_signals,
+  0.5e0 + 0.4e0 * tanh(sqrt(list_inner_product(vec, vec)) / 4) AS p0
+FROM scored i JOIN soon e ON i.sym = e.sym AND i.dt = e.dt LEFT JOIN sectors s ON i.sym = s.sym"""
+F["real_view"] = F["view"].replace("view0", "real_view0").replace("0.45e0 + raw / 100e0 * 0.2e0", "p0")
+F["real_cuts"] = F["cuts"].replace("FROM view", "FROM real_view")
+F["real_crowded"] = F["crowded"].replace("FROM view v JOIN cuts c", "FROM real_view v JOIN real_cuts c").replace(
+    "SELECT sym, dt, sector, prob,", "SELECT sym, dt, sector, raw, tp, sl, n_signals + CAST(soon AND raw > 0 AS INT) AS n_signals, prob,")
+F["real_picks"] = F["picks"].replace("FROM crowded", "FROM real_crowded")
+SQL["daily_scan"] = q("real_picks", "dt:d rank:i sym:i raw=raw_score:i score:i prob=adj_prob:f tp:f sl:f sector:s w=opt_weight:f n_signals:i")
+
 # --- backtest -------------------------------------------------------------------------------
 _tags = ", ".join(f"CASE WHEN (sym * 31 + idx * 17 + {k * k * 7}) % {k + 2} = 0 THEN '{t}' END" for k, t in enumerate(
     ("fft", "hurst", "vpt", "cvd", "kde", "amihud", "vrp", "macd_cross"), 1))
@@ -328,6 +395,12 @@ SQL["bt_attribution"] = q("""SELECT *, CASE WHEN prem < 0 THEN 'negative premium
                           "factor:s prem=premium_bps:f c=corr_with_baseline:f rate=trigger_rate:f diagnosis:s")
 SQL["bt_headline"] = q("stats", "win_rate:f profit_factor:f ai_win_rate:f", "WHERE horizon = 3")
 
+F["w_sums"] = seq_sums("w_seq_rows")
+F["smp_all"] = """
+SELECT t.sig_id, t.sym, t.dt, s.all_sum, t.ret, count(*) OVER () AS n
+FROM trades t JOIN w_sums s ON t.sym = s.sym AND t.dt = s.dt WHERE t.horizon = 3 AND s.i >= 59"""
+SQL["train_samples"] = q("smp_all", "sig_id:i sym:i dt:d all_sum=total:f ret=label:f", "WHERE n >= 64")
+
 # --- factor evaluation ----------------------------------------------------------------------
 F["cal"] = "SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS idx FROM (SELECT DISTINCT dt FROM bars)"
 F["priced"] = "SELECT b.*, c.idx FROM bars b JOIN cal c ON b.dt = c.dt"

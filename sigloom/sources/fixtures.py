@@ -97,6 +97,15 @@ def hourly_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("seq"), F.col("value").alias("px"), F.lit(1.0).alias("q"))
 
 
+def panel_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``hourly_ticks`` moved by whole days, so that the newest of them stand on the newest date of the daily bars."""
+    t = hourly_ticks(spark, sf_dir)
+    last = table(spark, sf_dir, "lineitem").agg(F.max(F.to_date("l_shipdate")).alias("_bar"))
+    move = t.agg(F.max(F.to_date("ts")).alias("_tick")).crossJoin(F.broadcast(last)).select(F.datediff("_bar", "_tick").alias("_days"))
+    return t.crossJoin(F.broadcast(move)).withColumn(  # one row
+        "ts", F.col("ts") + F.make_dt_interval(F.col("_days"))).drop("_days")
+
+
 def sector_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     return s.join(n.where("n_nationkey <> 0"), s.s_nationkey == n.n_nationkey).select(
