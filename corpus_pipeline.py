@@ -25,7 +25,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Private values are replaced by their pseudonyms."""
-    return pii.masked(docs, count=False)
+    return pii.masked(docs, pii.session_key(spark), count=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

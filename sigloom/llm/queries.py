@@ -30,7 +30,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.masked(documents(spark, sf_dir).select("doc_id", "text"))
+    return pii.masked(documents(spark, sf_dir).select("doc_id", "text"), pii.session_key(spark))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
