@@ -47,6 +47,19 @@ _BLANKS = re.compile(r"\s ")
 _SAFE = re.compile(r"(?<=\S) (?! )")
 
 
+class _Numbers(dict):
+    """Numbers keys as they come, with one look-up each; ``new`` lists those that have come since it was emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 class PieceEncoder:
     """Ids of whole texts through a cache of pieces; a key is a piece after a space, or a 1-tuple for a text's first."""
 
@@ -61,7 +74,7 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict = {}
+        self.code = _Numbers()
         self.chars = 0
         self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
@@ -79,7 +92,8 @@ class PieceEncoder:
         ids = [e.ids for e in got]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))
-        n, m = len(self.code), len(new)
+        m = len(new)
+        n = len(self.code) - m
         if n + m > len(self.start):
             self.start, self.count = (np.resize(x, 2 * (n + m)) for x in (self.start, self.count))
         if self.used + len(flat) > len(self.pool):
@@ -88,7 +102,6 @@ class PieceEncoder:
         self.count[n:n + m] = count
         self.start[n:n + m] = self.used + np.cumsum(count) - count
         self.used += len(flat)
-        self.code.update(zip(new, range(n, n + m)))
         self.chars += sum(map(len, new))
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,10 +111,10 @@ class PieceEncoder:
         split = [self.pieces(t) for t in texts]
         n_pieces = np.fromiter(map(len, split), np.int64, len(split))
         flat = list(chain.from_iterable(split))
-        new = list(dict.fromkeys(p for p in flat if p not in self.code))
-        if new:
-            self._learn(new)
         code = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
+        if self.code.new:
+            self._learn(self.code.new)
+            self.code.new = []
         count = self.count[code]
         before = np.cumsum(count) - count
         total = int(count.sum())
