@@ -146,7 +146,11 @@ class CrossParser:
 
 
 def fit_languages(docs: DataFrame, docs_per_lang: int = 64, chars_per_lang: int = 12_000, holdout: int = 5) -> CrossParser:
-    """Learn from text and lang of documents whose crc32 of the id is no multiple of ``holdout``."""
+    """Learn from text and lang of documents whose crc32 of the id is no multiple of ``holdout``.
+
+    A language is learnt from ``chars_per_lang`` symbols at most, of ``docs_per_lang`` of its texts: the bounds of the
+    sample. Its texts give as evenly as they can; where there are few of them, each gives more.
+    """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()
                        & (F.crc32(F.col("doc_id").cast("string")) % holdout != 0))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id", F.xxhash64("text"))
@@ -154,14 +158,26 @@ def fit_languages(docs: DataFrame, docs_per_lang: int = 64, chars_per_lang: int
     # docs_per_lang texts of each language, cut to what can be used of them
     rows = rank.where(F.col("k") <= docs_per_lang).select(
         "lang", "k", F.substring("text", 1, 4 * chars_per_lang).alias("text")).collect()
-    samples: dict[str, list[np.ndarray]] = {}
+    texts: dict[str, list[np.ndarray]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["k"])):
         code, _ = folded([r["text"]])
-        room = chars_per_lang - sum(map(len, samples.get(r["lang"], [])))
-        each = max(1, 2 * chars_per_lang // docs_per_lang)
-        if len(code) and room > 0:
-            samples.setdefault(r["lang"], []).append(np.append(code[:min(each, room)], np.uint32(32)))
-    return CrossParser({k: np.concatenate(v) for k, v in samples.items()})
+        if len(code):
+            texts.setdefault(r["lang"], []).append(code)
+    samples = {}
+    for lang, codes in texts.items():
+        share = _even_share([len(c) for c in codes], chars_per_lang)
+        samples[lang] = np.concatenate([np.append(c[:share], np.uint32(32)) for c in codes])
+    return CrossParser(samples)
+
+
+def _even_share(sizes: list[int], total: int) -> int:
+    """The most that each may give so that together they give ``total`` at most: few texts give more each."""
+    left, rest = total, sorted(sizes)
+    for k, n in enumerate(rest):
+        if n * (len(rest) - k) > left:
+            return max(1, left // (len(rest) - k))
+        left -= n
+    return rest[-1]
 
 
 def identified(docs: DataFrame, parser: CrossParser, holdout: int = 5) -> DataFrame:
