@@ -127,8 +127,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_fit: int = 1500, rounds:
         F.min("quality").alias("quality"))
     # at most max_fit rows
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(max_fit)
-    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(
-        _feature_rows, "quality int, at binary, share binary").limit(2 * max_fit).collect()
+    # one text of each doc_id
+    texts = small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(
+        F.min("text").alias("text"))
+    rows = texts.mapInArrow(_feature_rows, "quality int, at binary, share binary").collect()
     rows.sort(key=lambda r: (r["at"], r["quality"]))  # row order does not reach the fit
     y = np.array([float(r["quality"] > 0) for r in rows])
     if len(set(y)) < 2:
