@@ -52,6 +52,11 @@ def select_factors(summary: DataFrame, p: Params = Params(), at_least: int = 5)
                    | ((F.col("_n") < at_least) & (F.col("rank") <= at_least))).drop("_n")
 
 
+def weights(importances: DataFrame, n_factors: int) -> dict[str, float]:
+    """``weight_map`` as the ``weights`` of ``Params`` (64 entries at most), for the score and the scenarios."""
+    return {r["factor"]: r["weight"] for r in weight_map(importances, n_factors).collect()}
+
+
 def top_factors(summary: DataFrame, n: int = 10) -> DataFrame:
     return summary.orderBy(F.desc(F.abs("t_stat")), "factor").limit(n)
 
@@ -71,5 +76,4 @@ def with_forward_return(factors: DataFrame, returns: DataFrame, horizon: int = 3
     return factors.join(r, ["sym", "dt"])
 
 
-__all__ = ["ic_summary", "rank_ic", "select_factors", "top_factors",
-           "weight_map", "with_forward_return"]
+__all__ = ["ic_summary", "rank_ic", "select_factors", "top_factors", "weight_map", "weights", "with_forward_return"]

@@ -119,6 +119,12 @@ def factors_long(panel: DataFrame, names: tuple[str, ...] = ALL_FACTORS, p: Para
     return wide.unpivot(["sym", "dt", *carry], list(names), "factor", "value")
 
 
+def map_to_columns(rows: DataFrame, column: str = "ml_features", names: tuple[str, ...] = ALL_FACTORS) -> DataFrame:
+    """A stored factor map as one column a name; an absent or unknown value is 0."""
+    rest = [c for c in rows.columns if c != column and c not in names]
+    return rows.select(*rest, *[F.coalesce(F.try_element_at(column, F.lit(n)), F.lit(0.0)).alias(n) for n in names])
+
+
 def list_to_map(values: Column) -> Column:
     """A positional factor list (padded with 0) as the usual map."""
     padded = F.transform(

@@ -126,15 +126,38 @@ def fit_stack(trades: DataFrame, active: list[str], rounds: int = 60, splits: in
         imp = models[g].stages[-1].featureImportances.toArray()
         for f, v in zip(cols[g], imp / (imp.sum() + 1e-10)):
             share[f] = share.get(f, 0.0) + float(v) * weights[g]
-    listed = [(f, share[f]) for f in ALL_FACTORS if share.get(f, 0.0) > 0]
+    listed = sorted(((f, share[f]) for f in ALL_FACTORS if share.get(f, 0.0) > 0), key=lambda x: (-x[1], x[0]))
     imps = trades.sparkSession.createDataFrame(listed, "factor string, importance double")
     return Stack(oof, imps, weights, models)
 
 
 def save_models(stack: Stack, path: str) -> None:
+    """The pipelines of a stack. Each base pipeline holds its list of features in its assembler."""
     for name, m in stack.models.items():
         m.write().overwrite().save(f"{path}/{name}")
 
 
 def load_models(path: str, names: tuple[str, ...] = ("p_a", "p_b", "meta")) -> dict[str, PipelineModel]:
     return {n: PipelineModel.load(f"{path}/{n}") for n in names}
+
+
+def features_of(model: PipelineModel) -> list[str]:
+    """The input columns that a saved pipeline was fitted on, in vector order."""
+    return list(model.stages[0].getInputCols())
+
+
+def probability(models: dict[str, PipelineModel], rows: DataFrame) -> DataFrame:
+    """``rows`` (the factors of both groups, m_vix, m_cred, m_term, m_pcr) with ``ai_prob`` of the loaded stack."""
+    for g in ("p_a", "p_b"):
+        if g in models:
+            out = models[g].transform(rows).withColumn(g, vector_to_array("probability")[1])
+            rows = out.drop("raw", "x", "rawPrediction", "probability", "prediction")
+        else:
+            rows = rows.withColumn(g, F.lit(0.5))
+    out = models["meta"].transform(rows).withColumn("ai_prob", vector_to_array("probability")[1])
+    return out.drop("meta", "rawPrediction", "probability", "prediction")
+
+
+def enough_trades(trades: DataFrame, n: int = 30) -> bool:
+    """Whether there are the trades that a stack needs."""
+    return trades.limit(n).count() >= n

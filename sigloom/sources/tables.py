@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions.scalar import no_nan
+from sigloom.session import materialise
 
 BARS = ("sym string, freq string, dt timestamp, open double, high double, low double, close double, "
         "volume double")
@@ -92,8 +93,59 @@ def append_samples(samples: DataFrame, path: str, batch_date: str) -> None:
         "partitionOverwriteMode", "dynamic").partitionBy("batch_date").parquet(path)
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def upsert(rows: DataFrame, path: str, keys: list[str], order: list[str], buckets: int = 64) -> None:
+    """Merge ``rows`` into the table at ``path``: of each key the row that is largest by ``order`` stays.
+
+    The table is dealt into hash buckets of the keys, and only buckets that ``rows`` touch are read, merged and swapped
+    (a dynamic partition overwrite). Merging the same rows again changes nothing, so a retry is safe. Rows with a null
+    key are kept under that key. The bucket count is fixed when the table is made.
+    """
+    spark = rows.sparkSession
+    new = materialise(rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # ``buckets`` at most
+    if not touched:
+        return
+    if _exists(spark, path):
+        new = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched)).unionByName(new)
+    rest = [c for c in rows.columns if c not in keys]
+    newest = new.groupBy("bucket", *keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_v"))
+    merged = materialise(newest.select(*keys, *[F.col("_v")[c].alias(c) for c in rest], "bucket"))
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    """One row a key of a table that ``upsert`` keeps."""
+    return spark.read.parquet(path).drop("bucket")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def publish_report(tables: dict[str, DataFrame], path: str, version: int) -> None:
+    """Write several tables that belong together as one ``version``, and name it in the manifest last.
+
+    A reader sees the version that the newest manifest names, whole, whatever is being written beside it. Publishing a
+    version again replaces it.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    for name, t in tables.items():
+        t.write.mode("overwrite").parquet(f"{path}/data/{version}/{name}")
+    row = [(version, sorted(tables))]
+    spark.createDataFrame(row, "version long, tables array<string>").drop("version").coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/manifest/version={version}")
+
+
+def read_report(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of a published version, the newest by default."""
+    m = spark.read.parquet(f"{path}/manifest")
+    if version is not None:
+        m = m.where(F.col("version") == version)
+    last = m.orderBy(F.desc("version")).first()
+    if last is None:
+        raise LookupError(f"no version {version or ''} at {path}")
+    return {name: spark.read.parquet(f"{path}/data/{last['version']}/{name}") for name in last["tables"]}
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:
