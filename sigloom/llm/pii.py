@@ -37,7 +37,7 @@ SECRET = (r"(?i:\b(?:password|passwd|pwd|secret|token|api[_\-]?key)\b)\s{0,3}(?:
 # Country, check digits and up to 30 letters and digits, in one run or in fours.
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3}(?![A-Za-z0-9]))?)(?![A-Za-z0-9])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-IPV4 = rf"(?<![0-9.])(?<!(?i:version|release|build|ver|v)[ .]{{0,2}})(?:{OCTET}\.){{3}}{OCTET}(?!\.?[0-9])"
+IPV4 = rf"(?<![0-9.])(?=[0-9])(?<!(?i:version|release|build|ver|v)[ .]{{0,2}})(?:{OCTET}\.){{3}}{OCTET}(?!\.?[0-9])"
 ISO_DATE = r"(?<![0-9\-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9\-])"
 US_DATE = r"(?<![0-9/])[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}(?![0-9/])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
