@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,28 +40,30 @@ def noise_scenario(bars: DataFrame, gain: float = 1.5) -> DataFrame:
     return _rescaled(decompose(bars), F.col("trend") + F.col("seasonal") + F.col("residual") * gain)
 
 
+def phases(sym: str, n: int) -> np.ndarray:
+    """Turns in radians of the first ``n`` frequencies of a symbol: keyed hashes, so that any engine gets the same."""
+    return np.array([int(hashlib.md5(f"{sym}|{k}".encode()).hexdigest()[:8], 16) for k in range(n)]) * (2 * np.pi / (1 << 32))
+
+
 def phase_scenario(bars: DataFrame) -> DataFrame:
     """Random phases on the seasonal spectrum; first and (even length) last bin keep theirs.
 
-    A whole-series transform, so one pandas group per symbol: at most one row per calendar date.
-    The generator is seeded from the symbol, so a retry repeats the result.
+    A whole-series transform, so one Arrow group per symbol: at most one row per calendar date.
     """
     parts = decompose(bars).select("sym", "dt", *PRICES, "volume", "trend", "seasonal", "residual")
 
-    def shift(pdf: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-        import numpy as np
-        pdf = pdf.sort_values("dt")
-        seed = int(hashlib.md5(str(pdf["sym"].iloc[0]).encode()).hexdigest()[:8], 16)
-        spec = np.fft.rfft(pdf["seasonal"].to_numpy())
-        turn = np.random.default_rng(seed).uniform(0, 2 * np.pi, len(spec))
+    def shift(table: pa.Table) -> pa.Table:
+        table = table.sort_by("dt")
+        x = table.column("seasonal").to_numpy()
+        spec = np.fft.rfft(x)
+        turn = phases(str(table.column("sym")[0].as_py()), len(spec))
         turn[0] = 0.0
-        if len(pdf) % 2 == 0:
+        if len(x) % 2 == 0:
             turn[-1] = 0.0
-        pdf["seasonal"] = np.fft.irfft(spec * np.exp(1j * turn), n=len(pdf))
-        return pdf
+        moved = np.fft.irfft(spec * np.exp(1j * turn), n=len(x))
+        return table.set_column(table.schema.get_field_index("seasonal"), "seasonal", pa.array(moved))
 
-    moved = parts.groupBy("sym").applyInPandas(shift, parts.schema)
+    moved = parts.groupBy("sym").applyInArrow(shift, parts.schema)
     return _rescaled(moved, F.col("trend") + F.col("seasonal") + F.col("residual"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,8 +18,8 @@ from sigloom.operators import (
 from sigloom.operators.indicators import indicators
 from sigloom.params import ALL_FACTORS, ATTRIBUTION_FACTORS, BASE_FACTORS, BASELINE_FACTOR, Params
 from sigloom.plans.panel import feature_panel, series_features
-from sigloom.session import broadcast_if_small, materialise
-from sigloom.sources import fixtures as fx
+from sigloom.session import broadcast_if_small, ensure_checkpoint_dir, materialise
+from sigloom.sources import fixtures as fx, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -466,6 +467,27 @@ def bt_factor_stats(spark, d):
     return out(backtest.factor_stats(_returns(spark, d)), "factor:s win_rate:f avg_ret:f n:i profit_factor:f")
 
 
+@query
+def bt_from_log(spark, d):
+    """The backtest from a pick log: the signals as JSON lines, read back, tags from lists or from signal texts, returns, factors.
+
+    Picks of odd symbols carry their tags in texts only, the others in a list.
+    """
+    b = bar_table(spark, d, fx.WILD)
+    texts = F.transform("factors", lambda f: F.concat(F.lit("["), f, F.lit(" fired] held")))
+    odd = F.col("sym") % 2 == 1
+    none = F.array().cast("array<string>")
+    picks = signals(b).select("dt", F.col("sym").cast("string").alias("symbol"), F.lit(50).alias("score"), "ai_prob",
+                              F.when(odd, texts).otherwise(none).alias("signals"), F.when(odd, none).otherwise(F.col("factors")).alias("factors"))
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/picks-{uuid.uuid4().hex}"
+    tables.write_pick_log(picks, path)
+    flat = backtest.factor_tags(backtest.flatten_picks(tables.read_pick_logs(spark, path)))
+    asked = flat.select(F.concat_ws("|", "sym", "dt").alias("sig_id"), F.col("sym").cast("long").alias("sym"), "dt", "ai_prob", "factors")
+    r = materialise(backtest.trade_returns(asked, b, carry=("ai_prob", "factors")))
+    return out(backtest.factor_stats(r), "factor:s win_rate:f avg_ret:f n:i profit_factor:f")
+
+
 @query
 def bt_attribution(spark, d):
     return out(backtest.attribution(_returns(spark, d)),

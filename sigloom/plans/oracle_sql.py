@@ -384,6 +384,7 @@ SQL["bt_streak"] = q("""SELECT horizon, max(c) AS c FROM (SELECT horizon, island
 SQL["bt_factor_stats"] = q(f"""SELECT factor, avg(CAST(ret > 0 AS INT)) AS win_rate, avg(ret) AS avg_ret, count(*) AS n, {_pf} AS pf
   FROM (SELECT unnest(tags) AS factor, ret FROM trades WHERE horizon = 3) GROUP BY factor HAVING count(*) >= 2""",
                            "factor:s win_rate:f avg_ret:f n:i pf=profit_factor:f")
+SQL["bt_from_log"] = SQL["bt_factor_stats"]
 F["attr"] = """
 SELECT factor, coalesce((median(ret) FILTER (flag = 1) - median(ret) FILTER (flag = 0)) * 10000, 0) AS prem,
   coalesce(covar_pop(flag, base) / nullif(stddev_pop(flag) * stddev_pop(base), 0), 0) AS c, avg(flag) AS rate
@@ -469,6 +470,19 @@ SQL["scen_decompose"] = q("split", "sym:i dt:d tr=trend:f sea=seasonal:f res=res
 SQL["scen_noise"] = q("SELECT *, tr + sea + res * 1.5e0 AS c2, (tr + sea + res * 1.5e0) / (close + 1e-10) AS k FROM split",
                       "sym:i dt:d open*k=open:f high*k=high:f low*k=low:f c2=close:f")
 
+F["turned"] = """
+SELECT s.sym, k, n, CASE WHEN k = 0 OR 2 * k = n THEN 0 ELSE CAST('0x' || substr(md5(s.sym || '|' || k), 1, 8) AS BIGINT) * 2 * pi() / 4294967296e0 END AS turn,
+  sum(sea * cos(2 * pi() * ((k * i) % n) / n)) AS re, -sum(sea * sin(2 * pi() * ((k * i) % n) / n)) AS im
+FROM (SELECT split.*, row_number() OVER (PARTITION BY sym ORDER BY dt) - 1 AS i, count(*) OVER (PARTITION BY sym) AS n FROM split) s,
+  (SELECT unnest(range(0, 2000)) AS k) f WHERE 2 * k <= n GROUP BY s.sym, k, n"""
+F["phase"] = """
+SELECT s.sym, s.dt, s.open, s.high, s.low, s.close, s.tr + s.res + w.x AS c2 FROM split s JOIN (
+  SELECT p.sym, p.dt, sum((CASE WHEN k = 0 OR 2 * k = t.n THEN 1 ELSE 2 END) * (re * cos(turn + 2 * pi() * ((k * i) % t.n) / t.n)
+    - im * sin(turn + 2 * pi() * ((k * i) % t.n) / t.n)) / t.n) AS x
+  FROM (SELECT sym, dt, row_number() OVER (PARTITION BY sym ORDER BY dt) - 1 AS i FROM split) p JOIN turned t ON p.sym = t.sym
+  GROUP BY p.sym, p.dt) w ON s.sym = w.sym AND s.dt = w.dt"""
+SQL["scen_phase"] = q("SELECT *, c2 / (close + 1e-10) AS k FROM phase", "sym:i dt:d open*k=open:f high*k=high:f low*k=low:f c2=close:f")
+
 # --- orders ---------------------------------------------------------------------------------
 F["evt"] = """
 SELECT user_id AS oid, event_id AS seq, ts, value AS price,

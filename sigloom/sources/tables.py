@@ -41,6 +41,24 @@ def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
     bars.write.mode(mode).partitionBy("freq").parquet(path)
 
 
+def write_bar_table(bars: DataFrame, name: str, path: str | None = None, buckets: int = 64) -> None:
+    """Bars as a table bucketed and sorted by sym: reads by symbol, joins on it and windows over it need no exchange."""
+    w = bars.write.mode("overwrite").bucketBy(buckets, "sym").sortBy("sym", "dt")
+    (w.option("path", path) if path else w).saveAsTable(name)
+
+
+def picked_bars(spark: SparkSession, name: str, picks: DataFrame) -> DataFrame:
+    """Bars of the symbols of ``picks`` from a bucketed table: only the distinct symbols are exchanged, not the bars."""
+    return spark.table(name).join(picks.select("sym").distinct(), "sym", "left_semi")
+
+
+def write_pick_log(picks: DataFrame, path: str) -> None:
+    """JSON lines, one a date, of picks (dt, symbol, score, ai_prob, signals, factors, and ml_features where there are any)."""
+    item = [c for c in ("symbol", "score", "ai_prob", "signals", "factors", "ml_features") if c in picks.columns]
+    lines = picks.groupBy("dt").agg(F.collect_list(F.struct(*item)).alias("top_picks"))
+    lines.select(F.to_json(F.struct(F.col("dt").cast("string").alias("date"), "top_picks")).alias("value")).write.mode("overwrite").text(path)
+
+
 def flatten_provider_json(raw: DataFrame, column: str = "json") -> DataFrame:
     """{"bars": {sym: [{t,o,h,l,c,v}]}} payloads to bar rows."""
     j = raw.select(F.from_json(column, PROVIDER).alias("j")).select(F.explode("j.bars").alias("sym", "b"))

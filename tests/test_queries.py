@@ -8,7 +8,8 @@ from compare import SF, diff
 NAMES = ("bars_daily", "bars_weekly", "bars_hourly", "dedupe_last", "close_history", "ind_ema", "ind_orderblock",
          "ind_cvd", "market_context", "feat_rel_strength", "feat_weekly", "feat_kde", "feat_hurst", "alt_skew",
          "alt_analyst", "alt_mentions", "score_core", "daily_top5", "bt_stats", "bt_streak", "bt_attribution",
-         "ts_folds", "triplet_loss", "scen_noise", "order_latest", "tca_hist", "stacked_averages")
+         "ts_folds", "triplet_loss", "scen_noise", "order_latest", "tca_hist", "stacked_averages",
+         "asof_hourly", "feat_periods_live", "feat_fft", "seq_tensor", "train_samples", "daily_scan", "bt_from_log", "scen_phase")
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -164,6 +164,23 @@ def test_stack_survives_saving(spark, tmp_path):
     assert spark.range(1).select(page).first()[0] == "<b>A &amp; B</b>\n<b>x</b> <code>y</code> &lt;z&gt;"
 
 
+def test_picked_bars_are_read_without_an_exchange_of_bars(spark, bars, tmp_path):
+    tables.write_bar_table(bars, "bucketed_bars", f"{tmp_path}/bars", buckets=4)
+    picks = bars.where("sym IN (1, 3, 5)").select("sym", "dt").limit(500)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = tables.picked_bars(spark, "bucketed_bars", picks)
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert rows(got) == rows(bars.join(picks.select("sym").distinct(), "sym", "left_semi"))
+        final = got._jdf.queryExecution().executedPlan().toString()
+        left = final[:final.index("FileScan parquet")].splitlines()[-4:]
+        assert "Bucketed: true" in final and not any("Exchange hashpartitioning(sym" in x for x in left), plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE bucketed_bars")
+
+
 # --- streams ----------------------------------------------------------------------------------
 EVENTS = "client_oid long, seq long, ts timestamp, status string, price double"
 
