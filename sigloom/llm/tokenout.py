@@ -41,6 +41,8 @@ from sigloom.llm.eliasfano import EliasFano
 SHARD_IDS = 1 << 22
 #: The piece cache is renewed beyond so many pieces or characters.
 CACHE_PIECES, CACHE_CHARS = 600_000, 24_000_000
+#: Pieces that are encoded in one string.
+TOGETHER = 256
 SHARDS = ("first_id long, tie long, seq int, n_docs long, n_null long, n_ids long, id_bytes int, ids binary, "
           "ends binary, doc_ids binary")
 _BLANKS = re.compile(r"\s ")
@@ -71,6 +73,10 @@ class PieceEncoder:
         self.tok.encode_special_tokens = ordinary  # whether a special token's string in a text is ordinary text
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.wide = self.tok.get_vocab_size() > 1 << 16
+        # one character of a token's name stands for one byte
+        names = self.tok.get_vocab()
+        self.bytes_of = np.zeros(max(names.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(names.values())] = [len(t) for t in names]
         self.clear()
 
     def clear(self) -> None:
@@ -86,24 +92,43 @@ class PieceEncoder:
         parts[0] = (parts[0],)
         return parts
 
+    def _encoded(self, strings: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(strings, add_special_tokens=False)]
+
     def _learn(self, new: list) -> None:
-        got = self.tok.encode_batch_fast([k[0] if isinstance(k, tuple) else " " + k for k in new],
-                                         add_special_tokens=False)
-        ids = [e.ids for e in got]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))
+        """Pieces that begin and end with visible characters are encoded many in one string: the tokenizer's splitter never
+        joins them, and since a token's length in bytes is known, each piece's share of the ids is too."""
         m = len(new)
         n = len(self.code) - m
         if n + m > len(self.start):
             self.start, self.count = (np.resize(x, 2 * (n + m)) for x in (self.start, self.count))
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * (self.used + len(flat)))
-        self.pool[self.used:self.used + len(flat)] = flat
-        self.count[n:n + m] = count
-        self.start[n:n + m] = self.used + np.cumsum(count) - count
-        self.used += len(flat)
+        alone, together = [], []
+        for i, k in enumerate(new):
+            plain = k.__class__ is str and k and not k[0].isspace() and not k[-1].isspace()
+            (together if plain else alone).append(i)
+        groups = [together[i:i + TOGETHER] for i in range(0, len(together), TOGETHER)]
+        for group, ids in zip(groups, self._encoded([" " + " ".join([new[i] for i in g]) for g in groups])):
+            ends = np.cumsum(self.bytes_of[ids])
+            wanted = np.cumsum(np.fromiter([len(new[i].encode("utf-8", "surrogatepass")) + 1 for i in group], np.int64, len(group)))
+            at = np.searchsorted(ends, wanted)
+            if at[-1] >= len(ends) or (ends[at] != wanted).any():  # a tokenizer that rewrites its text
+                alone += group
+                continue
+            self._keep(n + np.array(group), ids, np.diff(at + 1, prepend=0))
+        if alone:
+            found = self._encoded([k[0] if isinstance(k, tuple) else " " + k for k in (new[i] for i in alone)])
+            self._keep(n + np.array(alone), np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
         self.chars += sum(map(len, new))
 
+    def _keep(self, numbers: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """The ids of the pieces of these numbers, ``count`` each."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * (self.used + len(ids)))
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.count[numbers] = count
+        self.start[numbers] = self.used + np.cumsum(count) - count
+        self.used += len(ids)
+
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text closed by ``end_id``, and the end offset of each text."""
         if len(self.code) > CACHE_PIECES or self.chars > CACHE_CHARS:
