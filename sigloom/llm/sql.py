@@ -109,7 +109,50 @@ SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id
        CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
 FROM named AS n JOIN below USING (p) LEFT JOIN named AS up ON n.depth > 0 AND up.p = n.p[1:n.depth - 1]"""
 
+NGRAM_JOIN = """
+WITH RECURSIVE split AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT rid, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM split
+), rows AS MATERIALIZED (
+  SELECT rid, len(g) AS n, unnest(g) AS g FROM sets
+), links AS MATERIALIZED (
+  SELECT u, v FROM (SELECT a.rid AS u, b.rid AS v, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+    FROM rows AS a JOIN rows AS b ON a.g = b.g AND a.rid <> b.rid GROUP BY a.rid, b.rid)
+  WHERE 100 * c >= 75 * (n + m - c)
+), reach AS (
+  SELECT rid, rid AS other FROM sets UNION SELECT reach.rid, links.v FROM reach JOIN links ON reach.other = links.u
+)
+SELECT s.doc_id, len(s.g) AS n_shingles, CASE WHEN len(s.g) > 0 THEN min(o.doc_id) ELSE s.doc_id END AS component_id
+FROM sets AS s JOIN reach ON s.rid = reach.rid JOIN sets AS o ON reach.other = o.rid GROUP BY s.rid, s.doc_id, s.g"""
+
+SUFFIX_DEDUP = """
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS MATERIALIZED (
+  SELECT rid, i, hash(substr(h, 2 * i + 1, 800)) AS x FROM (SELECT rid, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM docs)
+), again AS (
+  SELECT rid, i FROM windows JOIN (SELECT x FROM windows GROUP BY x HAVING count(*) > 1) USING (x)
+), steps AS (
+  SELECT rid, i, coalesce(i - lag(i) OVER w > 400, true) AS fresh FROM again WINDOW w AS (PARTITION BY rid ORDER BY i)
+), spans AS (
+  SELECT rid, min(i) AS a, max(i) + 400 AS b FROM (
+    SELECT rid, i, sum(fresh::INT) OVER (PARTITION BY rid ORDER BY i) AS k FROM steps) GROUP BY rid, k
+), cut AS (
+  SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(part, '' ORDER BY a) || any_value(tail) AS kept FROM (
+    SELECT rid, a, b, substr(h, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - coalesce(lag(b) OVER w, 0))) AS part,
+           substr(h, 2 * max(b) OVER (PARTITION BY rid) + 1) AS tail
+    FROM spans JOIN docs USING (rid) WINDOW w AS (PARTITION BY rid ORDER BY a)) GROUP BY rid
+)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (rid)"""
+
 SQL: dict[str, str] = {
+    "op2_ngram_join": NGRAM_JOIN,
+    "op6_suffix_dedup": SUFFIX_DEDUP,
     "op11_vector_codes": VECTOR_CODES,
     "op12_hilbert_shards": HILBERT,
     "op13_conversation_trie": CONVERSATION_TRIE,
