@@ -28,7 +28,7 @@ class Rule:
 
 
 def rules(p: Params = Params()) -> list[Rule]:
-    """The rule table, in firing order."""
+    """The rule table, in firing order. All thresholds and points in it."""
     c, o, h, lo, v = (F.col(x) for x in ("close", "open", "high", "low", "volume"))
     pc, atr, swing = F.col("pc"), F.col("ATR"), F.col("swing_high_10")
     sma50, sma150, sma200 = F.col("SMA_50"), F.col("SMA_150"), F.col("SMA_200")
@@ -42,8 +42,6 @@ def rules(p: Params = Params()) -> list[Rule]:
     day = (c - o) / (o + EPS) * 100
     span = h - lo + EPS
     up = c > o
-    lower_wick = F.when(up, o - lo).otherwise(c - lo)
-    upper_wick = F.when(up, h - c).otherwise(h - o)
     sl20 = F.col("Swing_Low_20")
     stalled = yes((v > F.col("Vol_MA20") * 2.0) & (F.abs(c - o) < atr * 0.5))
     cmf, smart = F.col("CMF"), F.coalesce(F.col("Smart_Money_Flow"), F.lit(0.0))
@@ -110,7 +108,7 @@ def rules(p: Params = Params()) -> list[Rule]:
         Rule("pocket_pivot", (c > pc) & (v > F.col("Max_Down_Vol_10")) & (F.col("Max_Down_Vol_10") > 0)
              & (c >= F.col("EMA_50")) & (pc <= F.col("EMA_50") * 1.02), n(12), "REVERSAL", BR,
              "[Pivot] pocket pivot"),
-        Rule("amd", up & (lower_wick / span > 0.3) & (upper_wick / span < 0.15), n(12), "REVERSAL", None,
+        Rule("amd", up & ((o - lo) / span > 0.3) & ((h - c) / span < 0.15), n(12), "REVERSAL", None,
              "[AMD] opening drive reversed"),
         Rule("weekly_resonance", weekly & (c > F.col("Highest_22") * 0.95), n(20), "QUANTUM", None,
              "[Resonance] weekly and daily agree"),

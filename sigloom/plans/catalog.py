@@ -580,8 +580,8 @@ def _samples(spark, d):
 
 @query
 def triplet_loss(spark, d):
-    t = contrastive.triplet_loss(contrastive.triplets(_samples(spark, d), noise=0.0))
-    return out(t, "id:i cls:i neg_id:i neg_sim:f loss:f")
+    t = contrastive.triplet_loss(contrastive.triplets(_samples(spark, d)))
+    return out(t, "id:i cls:i neg_id:i neg_sim:f pos_sim:f loss:f")
 
 
 @query

@@ -444,15 +444,17 @@ SQL["class_weights"] = q("""SELECT sig_id, ret > 0.015e0 AS label, n / (2e0 * co
                          "sig_id:i label:b w=weight:f")
 F["smp"] = """
 SELECT *, row_number() OVER (ORDER BY CASE cls WHEN 1 THEN 0 WHEN -1 THEN 1 ELSE 2 END, h, id) - 1 AS slot FROM (
-  SELECT vec_id AS id, embedding AS vec, CASE label % 3 WHEN 2 THEN 1 WHEN 0 THEN -1 ELSE 0 END AS cls,
-    CAST('0x' || substr(md5('t|' || vec_id), 1, 8) AS BIGINT) AS h,
-    CAST('0x' || substr(md5('tn|' || vec_id), 1, 8) AS BIGINT) AS hn FROM embeddings)"""
+  SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, CASE label % 3 WHEN 2 THEN 1 WHEN 0 THEN -1 ELSE 0 END AS cls,
+    CAST('0x' || substr(md5('t|' || vec_id), 1, 8) AS BIGINT) AS h FROM embeddings)"""
 F["drawn"] = """
-SELECT s.*, CASE WHEN cls = 1 THEN np + hn % nn WHEN cls = -1 THEN hn % np ELSE hn % (np + nn) END AS neg_slot
+SELECT s.*, CASE WHEN cls = 1 THEN np + slot % nn WHEN cls = -1 THEN (slot - np) % np ELSE (slot - np - nn) % (np + nn) END AS neg_slot
 FROM smp s CROSS JOIN (SELECT count(*) FILTER (cls = 1) AS np, count(*) FILTER (cls = -1) AS nn FROM smp)"""
-SQL["triplet_loss"] = q("""SELECT *, ln(1 + exp(neg - 10)) AS loss FROM (
-    SELECT a.id, a.cls, b.id AS neg_id, list_cosine_similarity(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])) / 0.1e0 AS neg
-    FROM drawn a JOIN smp b ON a.neg_slot = b.slot)""", "id:i cls:i neg_id:i neg=neg_sim:f loss:f")
+_u = "((CAST('0x' || substr(md5('t{0}|' || id || '|' || (k - 1)), 1, 8) AS BIGINT) + 1) / 4294967297e0)"
+F["noisy"] = f"""
+SELECT *, list_transform(vec, lambda x, k: x + 0.02e0 * sqrt(-2 * ln({_u.format(1)})) * cos({_u.format(2)} * 2 * pi())) AS moved FROM drawn"""
+SQL["triplet_loss"] = q("""SELECT *, ln(1 + exp(neg - pos)) AS loss FROM (
+    SELECT a.id, a.cls, b.id AS neg_id, list_cosine_similarity(a.vec, b.vec) / 0.1e0 AS neg, list_cosine_similarity(a.vec, a.moved) / 0.1e0 AS pos
+    FROM noisy a JOIN smp b ON a.neg_slot = b.slot)""", "id:i cls:i neg_id:i neg=neg_sim:f pos=pos_sim:f loss:f")
 SQL["embed_confidence"] = q("""SELECT vec_id, 0.5e0 + 0.4e0 * tanh(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) / 4) AS p
   FROM embeddings""", "vec_id:i p=prob:f")
 

@@ -12,7 +12,7 @@ from compare import SF
 from pyspark.sql import functions as F
 
 from sigloom.functions.asof import asof_join
-from sigloom.operators import evaluation, factors, features, learn, orders, scoring, statistics, tensors, triggers
+from sigloom.operators import contrastive, evaluation, factors, features, learn, orders, scoring, statistics, tensors, triggers
 from sigloom.params import ALL_FACTORS, Params
 from sigloom.sources import fixtures as fx, tables
 from sigloom.streaming import orders as SO
@@ -133,6 +133,17 @@ def test_sequence_model_versions_and_scores(spark, bars, tmp_path):
         assert np.allclose(got[r["sym"], r["dt"]], m(x[None])[0])
 
 
+def test_ten_negatives_are_drawn_evenly_by_many_anchors(spark):
+    s = spark.range(20_010).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"), F.when(F.col("id") < 10, -1).otherwise(1).alias("cls"))
+    t = contrastive.triplets(s)
+    assert t.count() == 20_010
+    per = [r["count"] for r in t.where("cls = 1").groupBy("neg_id").count().collect()]
+    assert len(per) == 10 and set(per) == {2000}
+    assert t.where("cls = -1").select("neg_id").distinct().count() == 10
+    one = contrastive.triplets(s.where("cls = 1").limit(50))  # no negative class: all rows stand for it
+    assert one.count() == 50 and one.select("neg_id").distinct().count() == 50
+
+
 def test_weights_reach_score_and_tags(spark):
     imp = spark.createDataFrame([("minervini", 0.5), ("macd_cross", 0.001), ("vcp", 1 / 64)], "factor string, importance double")
     w = evaluation.weights(imp, len(ALL_FACTORS))
