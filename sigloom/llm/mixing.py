@@ -8,8 +8,8 @@ part, plus one more for the documents whose keyed hash lies lowest below the fra
 words come nearest to its target.
 
 Defined cases: a null or empty text has size 0 and is taken ``cap`` times or less at no cost; null sources form one
-source, last in order; sources without a word have target 0. Repeated rows of one text and doc_id are treated alike.
-An empty table gives an empty mix. Columns that the plan adds replace input columns of their names; ``mixed`` returns
+source, last in order; sources without a word have target 0. Repeated rows of one text and doc_id are numbered, each
+has a hash of its own, and so some of them get the extra copy. An empty table gives an empty mix. Columns that the plan adds replace input columns of their names; ``mixed`` returns
 the input columns untouched.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sigloom.functions.scan import prefix_sum
 from sigloom.llm.common import saved
 from sigloom.session import broadcast_if_small
 
@@ -99,11 +100,24 @@ def _rated(sized: DataFrame, params: DataFrame, cap: float) -> DataFrame:
     return j.withColumn("bin", F.when(extra, F.floor((F.col("_u") - part + 1) * (BINS / 2)).cast("int")))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_u``, a fixed number from 0 to 1 by ``_k``; rows that share a ``_k`` are numbered and have one each."""
+    again = saved(rows.groupBy("_k").agg(F.count("*").alias("_c")).where("_c > 1").select("_k"))
+    unit = lambda x: F.shiftrightunsigned(x, 11) / F.lit(float(1 << 53))
+    if again.isEmpty():
+        return rows.withColumn("_u", unit(F.col("_k"))).drop("_k")
+    again = broadcast_if_small(again)
+    several = rows.join(again, "_k", "left_semi").withColumn("_at", F.monotonically_increasing_id())
+    several = prefix_sum(several, [F.col("_k"), F.col("_at")], {"_j": F.lit(1).cast("long")}, ["_k"])
+    several = several.withColumn("_u", unit(F.xxhash64("_k", "_j"))).drop("_k", "_at", "_j")
+    return rows.join(again, "_k", "left_anti").withColumn("_u", unit(F.col("_k"))).drop("_k").unionByName(several)
+
+
 def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 7) -> DataFrame:
     """``docs`` with size, source_size, target, rate, copies and taken (the words it gives, repeats counted)."""
     rest = [c for c in docs.columns if c not in PLAN]
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) / F.lit(float(1 << 53))
-    sized = docs.select(F.struct(*rest).alias("_row"), "source", word_count(F.col("text")).alias("size"), u.alias("_u"))
+    sized = _numbered(docs.select(F.struct(*rest).alias("_row"), "source", word_count(F.col("text")).alias("size"),
+                                  F.xxhash64(F.lit(seed), "doc_id", "text").alias("_k")))
     slim = saved(sized.select("source", "size", "_u"))
     hist = saved(slim.groupBy("source", "size").agg(F.count("*").alias("n")))
     params = balanced(hist, source_targets(hist, weights, cap), cap)

@@ -127,6 +127,16 @@ def test_mix_caps(spark):
     assert sum(r["taken"] for r in got) == pytest.approx(2030, abs=50)
 
 
+def test_mix_of_one_row_a_thousand_times(spark):
+    """Copies are spread over repeated rows, so that a source that is one row reaches its target."""
+    rows = [(1, "w " * 50, "a")] * 1000 + [(10 + i, f"x{i} " * 50, "b") for i in range(400)] + [(None, "z " * 25, "c")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.plan(docs)
+    per = {r["source"]: r for r in got.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("m")).collect()}
+    assert all(abs(r["t"] - r["m"]) <= 0.02 * r["m"] + 50 for r in per.values()), per
+    assert ordered(got.collect()) == ordered(mixing.plan(docs.coalesce(2)).collect()) and got.count() == 1900
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n, top in ((0, 1), (1, 10**12), (5, 0), (1000, 10), (1000, 10**9), (777, 777)):
