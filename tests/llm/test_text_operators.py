@@ -250,8 +250,8 @@ def test_account_numbers(spark):
         assert a != b and len(a) == len(b) and a[:6] == b[:6] and mod97(new[4:] + new[:4]) == 1
         assert [c.isdigit() for c in a] == [c.isdigit() for c in b]
     assert got[len(valid):] == texts[len(valid):]
-    back = df.where(f"doc_id < {len(valid)}").select(F.expr("substr(text, 5, length(text) - 12)").alias("a"))
-    assert all(r["a"] == r["b"] for r in back.select("a", pii.iban(pii.iban(F.col("a"), "k"), "k", undo=True).alias("b")).collect())
+    new = spark.createDataFrame([(a, b[4:-8]) for a, b in zip(valid, got)], "a string, m string")
+    assert all(r["a"] == r["b"] for r in new.select("a", pii.iban(F.col("m"), "k", undo=True).alias("b")).collect())
 
 
 def test_permutations_are_undone_and_never_meet(spark):
