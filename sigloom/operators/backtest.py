@@ -64,37 +64,45 @@ def signal_index(signals: DataFrame, cal: DataFrame) -> DataFrame:
     return signals.join(broadcast_if_small(nxt.where("idx IS NOT NULL")), "dt")
 
 
-def trade_returns(signals: DataFrame, bars: DataFrame, p: Params = Params(), carry: tuple[str, ...] = (),
-                  horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """sig_id, sym, dt, idx, horizon, ret, mfe, mae (+ ``carry``), one row per surviving horizon.
+def _outcomes(bars: DataFrame, cal: DataFrame, asked: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """sym, idx, entry, prev_close and per horizon d: close x{d}, highest h{d} and lowest l{d} of the asked bars.
 
-    ``signals`` has a unique ``sig_id``. Each signal asks for offsets 0..5; one equality join on
-    (sym, idx) brings the bars and one aggregation per signal folds them.
+    A day beyond the calendar is its last one for prices, and none for the extremes. Days without a bar have no price.
+    Bound: a row for each bar and asked date of one symbol, so the calendar's length.
     """
-    cal = calendar(bars)
-    top = cal.agg(F.max("idx").alias("last_idx"))  # one row
-    priced = bars.join(broadcast_if_small(cal), "dt").select("sym", "idx", "open", "high", "low", "close")
-    sig = signal_index(signals.select("sig_id", "sym", "dt", *carry), cal).crossJoin(F.broadcast(top))
-    keys = ["sig_id", "sym", "dt", "idx", "last_idx", *carry]
-    deep = max(horizons)
-    asks = sig.select(*[F.col(k).alias(f"k_{k}") for k in keys],
-                      F.explode(F.sequence(F.lit(0), F.lit(deep))).alias("off"))
-    asks = asks.withColumns({"sym": F.col("k_sym"),
-                             "idx": F.least(F.col("k_idx") + F.col("off"), F.col("k_last_idx"))})
-    got = asks.join(priced, ["sym", "idx"], "left")
-    inside = F.col("k_idx") + F.col("off") <= F.col("k_last_idx")
+    n = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = bars.select("sym", "idx", "open", "high", "low", "close", F.lit(True).alias("bar")).unionByName(
+        asked.select("sym", "idx", F.lit(True).alias("asked")), allowMissingColumns=True)
+    days = rows.repartition(n, "sym").groupBy("sym", "idx").agg(
+        F.max("open").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("close").alias("close"),
+        F.max("bar").alias("bar"), F.max("asked").alias("asked")).where("bar")
+    w, deep = Window.partitionBy("sym").orderBy("idx"), max(horizons)
+    day = F.struct("idx", "open", "high", "low", "close")
+    days = days.withColumns({f"d{k}": F.lead(day, k).over(w) if k else day for k in range(deep + 1)}).where("asked")
+    days = days.crossJoin(F.broadcast(cal.agg(F.max("idx").alias("last_idx"))))  # one row
 
     def at(k: int, c: str) -> Column:
-        return F.max(F.when(F.col("off") == k, F.col(c)))
+        place = F.least(F.col("idx") + k, F.col("last_idx"))
+        return F.coalesce(*[F.when(F.col(f"d{j}.idx") == place, F.col(f"d{j}.{c}")) for j in range(k + 1)])
 
-    aggs = [at(1, "open").alias("entry"), at(0, "close").alias("prev_close")]
+    cols = [at(1, "open").alias("entry"), F.col("close").alias("prev_close")]
     for d in horizons:
-        span = F.col("off").between(1, d) & inside
-        aggs += [at(d, "close").alias(f"x{d}"), F.max(F.when(span, F.col("high"))).alias(f"h{d}"),
-                 F.min(F.when(span, F.col("low"))).alias(f"l{d}")]
-    firsts = [F.first(f"k_{k}").alias(k) for k in keys if k != "sig_id"]
-    t = got.groupBy(F.col("k_sig_id").alias("sig_id")).agg(*firsts, *aggs)
-    t = t.where((F.col("entry") > 0) & F.col("prev_close").isNotNull())
+        inside = {c: [F.when(F.col(f"d{j}.idx") <= F.col("idx") + d, F.col(f"d{j}.{c}")) for j in range(1, d + 1)] for c in ("high", "low")}
+        cols += [at(d, "close").alias(f"x{d}"), (F.greatest(*inside["high"]) if d > 1 else inside["high"][0]).alias(f"h{d}"),
+                 (F.least(*inside["low"]) if d > 1 else inside["low"][0]).alias(f"l{d}")]
+    return days.select("sym", "idx", *cols).where((F.col("entry") > 0) & F.col("prev_close").isNotNull())
+
+
+def trade_returns(signals: DataFrame, bars: DataFrame, p: Params = Params(), carry: tuple[str, ...] = (),
+                  horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """sig_id, sym, dt, idx, horizon, ret, mfe, mae (+ ``carry``), one row per surviving horizon.
+
+    ``signals`` has a unique ``sig_id``. What follows a bar depends on its (sym, idx) alone, so it is worked out once on
+    the bars, in one exchange on ``sym``, for those that a signal asks for, and brought to the signals by equality.
+    """
+    cal = broadcast_if_small(calendar(bars))
+    sig = signal_index(signals.select("sig_id", "sym", "dt", *carry), cal)
+    t = sig.join(_outcomes(bars.join(cal, "dt"), cal, sig.select("sym", "idx").distinct(), horizons), ["sym", "idx"])
     gap = (F.col("entry") - F.col("prev_close")) / (F.col("prev_close") + EPS)
     wide = gap > p.gap_limit
     t = t.withColumns({
