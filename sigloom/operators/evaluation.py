@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +32,54 @@ def rank_ic(long: DataFrame, min_rows: int = 5) -> DataFrame:
         F.when(F.max("sf") >= 1e-6, ic).otherwise(0.0).alias("ic"))
 
 
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks from 1, the mean of their places for equal values."""
+    order = np.argsort(x, kind="stable")
+    s = x[order]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    size = np.diff(np.concatenate([first, [len(s)]]))
+    out = np.empty(len(x))
+    out[order] = np.repeat(first + (size + 1) / 2.0, size)
+    return out
+
+
+def rank_ic_wide(rows: DataFrame, names: tuple[str, ...], min_rows: int = 5, digits: int | None = None, block: int = 8) -> DataFrame:
+    """``rank_ic`` of the columns ``names`` of (dt, ret, ...), values rounded to ``digits`` first.
+
+    A date's values of ``block`` factors are one Arrow group: a row for each symbol, ``block`` + 1 numbers each.
+    """
+    blocks = [names[k:k + block] for k in range(0, len(names), block)]
+    parts = F.array(*[F.struct(F.lit(k).alias("part"), F.array(*[F.col(x).cast("double") for x in part]).alias("x"))
+                      for k, part in enumerate(blocks)])
+    dealt = rows.where(F.col("ret").isNotNull()).select("dt", F.col("ret").cast("double").alias("ret"), F.explode(parts).alias("p"))
+    dealt = dealt.select("dt", "ret", "p.part", "p.x")
+
+    def run(table: pa.Table) -> pa.Table:
+        part = blocks[table.column("part")[0].as_py()]
+        ret = table.column("ret").to_numpy()
+        x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ret), -1)
+        full, found = None, []
+        for name, y in zip(part, x.T):
+            have = ~np.isnan(y)
+            if digits is not None:
+                y = np.trunc(y * 10.0 ** digits + np.copysign(0.5, y)) / 10.0 ** digits
+            r, y = ret[have], y[have]
+            if len(y) < min_rows or r.std() < 1e-6:
+                continue
+            if len(y) == len(ret):
+                full = rr = _ranks(r) if full is None else full
+            else:
+                rr = _ranks(r)
+            rf = _ranks(y)
+            spread = rf.std() * rr.std()
+            ic = ((rf - rf.mean()) * (rr - rr.mean())).mean() / spread if y.std() >= 1e-6 and spread > 0 else 0.0
+            found.append((name, ic))
+        return pa.table({"dt": pa.array([table.column("dt")[0].as_py()] * len(found), pa.date32()),
+                         "factor": pa.array([f for f, _ in found], pa.string()), "ic": pa.array([v for _, v in found], pa.float64())})
+
+    return dealt.groupBy("dt", "part").applyInArrow(run, "dt date, factor string, ic double")
+
+
 def ic_summary(ic: DataFrame, min_days: int = 5) -> DataFrame:
     """factor, mean_ic, ir, t_stat; all 0 with ``min_days`` dates or fewer."""
     n, m, s = F.count(F.lit(1)), F.avg("ic"), F.stddev_pop("ic") + EPS
@@ -76,4 +126,4 @@ def with_forward_return(factors: DataFrame, returns: DataFrame, horizon: int = 3
     return factors.join(r, ["sym", "dt"])
 
 
-__all__ = ["ic_summary", "rank_ic", "select_factors", "top_factors", "weight_map", "weights", "with_forward_return"]
+__all__ = ["ic_summary", "rank_ic", "rank_ic_wide", "select_factors", "top_factors", "weight_map", "weights", "with_forward_return"]
