@@ -9,6 +9,7 @@ import pytest
 from sigloom.functions.series import cov, ewm, lag, roll
 from sigloom.operators import statistics, tensors
 from sigloom.operators.indicators import indicators
+from sigloom.plans.panel import series_features
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 20, 22, 252])
@@ -46,3 +47,10 @@ def test_one_exchange_and_only_what_is_asked(spark, bars):
     for df in (indicators(bars), kde, tensors.score_sequences(bars, lambda x: x[:, 0, :16])):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning(sym") == 1 and "Window" not in plan, plan
+
+
+def test_wide_steps_are_compiled(spark, bars):
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    series_features(bars, statistics=False)
+    # HotSpot leaves longer methods to the interpreter
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
