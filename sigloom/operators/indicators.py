@@ -30,6 +30,16 @@ def rsi(gain: Column, loss: Column) -> Column:
     return F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + gain / (loss + F.lit(EPS)))
 
 
+def level_columns(b: Columns) -> Columns:
+    """Of the 48 columns those that the price levels of a position need."""
+    c, h, lo, i = (b[x] for x in ("close", "high", "low", "_i"))
+    pc = lag(c)
+    tr = np.where(i >= 0, np.fmax(h - lo, np.fmax(np.abs(h - pc), np.abs(lo - pc))), np.nan)
+    h22, atr22 = roll("max", h, 22), roll("mean", tr, 22)
+    return {"TR": tr, "ATR": roll("mean", tr, 14), "SMA_200": roll("mean", c, 200, 40), "Highest_22": h22, "ATR_22": atr22,
+            "Chandelier_Exit": h22 - 2.5 * atr22}
+
+
 def indicator_columns(b: Columns, centered_accel: bool = False) -> Columns:
     """The 48 columns and ``_b``, ``pc``, ``ph``, ``pl``, ``po`` from filled prices, volume and ``_i``; nan until enough rows exist."""
     c, h, lo, o, v, i = (b[x] for x in ("close", "high", "low", "open", "volume", "_i"))
@@ -41,7 +51,7 @@ def indicator_columns(b: Columns, centered_accel: bool = False) -> Columns:
     vol_ma = roll("mean", v, 20)
     h20, l20 = roll("max", h, 20), roll("min", lo, 20)
     ret, delta = div(c - pc, pc), c - pc
-    tr = np.where(i >= 0, np.fmax(h - lo, np.fmax(np.abs(h - pc), np.abs(lo - pc))), np.nan)
+    levels = level_columns(b)
     step = known(ret) * v
     vpt = np.where(np.cumsum(~np.isnan(step)) > 0, np.cumsum(known(step)), np.nan)
     ema20, ema50 = ewm(c, span(20), first), ewm(c, span(50), first)
@@ -65,14 +75,14 @@ def indicator_columns(b: Columns, centered_accel: bool = False) -> Columns:
     else:
         accel = known(z0 - lag(z0))
     vwap = div(roll("sum", (h + lo + c) / 3 * v, 20), roll("sum", v, 20) + EPS)
-    tr20, atr22 = roll("mean", tr, 20), roll("mean", tr, 22)
+    tr20 = roll("mean", levels["TR"], 20)
     bb, bb_sd = roll("mean", c, 20), roll("std", c, 20)
-    h22, h252 = roll("max", h, 22), roll("max", h, 252, 20)
+    h252 = roll("max", h, 252, 20)
     cmf = np.clip(div(roll("sum", clv * flow, 20), roll("sum", flow, 20) + EPS), -1, 1)
     return {
-        "SMA_50": roll("mean", c, 50, 10), "SMA_150": roll("mean", c, 150, 30), "SMA_200": roll("mean", c, 200, 40),
+        **levels, "SMA_50": roll("mean", c, 50, 10), "SMA_150": roll("mean", c, 150, 30),
         "EMA_20": ema20, "EMA_50": ema50, "RSI": np.where(i >= 0, 100.0 - 100.0 / (1.0 + gain / (loss + EPS)), np.nan),
-        "MACD": macd, "Signal_Line": ewm(macd, span(9), first), "TR": tr, "ATR": roll("mean", tr, 14),
+        "MACD": macd, "Signal_Line": ewm(macd, span(9), first),
         "KC_Upper": ema20 + 1.5 * tr20, "KC_Lower": ema20 - 1.5 * tr20, "BB_Upper": bb + 2 * bb_sd, "BB_Lower": bb - 2 * bb_sd,
         "Tenkan": tenkan, "Kijun": kijun, "SenkouA": ahead[0], "SenkouB": ahead[1],
         "Above_Cloud": c > np.fmax(*ahead), "SuperTrend_Up": c > ema20, "CMF": known(cmf),
@@ -83,13 +93,18 @@ def indicator_columns(b: Columns, centered_accel: bool = False) -> Columns:
         "Range_60": roll("max", h, 60) - roll("min", lo, 60), "Range_20": h20 - l20, "Price_High_20": h20, "Vol_MA20": vol_ma,
         "CVD_Smooth": cvd, "CVD_Trend": np.where(roll("mean", cvd, 10) > roll("mean", cvd, 30), 1.0, -1.0),
         "CVD_Divergence": (c >= h20 * 0.99) & (cvd < roll("max", cvd, 20) * 0.95),
-        "Highest_22": h22, "ATR_22": atr22, "Chandelier_Exit": h22 - 2.5 * atr22, "Smart_Money_Flow": roll("mean", clv, 10),
+        "Smart_Money_Flow": roll("mean", clv, 10),
         "Recent_Price_Surge_3d": prior("max", div(c, o) - 1, 3) * 100, "Recent_Vol_Surge_3d": prior("max", v / (vol_ma + 1), 3),
         "Amihud": roll("mean", div(np.abs(ret), flow + EPS), 20) * 1e6, "Dist_52W_High": div(c - h252, h252 + EPS),
         "_i": i, "_b": np.trunc(i / BLOCK), "pc": pc, "ph": ph, "pl": pl, "po": lag(o),
     }
 
 
+def levels(bars: DataFrame) -> DataFrame:
+    """sym, dt, close, volume with ATR, Chandelier_Exit and SMA_200, for steps that read no other indicator."""
+    return per_symbol(bars, level_columns, ["sym", "dt", "close", "volume"], {x: KINDS[x] for x in ("ATR", "Chandelier_Exit", "SMA_200")})
+
+
 def indicators(bars: DataFrame, centered_accel: bool = False, keep: bool = False) -> DataFrame:
     """bars + 48 columns (with ``keep`` also those of the day before). Null until enough rows exist.
 

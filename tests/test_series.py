@@ -8,7 +8,7 @@ import pytest
 
 from sigloom.functions.series import cov, ewm, lag, roll
 from sigloom.operators import statistics, tensors
-from sigloom.operators.indicators import indicators
+from sigloom.operators.indicators import indicators, levels
 from sigloom.plans.panel import series_features
 
 
@@ -49,6 +49,12 @@ def test_one_exchange_and_only_what_is_asked(spark, bars):
         assert plan.count("Exchange hashpartitioning(sym") == 1 and "Window" not in plan, plan
 
 
+def test_levels_equal_the_indicators(spark, bars):
+    cols = ["sym", "dt", "close", "volume", "ATR", "Chandelier_Exit", "SMA_200"]
+    some = bars.where("sym <= 3")
+    assert levels(some).columns == cols and set(levels(some).collect()) == set(indicators(some).select(*cols).collect())
+
+
 def test_wide_steps_are_compiled(spark, bars):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     series_features(bars, statistics=False)
