@@ -10,6 +10,7 @@ Bound: one symbol's bars are one Arrow group, as long as the calendar.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -119,18 +120,24 @@ def cov(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+@cache
+def _powers(q: float) -> tuple[np.ndarray, np.ndarray]:
+    """q^-j and q^j of a block's rows by the C library, whatever vector unit the machine has."""
+    return np.array([q ** -j for j in range(BLOCK)]), np.array([q ** j for j in range(BLOCK + 1)])
+
+
 def ewm(x: np.ndarray, alpha: float, first: int, adjust: bool = False) -> np.ndarray:
     """Recursive average from row ``first`` on: a sum of x q^-j in each block of 512 rows, and the end of the block before."""
     out = np.full(len(x), np.nan)
     x, q = known(x[first:]), 1.0 - alpha
+    down, up = _powers(q)
     before = 0.0
     for lo in range(0, len(x), BLOCK):
         part = x[lo:lo + BLOCK]
-        j = np.arange(len(part))
         u = part if adjust else part * alpha
         if lo == 0 and not adjust:
             u[0] = part[0]
-        y = np.cumsum(u * np.power(q, -j.astype(float))) * np.power(q, j.astype(float)) + before * np.power(q, j + 1.0)
+        y = np.cumsum(u * down[:len(part)]) * up[:len(part)] + before * up[1:len(part) + 1]
         before = y[-1]
         out[first + lo:first + lo + len(part)] = y
     if adjust:
