@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -87,12 +88,17 @@ def fit_stack(trades: DataFrame, active: list[str], rounds: int = 60, splits: in
     def fit(train: DataFrame, group: str) -> PipelineModel:
         return _base(cols[group], rounds).fit(class_weights(train))
 
+    # a fit is some hundred short jobs, one after the other; the fits do not depend on each other
+    asked = [(k, g) for k in range(1, splits + 2) for g in cols if cols[g]]
+    with ThreadPool(max(len(asked), 1)) as pool:
+        fitted = dict(zip(asked, pool.starmap(lambda k, g: fit(rows.where(F.col("fold") < k) if k <= splits else rows, g), asked)))
+
     parts = []
     for k in range(1, splits + 1):
-        train, test = rows.where(F.col("fold") < k), rows.where(F.col("fold") == k)
+        test = rows.where(F.col("fold") == k)
         for g in ("p_a", "p_b"):
             if cols[g]:
-                out = fit(train, g).transform(test).withColumn(g, vector_to_array("probability")[1])
+                out = fitted[k, g].transform(test).withColumn(g, vector_to_array("probability")[1])
                 test = out.drop("raw", "x", "rawPrediction", "probability", "prediction")
             else:
                 test = test.withColumn(g, F.lit(0.5))
@@ -122,7 +128,7 @@ def fit_stack(trades: DataFrame, active: list[str], rounds: int = 60, splits: in
     for g in ("p_a", "p_b"):
         if not cols[g]:
             continue
-        models[g] = fit(rows, g)
+        models[g] = fitted[splits + 1, g]
         imp = models[g].stages[-1].featureImportances.toArray()
         for f, v in zip(cols[g], imp / (imp.sum() + 1e-10)):
             share[f] = share.get(f, 0.0) + float(v) * weights[g]

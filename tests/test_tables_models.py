@@ -241,3 +241,31 @@ def test_streamed_histogram_equals_batch(spark, tmp_path):
     want = orders.histogram(spark.createDataFrame(sum(batches, []), schema), "bps", ["side"], 30)
     assert rows(got.withColumn("bin", F.round("bin", 9))) == rows(want.withColumn("bin", F.round("bin", 9)))
     assert got.select("bin").distinct().count() <= 31
+
+
+def test_stack_fits_side_by_side(spark, monkeypatch):
+    running, most = set(), [0]
+    plain = learn._base
+
+    def watched(columns, rounds):
+        pipeline = plain(columns, rounds)
+        fit = pipeline.fit
+
+        def one(*args):
+            running.add(id(pipeline))
+            most[0] = max(most[0], len(running))
+            try:
+                return fit(*args)
+            finally:
+                running.discard(id(pipeline))
+
+        pipeline.fit = one
+        return pipeline
+
+    monkeypatch.setattr(learn, "_base", watched)
+    n = 80
+    t = pd.DataFrame({"sig_id": range(n), "dt": [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(n)], "minervini": np.arange(n) % 7.0,
+                      "hurst": np.arange(n) % 5.0, "vix": 18.0, "cred": 0.0, "term": 1.0, "market_pcr": 1.0})
+    t["ret"] = np.where(np.arange(n) % 3 == 0, 0.05, -0.05)
+    stack = learn.fit_stack(spark.createDataFrame(t), ["minervini", "hurst"], rounds=1)
+    assert most[0] > 1 and set(stack.models) == {"meta", "p_a", "p_b"}
