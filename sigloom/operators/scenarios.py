@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.functions.scalar import EPS, yes
-from sigloom.functions.windows import index_series, series, span, with_ewm
+from sigloom.functions.scalar import EPS
+from sigloom.functions.series import Columns, div, lead
+from sigloom.functions.windows import by_symbol, index_series, span, with_ewm
 from sigloom.operators.bars import with_min_bars
 from sigloom.operators.factors import ALT_DEFAULTS
 from sigloom.operators.features import vrp, with_periods
 from sigloom.operators.scoring import score_panel
 from sigloom.params import Params
 from sigloom.plans.panel import series_features
+from sigloom.session import materialise
 
 SCENARIOS = ("Original", "Phase_Chaos", "Noise_Explosion")
 PRICES = ("open", "high", "low", "close")
@@ -86,19 +88,20 @@ def scenario_trades(bars: DataFrame, p: Params = Params(), statistics: bool = Tr
 
     The market is the fixed bull context of the reference; weekly and monthly flags come from the
     last completed period. Bars with ATR over 15% of the close, or below a falling 200-day
-    average, are not traded.
+    average, are not traded, and leave the series step before their statistics are made.
     """
-    sc = scenario_bars(bars)
-    df = series_features(sc, statistics)
-    s = series()
-    df = df.withColumns({
-        "_n": F.count(F.lit(1)).over(s.rowsBetween(0, 100_000_000)),
-        "entry": F.lead("open", 1).over(s), "exit": F.lead("close", 4).over(s)})
-    # _n counts the rows from here to the end: len - i
-    df = df.where((F.col("_n") <= window) & (F.col("_n") > tail))
-    c = F.col("close")
-    df = df.where(~(yes(F.col("ATR") / c > 0.15) | yes((c < F.col("SMA_200")) & (F.col("SMA_50") < F.col("SMA_200")))))
-    df = with_periods(df, sc.drop("scenario"))
+    sc = materialise(by_symbol(scenario_bars(bars)))
+
+    def traded(b: Columns, made: Columns) -> np.ndarray:
+        c, rest = b["close"], len(b["close"]) - np.arange(len(b["close"]))
+        wild = div(made["ATR"], c) > 0.15
+        return (rest <= window) & (rest > tail) & ~(wild | ((c < made["SMA_200"]) & (made["SMA_50"] < made["SMA_200"])))
+
+    def ahead(b: Columns) -> Columns:
+        return {"entry": lead(b["open"]), "exit": lead(b["close"], 4)}
+
+    periods = with_periods(sc.select("sym", "dt"), sc.drop("scenario"))
+    df = series_features(sc.join(periods, ["sym", "dt"]), statistics, asked=traded, more=(ahead, {"entry": "double", "exit": "double"}))
     fixed = {"regime": "bull", "w_mul": 1.0, "vix": 18.0, "vix_scalar": 1.0, "macro_gravity": False,
              "is_credit_risk_high": False, "beta_60d": 1.0, "spy_realized_vol": 15.0, "tlt_corr": 0.0,
              "dxy_corr": 0.0, "rs_20": 0.0, "pure_alpha": 0.0, "rsi_60m_bounce": False,
@@ -116,6 +119,7 @@ def scenario_report(trades: DataFrame, drop: float = 0.15) -> DataFrame:
     t = trades.groupBy("scenario").agg(
         F.count("ret").alias("trades"), F.sum((F.col("ret") > 0).cast("long")).alias("wins"),
         F.sum("ret").alias("ret_sum"))
+    t = materialise(t)  # a row for each scenario, read twice
     t = t.withColumns({"win_rate": F.coalesce(F.try_divide("wins", "trades"), F.lit(0.0)),
                        "avg_ret": F.coalesce(F.try_divide("ret_sum", "trades"), F.lit(0.0))})
     base = t.where("scenario = 'Original'").select(F.col("win_rate").alias("_base"))  # one row
