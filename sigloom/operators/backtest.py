@@ -76,9 +76,14 @@ def _outcomes(bars: DataFrame, cal: DataFrame, asked: DataFrame, horizons: tuple
     days = rows.repartition(n, "sym").groupBy("sym", "idx").agg(
         F.max("open").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("close").alias("close"),
         F.max("bar").alias("bar"), F.max("asked").alias("asked")).where("bar")
-    w, deep = Window.partitionBy("sym").orderBy("idx"), max(horizons)
+    return _outcome_columns(days, cal, F.col("asked"), {}, horizons, "idx")
+
+
+def _outcome_columns(days: DataFrame, cal: DataFrame, asked: Column, columns: dict[str, Column], horizons: tuple[int, ...],
+                     order: str) -> DataFrame:
+    w, deep = Window.partitionBy("sym").orderBy(order), max(horizons)
     day = F.struct("idx", "open", "high", "low", "close")
-    days = days.withColumns({f"d{k}": F.lead(day, k).over(w) if k else day for k in range(deep + 1)}).where("asked")
+    days = days.withColumns({f"d{k}": F.lead(day, k).over(w) if k else day for k in range(deep + 1)}).where(asked)
     days = days.crossJoin(F.broadcast(cal.agg(F.max("idx").alias("last_idx"))))  # one row
 
     def at(k: int, c: str) -> Column:
@@ -90,7 +95,7 @@ def _outcomes(bars: DataFrame, cal: DataFrame, asked: DataFrame, horizons: tuple
         inside = {c: [F.when(F.col(f"d{j}.idx") <= F.col("idx") + d, F.col(f"d{j}.{c}")) for j in range(1, d + 1)] for c in ("high", "low")}
         cols += [at(d, "close").alias(f"x{d}"), (F.greatest(*inside["high"]) if d > 1 else inside["high"][0]).alias(f"h{d}"),
                  (F.least(*inside["low"]) if d > 1 else inside["low"][0]).alias(f"l{d}")]
-    return days.select("sym", "idx", *cols).where((F.col("entry") > 0) & F.col("prev_close").isNotNull())
+    return days.select("sym", "idx", *[c.alias(k) for k, c in columns.items()], *cols).where((F.col("entry") > 0) & F.col("prev_close").isNotNull())
 
 
 def trade_returns(signals: DataFrame, bars: DataFrame, p: Params = Params(), carry: tuple[str, ...] = (),
@@ -103,6 +108,21 @@ def trade_returns(signals: DataFrame, bars: DataFrame, p: Params = Params(), car
     cal = broadcast_if_small(calendar(bars))
     sig = signal_index(signals.select("sig_id", "sym", "dt", *carry), cal)
     t = sig.join(_outcomes(bars.join(cal, "dt"), cal, sig.select("sym", "idx").distinct(), horizons), ["sym", "idx"])
+    return _horizon_rows(t, p, carry, horizons)
+
+
+def picked_returns(days: DataFrame, cal: DataFrame, picked: Column, columns: dict[str, Column], p: Params = Params(),
+                   horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """``trade_returns`` of picks that are bars themselves: where ``picked`` holds on ``days`` (bars with ``idx`` of ``cal``).
+
+    ``columns`` makes sig_id and what to carry from a picked bar. Nothing is brought together: bars that are dealt by
+    ``sym`` already are not exchanged again.
+    """
+    t = _outcome_columns(days, cal, picked, {"dt": F.col("dt"), **columns}, horizons, "dt")
+    return _horizon_rows(t, p, tuple(c for c in columns if c != "sig_id"), horizons)
+
+
+def _horizon_rows(t: DataFrame, p: Params, carry: tuple[str, ...], horizons: tuple[int, ...]) -> DataFrame:
     gap = (F.col("entry") - F.col("prev_close")) / (F.col("prev_close") + EPS)
     wide = gap > p.gap_limit
     t = t.withColumns({
