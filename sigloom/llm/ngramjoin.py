@@ -7,8 +7,8 @@ so that no group of copies is expanded into pairs:
 
 1. every document is compared with one hub, the document that shares most of its prefix tokens among the ones with
    the fewest tokens of their own (an original, in a group of edited copies);
-2. the pairs that share enough prefix tokens and are not in one class yet are compared too. Within a class the answer
-   is known, so nothing is lost.
+2. what is not in one class yet is compared too: documents of one hub in blocks of them, without a row for a pair,
+   all others where they share enough prefix tokens. Within a class the answer is known, so nothing is lost.
 
 Comparing is a walk over a prefix tree: a block of sets, common tokens first, is stored as sorted paths where each
 shares its beginning with the one before; a walk takes over the overlap counted for the shared part, and leaves a
@@ -43,6 +43,8 @@ CLASS_SHIFT = 44
 SKETCH_BITS, CHUNKS, FAN_IN = 22, 64, 16
 #: Members of one prefix-tree block, and parts of a hot token.
 BLOCK, PARTS = 512, 16
+#: Documents of one hub in a block; two blocks meet in one task.
+HUB_BLOCK = 1024
 #: One more shared prefix token is asked for with every so many n-grams.
 PER_SHARED = 32
 #: Pairs that a task holds before it sums them up.
@@ -273,11 +275,56 @@ def _walked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _open_pairs(percent: int):
-    """Pairs of one token's rows in different classes that may be linked, with how many tokens they met at.
+def _hub_links(percent: int):
+    """Links (u, v) between documents of one hub in different classes, of two blocks (i, j) of them.
 
     Two sets that were compared with the same hub bound their own overlap: |x & m| <= |x & hub| + |m - hub|. Pairs
-    whose bound stays below the threshold are left out here, and so are a set and its own hub.
+    whose bound stays below the threshold are left out. Probes are the documents of small classes.
+    """
+    def links(part, i, j, k, n, root, low, high, toks) -> Iterator[tuple[int, int]]:
+        _, at, size = np.unique(root, return_inverse=True, return_counts=True)
+        if len(size) < 2:
+            return
+        order = np.lexsort((root, size[at]))
+        part, k, n, root, low, high = (x[order] for x in (part, k, n, root, low, high))
+        sets = [_tokens(toks[r]) for r in order.tolist()]
+        for a in range(len(k) - 1):
+            b = np.arange(a + 1, len(k))
+            most = np.minimum(high[a] + n[b] - low[b], high[b] + n[a] - low[a])
+            most = np.minimum(most, np.minimum(n[a], n[b]))
+            b = b[(root[b] != root[a]) & ((part[b] != part[a]) | (i == j)) & (100 * most >= percent * (n[a] + n[b] - most))]
+            if len(b):
+                least, most = tree_overlaps(sets[a], [sets[m] for m in b.tolist()], percent)
+                for m in b[(least == most) & (100 * least >= percent * (n[a] + n[b] - least))].tolist():
+                    yield int(k[a]), int(k[m])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["hub", "i", "j"]):
+            hub, i, j, *cols = (table.column(c).to_numpy().astype(np.int64) for c in ("hub", "i", "j", "part", "k", "n", "root", "low", "high"))
+            toks = table.column("toks").to_pylist()
+            new = (hub[1:] != hub[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            cut = np.flatnonzero(np.concatenate([[True], new, [True]])).tolist()
+            found = [p for x, y in zip(cut, cut[1:]) for p in links(cols[0][x:y], i[x], j[x], *(c[x:y] for c in cols[1:]), toks[x:y])]
+            yield pa.RecordBatch.from_pydict({"u": pa.array([p[0] for p in found], pa.int64()), "v": pa.array([p[1] for p in found], pa.int64())})
+
+    return run
+
+
+def _linked_by_hub(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of the same hub in different classes. ``known``: k, n, root, hub, low and high."""
+    mixed = known.groupBy("hub").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / HUB_BLOCK).cast("int").alias("parts"))
+    asked = broadcast_if_small(known.join(mixed.where("x <> y").drop("x", "y"), "hub"))
+    rows = sets.select("k", "toks").join(asked, "k").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts")
+    dealt = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return saved(dealt.mapInArrow(_hub_links(percent), "u long, v long"))
+
+
+def _open_pairs(percent: int):
+    """Pairs of one token's rows in different classes and with different hubs that may be linked, with how many tokens they met at.
+
+    A set and its own hub are left out, they were compared.
     """
     def summed(parts: list) -> pa.RecordBatch:
         x, y, c = (np.concatenate(p) for p in zip(*parts))
@@ -289,8 +336,7 @@ def _open_pairs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
         for table in whole_groups(batches, ["tok"]):
-            tok, k, n, root, hub, low, high = (
-                table.column(c).to_numpy().astype(np.int64) for c in ("tok", "k", "n", "root", "hub", "low", "high"))
+            tok, k, n, root, hub = (table.column(c).to_numpy().astype(np.int64) for c in ("tok", "k", "n", "root", "hub"))
             end = np.searchsorted(tok, tok, "right")
             step, open_ = 0, np.arange(len(tok))
             while len(open_):
@@ -300,10 +346,8 @@ def _open_pairs(percent: int):
                 open_ = open_[percent * n[open_ + step] <= 100 * n[open_]]
                 i = open_[root[open_] != root[open_ + step]]
                 j = i + step
-                most = np.minimum(high[i] + n[j] - low[j], high[j] + n[i] - low[i])
-                most = np.where((hub[i] == hub[j]) & (hub[i] >= 0), most, np.minimum(n[i], n[j]))
-                far = (100 * most < percent * (n[i] + n[j] - most)) | (hub[i] == k[j]) | (hub[j] == k[i])
-                i, j = i[~far], j[~far]
+                done = (hub[i] == hub[j]) & (hub[i] >= 0) | (hub[i] == k[j]) | (hub[j] == k[i])
+                i, j = i[~done], j[~done]
                 if len(i):
                     held.append((np.minimum(k[i], k[j]), np.maximum(k[i], k[j]), np.ones(len(i), np.int64)))
                     n_held += len(i)
@@ -349,10 +393,12 @@ def classes(docs: DataFrame, n_words: int = 5, percent: int = 75) -> DataFrame:
     links = walked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     # round 2: what shares enough, is not known to be connected and may be linked
     roots = components(links)
-    own = walked.select(F.col("b").alias("k"), F.col("a").alias("hub"), "low", "high")
-    rest = shared.select("tok", "k", "n").join(roots.withColumnRenamed("node", "k"), "k", "left").join(own, "k", "left").select(
-        "tok", "k", "n", F.coalesce("root", "k").alias("root"), F.coalesce("hub", F.lit(-1)).alias("hub"),
-        F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", F.col("n")).cast("long").alias("high"))
+    own = walked.select(F.col("b").alias("k"), F.col("a").alias("hub"), "low", "high").join(live.select("k", "n"), "k")
+    own = saved(own.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")))
+    links = links.unionByName(_linked_by_hub(own, sets, percent))
+    roots = components(links)
+    rest = shared.select("tok", "k", "n").join(roots.withColumnRenamed("node", "k"), "k", "left").join(own.select("k", "hub"), "k", "left").select(
+        "tok", "k", "n", F.coalesce("root", "k").alias("root"), F.coalesce("hub", F.lit(-1)).alias("hub"))
     rest = saved(rest)
     discard(shared)
     several = rest.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tok")
