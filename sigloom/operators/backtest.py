@@ -79,17 +79,31 @@ def _outcomes(bars: DataFrame, cal: DataFrame, asked: DataFrame, horizons: tuple
     return _outcome_columns(days, cal, F.col("asked"), {}, horizons, "idx")
 
 
+def _at(k: int, c: str) -> Column:
+    """``c`` on the ``k``-th calendar day after the row's own, or on the calendar's last; null without a bar on it."""
+    place = F.least(F.col("idx") + k, F.col("last_idx"))
+    return F.coalesce(*[F.when(F.col(f"d{j}.idx") == place, F.col(f"d{j}.{c}")) for j in range(k + 1)])
+
+
+def with_return(days: DataFrame, cal: DataFrame, p: Params = Params(), horizon: int = 3, order: str = "dt") -> DataFrame:
+    """``days`` (bars with ``idx`` of ``cal``) with the ``ret`` that ``trade_returns`` has for a signal on them, else null.
+
+    For steps that need the other bars of the symbol too; bars that are dealt by ``sym`` are not exchanged again.
+    """
+    w, day = Window.partitionBy("sym").orderBy(order), F.struct("idx", "open", "close")
+    df = days.withColumns({f"d{k}": F.lead(day, k).over(w) if k else day for k in range(horizon + 1)})
+    df = df.crossJoin(F.broadcast(cal.agg(F.max("idx").alias("last_idx"))))  # one row
+    df = df.withColumns({"entry": _at(1, "open"), "prev_close": F.col("close"), f"x{horizon}": _at(horizon, "close")})
+    paid = (F.col("entry") > 0) & F.col("prev_close").isNotNull()
+    return df.withColumns(_costs(p)).select(*days.columns, F.when(paid, _return(p, horizon)).alias("ret"))
+
+
 def _outcome_columns(days: DataFrame, cal: DataFrame, asked: Column, columns: dict[str, Column], horizons: tuple[int, ...],
                      order: str) -> DataFrame:
     w, deep = Window.partitionBy("sym").orderBy(order), max(horizons)
     day = F.struct("idx", "open", "high", "low", "close")
     days = days.withColumns({f"d{k}": F.lead(day, k).over(w) if k else day for k in range(deep + 1)}).where(asked)
-    days = days.crossJoin(F.broadcast(cal.agg(F.max("idx").alias("last_idx"))))  # one row
-
-    def at(k: int, c: str) -> Column:
-        place = F.least(F.col("idx") + k, F.col("last_idx"))
-        return F.coalesce(*[F.when(F.col(f"d{j}.idx") == place, F.col(f"d{j}.{c}")) for j in range(k + 1)])
-
+    days, at = days.crossJoin(F.broadcast(cal.agg(F.max("idx").alias("last_idx")))), _at  # one row
     cols = [at(1, "open").alias("entry"), F.col("close").alias("prev_close")]
     for d in horizons:
         inside = {c: [F.when(F.col(f"d{j}.idx") <= F.col("idx") + d, F.col(f"d{j}.{c}")) for j in range(1, d + 1)] for c in ("high", "low")}
@@ -122,16 +136,22 @@ def picked_returns(days: DataFrame, cal: DataFrame, picked: Column, columns: dic
     return _horizon_rows(t, p, tuple(c for c in columns if c != "sig_id"), horizons)
 
 
-def _horizon_rows(t: DataFrame, p: Params, carry: tuple[str, ...], horizons: tuple[int, ...]) -> DataFrame:
+def _costs(p: Params) -> dict[str, Column]:
     gap = (F.col("entry") - F.col("prev_close")) / (F.col("prev_close") + EPS)
     wide = gap > p.gap_limit
-    t = t.withColumns({
-        "half": F.when(wide, 0.5).otherwise(1.0),
-        "cost": F.col("entry") * (1 + F.when(wide, p.slippage * 3).otherwise(p.slippage) + p.commission)})
+    return {"half": F.when(wide, 0.5).otherwise(1.0),
+            "cost": F.col("entry") * (1 + F.when(wide, p.slippage * 3).otherwise(p.slippage) + p.commission)}
+
+
+def _return(p: Params, d: int) -> Column:
+    return (F.col(f"x{d}") * (1 - p.slippage - p.commission) - F.col("cost")) / (F.col("cost") + EPS) * F.col("half")
+
+
+def _horizon_rows(t: DataFrame, p: Params, carry: tuple[str, ...], horizons: tuple[int, ...]) -> DataFrame:
+    t = t.withColumns(_costs(p))
     rows = F.array(*[F.struct(
         F.lit(d).cast("long").alias("horizon"),
-        ((F.col(f"x{d}") * (1 - p.slippage - p.commission) - F.col("cost")) / (F.col("cost") + EPS)
-         * F.col("half")).alias("ret"),
+        _return(p, d).alias("ret"),
         ((F.col(f"h{d}") - F.col("cost")) / F.col("cost")).alias("mfe"),
         ((F.col(f"l{d}") - F.col("cost")) / F.col("cost")).alias("mae")) for d in horizons])
     out = t.select("sig_id", "sym", "dt", "idx", *carry, F.inline(rows))
