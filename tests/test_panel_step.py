@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from compare import SF
 from sigloom.operators import bars as ob
-from sigloom.operators import features
+from sigloom.operators import backtest, features, scoring
 from sigloom.plans.catalog import QUERIES
 from sigloom.plans.panel import feature_panel
 from sigloom.sources import fixtures as fx
@@ -61,3 +61,32 @@ def test_missing_prices_in_weeks_and_months(spark):
     panel = feature_panel(b, fx.macro(spark, SF), statistics=False, min_bars=1).select("sym", "dt", *features.PERIODS)
     want = features.with_periods(b.select("sym", "dt"), b, live=True).select(panel.columns)
     assert panel.exceptAll(want).count() == 0 and panel.where(F.col("weekly_bullish")).count()
+
+
+def test_scan_writes_numbers_alone(spark):
+    plan = physical(QUERIES["daily_scan"](spark, SF))
+    stored = {c.split("#")[0] for cols in re.findall(r"Scan ExistingRDD\[([^\]]*)\]", plan) for c in cols.split(",")}
+    assert "raw_score" in stored and not stored & {"signals", "factors", "vec", "notes"}
+
+
+def test_earnings_beside_bars_equal_the_join(spark, bars):
+    e = fx.earnings(spark, SF)
+    panel = feature_panel(bars, fx.macro(spark, SF), statistics=False, min_bars=1, earnings=e).select("sym", "dt", "earnings_soon")
+    want = scoring.earnings_flag(bars.select("sym", "dt"), e)
+    assert panel.count() == want.count() and panel.exceptAll(want).count() == 0 and 0 < panel.where("earnings_soon").count() < panel.count()
+
+
+@pytest.mark.parametrize("name", ["ic_daily", "ic_summary", "factor_select"])
+def test_ic_rows_meet_no_join_on_their_dates(spark, name):
+    plan = physical(QUERIES[name](spark, SF))
+    assert not re.search(r"Join \[(sym|_k)#\d+L?, (dt|idx|_wk|_mo)#", plan) and plan.count("FileScan parquet [l_orderkey") == 1
+
+
+def test_return_on_bars_equals_trade_returns(spark):
+    bars = fx.daily_bars(spark, SF, fx.WILD)
+    cal = ob.calendar(bars)
+    got = backtest.with_return(bars.join(cal, "dt"), cal)
+    ids = bars.select("sym", "dt", F.concat_ws("|", "sym", "dt").alias("sig_id"))
+    want = {(r["sym"], r["dt"]): r["ret"] for r in backtest.trade_returns(ids, bars, horizons=(3,)).collect()}
+    rows = {(r["sym"], r["dt"]): r["ret"] for r in got.collect()}
+    assert len(rows) == bars.count() and want and {k: v for k, v in rows.items() if v is not None} == want
