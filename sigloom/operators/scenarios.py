@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions.scalar import EPS
-from sigloom.functions.series import Columns, div, lead
-from sigloom.functions.windows import by_symbol, index_series, span, with_ewm
-from sigloom.operators.bars import with_min_bars
+from sigloom.functions.series import Columns, div, ewm, lead
+from sigloom.functions.windows import index_series, span, with_ewm
 from sigloom.operators.factors import ALT_DEFAULTS
-from sigloom.operators.features import vrp, with_periods
+from sigloom.operators.features import PERIODS, period_columns, vrp
 from sigloom.operators.scoring import score_panel
 from sigloom.params import Params
 from sigloom.plans.panel import series_features
@@ -69,39 +68,49 @@ def phase_scenario(bars: DataFrame) -> DataFrame:
     return _rescaled(moved, F.col("trend") + F.col("seasonal") + F.col("residual"))
 
 
-def scenario_bars(bars: DataFrame, min_bars: int = 500) -> DataFrame:
-    """(sym, scenario, ...) for symbols with enough history. ``sym`` becomes 'sym|scenario', so
-    every later window keeps one series per pair."""
-    long = with_min_bars(bars.select("sym", "dt", *PRICES, "volume"), min_bars)
-    copies = (long, phase_scenario(long), noise_scenario(long))
-    out = None
-    for name, df in zip(SCENARIOS, copies):
-        df = df.select(F.concat_ws("|", F.col("sym").cast("string"), F.lit(name)).alias("sym"), "dt",
-                       *PRICES, "volume", F.lit(name).alias("scenario"))
-        out = df if out is None else out.unionByName(df)
+def scenario_columns(b: Columns, sym: object, min_bars: int = 500, gain: float = 1.5) -> list[tuple[str, Columns]]:
+    """The prices of one symbol's scenarios, as ``phase_scenario`` and ``noise_scenario`` make them; none without enough history."""
+    close = b["close"]
+    if len(close) < min_bars:
+        return []
+    fast, trend = ewm(close, span(5), 0), ewm(close, span(60), 0)
+    seasonal, residual = fast - trend, close - fast
+    spec = np.fft.rfft(seasonal)
+    turn = phases(str(sym), len(spec))
+    turn[0] = 0.0
+    if len(close) % 2 == 0:
+        turn[-1] = 0.0
+    moved = np.fft.irfft(spec * np.exp(1j * turn), n=len(close))
+    out = []
+    for name, c in zip(SCENARIOS, (None, trend + moved + residual, trend + seasonal + residual * gain)):
+        prices = {x: b[x] for x in PRICES}
+        if c is not None:
+            ratio = c / (close + EPS)
+            prices = {x: c if x == "close" else b[x] * ratio for x in PRICES}
+        out.append((name, {**prices, "_raw": {**prices, "volume": b["volume"]}}))
     return out
 
 
 def scenario_trades(bars: DataFrame, p: Params = Params(), statistics: bool = True, window: int = 252,
-                    tail: int = 5) -> DataFrame:
+                    tail: int = 5, dealt: bool = False) -> DataFrame:
     """Scored trades of the last ``window``..``tail``+1 bars: entry next open, exit close 4 bars on.
 
     The market is the fixed bull context of the reference; weekly and monthly flags come from the
     last completed period. Bars with ATR over 15% of the close, or below a falling 200-day
-    average, are not traded, and leave the series step before their statistics are made.
+    average, are not traded, and leave the series step before their statistics are made. A symbol's scenarios are made and
+    gone through in its own Arrow group: ``bars`` are exchanged once, or not at all where they come ``dealt`` by sym.
     """
-    sc = materialise(by_symbol(scenario_bars(bars)))
-
     def traded(b: Columns, made: Columns) -> np.ndarray:
         c, rest = b["close"], len(b["close"]) - np.arange(len(b["close"]))
         wild = div(made["ATR"], c) > 0.15
         return (rest <= window) & (rest > tail) & ~(wild | ((c < made["SMA_200"]) & (made["SMA_50"] < made["SMA_200"])))
 
     def ahead(b: Columns) -> Columns:
-        return {"entry": lead(b["open"]), "exit": lead(b["close"], 4)}
+        return {"entry": lead(b["open"]), "exit": lead(b["close"], 4), **period_columns(b)}
 
-    periods = with_periods(sc.select("sym", "dt"), sc.drop("scenario"))
-    df = series_features(sc.join(periods, ["sym", "dt"]), statistics, asked=traded, more=(ahead, {"entry": "double", "exit": "double"}))
+    bars = bars.select("sym", "dt", *PRICES, "volume").where("sym IS NOT NULL AND dt IS NOT NULL")
+    df = series_features(bars, statistics, asked=traded, more=(ahead, {"entry": "double", "exit": "double", **PERIODS}),
+                         dealt=dealt, copies=("scenario", scenario_columns))
     fixed = {"regime": "bull", "w_mul": 1.0, "vix": 18.0, "vix_scalar": 1.0, "macro_gravity": False,
              "is_credit_risk_high": False, "beta_60d": 1.0, "spy_realized_vol": 15.0, "tlt_corr": 0.0,
              "dxy_corr": 0.0, "rs_20": 0.0, "pure_alpha": 0.0, "rsi_60m_bounce": False,

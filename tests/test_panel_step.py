@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from compare import SF
 from sigloom.operators import bars as ob
-from sigloom.operators import backtest, features, scoring
+from sigloom.operators import backtest, features, scenarios, scoring
 from sigloom.plans.catalog import QUERIES
 from sigloom.plans.panel import feature_panel
 from sigloom.sources import fixtures as fx
@@ -90,3 +90,23 @@ def test_return_on_bars_equals_trade_returns(spark):
     want = {(r["sym"], r["dt"]): r["ret"] for r in backtest.trade_returns(ids, bars, horizons=(3,)).collect()}
     rows = {(r["sym"], r["dt"]): r["ret"] for r in got.collect()}
     assert len(rows) == bars.count() and want and {k: v for k, v in rows.items() if v is not None} == want
+
+
+def test_scenarios_take_one_exchange(spark, bars):
+    plan = physical(scenarios.scenario_trades(bars))
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_scenarios_of_a_symbol_equal_the_operators(spark, bars):
+    some = bars.where("sym <= 2")
+    rows = some.orderBy("dt").collect()
+    for name, df in (("Phase_Chaos", scenarios.phase_scenario(some)), ("Noise_Explosion", scenarios.noise_scenario(some))):
+        want = {(r["sym"], r["dt"]): r for r in df.collect()}
+        for sym in {r["sym"] for r in rows}:
+            own = [r for r in rows if r["sym"] == sym]
+            b = {x: np.array([r[x] for r in own]) for x in (*scenarios.PRICES, "volume")}
+            got = dict(scenarios.scenario_columns(b, sym, 10))
+            assert list(got) == list(scenarios.SCENARIOS) and not scenarios.scenario_columns(b, sym, len(own) + 1)
+            for x in scenarios.PRICES:
+                assert np.allclose(got[name][x], [want[sym, r["dt"]][x] for r in own], rtol=1e-11)
+                assert got["Original"][x] is b[x]
